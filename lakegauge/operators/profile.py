@@ -100,7 +100,7 @@ def _column_aggregates(field: T.StructField, ordinal: int, distinct: str, rsd: f
     none = F.lit(None)
     low = high = avg_len = max_len = non_blank = parse_ok = types = none
     if kind in ("numeric", "temporal"):
-        low, high = cells.as_text(F.min(value), dt), cells.as_text(F.max(value), dt)
+        low, high = F.min(value), F.max(value)
     else:
         text = cells.as_text(c, dt)
         avg_len, max_len = F.avg(F.char_length(text)), F.max(F.char_length(text))
@@ -147,12 +147,18 @@ def profile(df: DataFrame, distinct: str = "exact", rsd: float = 0.02, lexical:
     else:
         count = F.lit(None).cast("bigint")
     total, there = F.col("total"), F.col("present")
+
+    def shown(name: str) -> Column:
+        value = F.col(name)
+        return (F.when(F.col("dtype").isin("float", "double"), cells.as_text(value.cast("double"), T.DoubleType()))
+                .when(F.col("dtype") == "boolean", F.initcap(value)).otherwise(value).alias(name))
+
     return plain.select(
         "ordinal", "column_name", "dtype", "kind", "total",
         (total - there).alias("nulls"), cells.ratio(total - there, total).alias("null_rate"),
         count.alias("distinct_cnt"),
         F.when(count.isNotNull(), cells.ratio(count, there)).alias("distinct_ratio"),
-        "min_value", "max_value", "avg_len", "max_len", "non_blank", "parse_ok", "type_count",
+        shown("min_value"), shown("max_value"), "avg_len", "max_len", "non_blank", "parse_ok", "type_count",
     )
 
 
