@@ -17,6 +17,14 @@ def clamp10(c: Column) -> Column:
         F.least(F.lit(10.0), F.greatest(F.lit(0.0), value)))
 
 
+def exact_round(c: Column, digits: int) -> Column:
+    """Rounds the binary value itself, exact ties to even, as Python's round() does.
+
+    F.round looks at the shortest decimal text instead and lifts every apparent tie.
+    """
+    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits)).cast("double")
+
+
 def score10(share: Column) -> Column:
     """A share in [0, 1] as a 0-10 score."""
     return clamp10(share * 10)
@@ -45,7 +53,7 @@ def weighted(parts: Mapping[str, Column], weights: Mapping[str, float]) -> Colum
 def overall_score(weights: str = "scan", digits: int = 4, columns: Mapping[str, str] | None = None) -> Column:
     """Weighted, clamped and rounded note over the six dimension columns."""
     names = columns or {d: d for d in C.DIMENSIONS}
-    return F.round(clamp10(weighted({d: F.col(n) for d, n in names.items()}, C.WEIGHTS[weights])), digits)
+    return exact_round(clamp10(weighted({d: F.col(n) for d, n in names.items()}, C.WEIGHTS[weights])), digits)
 
 
 def volume_score(rows: Column) -> Column:

@@ -47,18 +47,18 @@ def dimension_scores(p: DataFrame, *keys: str, only: Sequence[str] = C.DIMENSION
     empty = {d: 5.0 if d == "freshness" else 0.0 for d in C.DIMENSIONS}
     return p.groupBy(*keys).agg(
         rows.alias("row_count"), F.count(F.lit(1)).alias("column_count"),
-        *[F.round(F.when(rows > 0, parts[d]).otherwise(empty[d]), 4).alias(d) for d in only])
+        *[scoring.exact_round(F.when(rows > 0, parts[d]).otherwise(empty[d]), 4).alias(d) for d in only])
 
 
 def column_dimension_scores(p: DataFrame) -> DataFrame:
     """The six column dimensions; a projection, nothing is shuffled."""
     fill, unique = scoring.score10(1 - F.col("null_rate")), scoring.score10(F.col("distinct_ratio"))
     return p.withColumns({
-        "completude": F.round(fill, 4),
-        "unicidade": F.round(unique, 4),
+        "completude": scoring.exact_round(fill, 4),
+        "unicidade": scoring.exact_round(unique, 4),
         "consistencia": F.lit(10.0),
         "validade": F.when((F.col("total") == 0) | (F.col("nulls") < F.col("total")), 10.0).otherwise(0.0),
-        "integridade": F.round(scoring.clamp10(
+        "integridade": scoring.exact_round(scoring.clamp10(
             ((1 - F.col("null_rate")) * 10 + F.col("distinct_ratio") * 10) / 2), 4),
         "freshness": F.lit(5.0),
     })

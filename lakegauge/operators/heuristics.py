@@ -112,5 +112,5 @@ def heuristic_scores(df: DataFrame, as_of, sla_hours: float = C.SLA_HOURS) -> Da
     merged = judged.unionByName(rows).agg(
         F.max("total").alias("total_registros"), *[F.max(d).alias(d) for d in C.DIMENSIONS])
     filled = F.col("total_registros") > 0
-    rounded = merged.withColumns({d: F.when(filled, F.round(F.col(d), 2)).otherwise(0.0) for d in C.DIMENSIONS})
+    rounded = merged.withColumns({d: F.when(filled, scoring.exact_round(F.col(d), 2)).otherwise(0.0) for d in C.DIMENSIONS})
     return rounded.withColumn("nota_final", scoring.overall_score("star", 2))

@@ -20,7 +20,7 @@ def run_history(scores: DataFrame, columns_scanned: str = "column_count") -> Dat
         scores.groupBy("run_id").agg(
             F.max("scanned_at").alias("run_timestamp"), F.count(F.lit(1)).alias("datasets_count"),
             F.sum(columns_scanned).alias("columns_scanned"),
-            F.round(F.avg(score_value(scores)), 2).alias("overall_score"),
+            scoring.exact_round(F.avg(score_value(scores)), 2).alias("overall_score"),
         ).withColumn("overall_classification", scoring.classify(F.col("overall_score"), "report")),
         RUN_HISTORY)
 
@@ -43,7 +43,7 @@ def dataset_history(scores: DataFrame, detail: DataFrame) -> DataFrame:
         "score_completeness": F.col("completude"), "score_consistency": F.col("consistencia"),
         "score_uniqueness": F.col("unicidade"), "score_validity": F.col("validade"),
         "score_timeliness": F.col("freshness"), "score_integrity": F.col("integridade"),
-        "priority_index": F.round((10 - F.col("score_overall")) * (1 + share), 4), "critical_columns_count": crit,
+        "priority_index": scoring.exact_round((10 - F.col("score_overall")) * (1 + share), 4), "critical_columns_count": crit,
     }
     return align(joined.withColumns(renamed), DATASET_HISTORY)
 

@@ -22,7 +22,7 @@ def kpis(scores: DataFrame, *keys: str, label: str = "dataset_label") -> DataFra
     best = F.min_by(F.struct(F.col(label), s.alias("s")), F.struct((-s).alias("s"), F.col(label)))
     worst = F.min_by(F.struct(F.col(label), s.alias("s")), F.struct(s.alias("s"), F.col(label)))
     agg = scores.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("datasets"), F.round(F.avg(s), 2).alias("mean"), best.alias("b"), worst.alias("w"),
+        F.count(F.lit(1)).alias("datasets"), scoring.exact_round(F.avg(s), 2).alias("mean"), best.alias("b"), worst.alias("w"),
         F.count_if(k == "Crítico").alias("criticos"), F.count_if(k == "Atenção").alias("atencao"),
         F.count_if(k.isin("Bom", "Excelente")).alias("aceitaveis"))
     zero = F.lit(0.0)
@@ -30,9 +30,9 @@ def kpis(scores: DataFrame, *keys: str, label: str = "dataset_label") -> DataFra
         *keys, "datasets", F.coalesce("mean", zero).alias("score_medio"),
         scoring.classify(F.col("mean"), "report").alias("classificacao"),
         F.coalesce(F.col(f"b.{label}"), F.lit(C.NO_DATA)).alias("melhor_dataset"),
-        F.coalesce(F.round("b.s", 2), zero).alias("melhor_score"),
+        F.coalesce(scoring.exact_round(F.col("b.s"), 2), zero).alias("melhor_score"),
         F.coalesce(F.col(f"w.{label}"), F.lit(C.NO_DATA)).alias("pior_dataset"),
-        F.coalesce(F.round("w.s", 2), zero).alias("pior_score"),
+        F.coalesce(scoring.exact_round(F.col("w.s"), 2), zero).alias("pior_score"),
         "criticos", "atencao", "aceitaveis")
 
 

@@ -156,7 +156,7 @@ def _run(df: DataFrame, tests: list[tuple[int, _Test]]) -> DataFrame:
     for rule, template in C.RULE_DETAILS.items():
         details = details.when(F.col("rule_name") == rule, F.format_string(template, score))
     return counted.select("column_name", "rule_name", "rule_value", "checked", "violations",
-                          passed.alias("passed"), F.round(score, 4).alias("score"), details.alias("details"))
+                          passed.alias("passed"), scoring.exact_round(score, 4).alias("score"), details.alias("details"))
 
 
 def violation_counts(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> DataFrame:

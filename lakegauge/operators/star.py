@@ -63,5 +63,5 @@ def star_scan(fact: DataFrame, parent: DataFrame, spec: StarSpec, as_of) -> Data
         violation_score(F.col("invalid"), n).alias("validade"),
         violation_score(F.col("orphans"), n).alias("integridade"),
         scoring.score10(1 - F.col("age_hours") / spec.sla_hours).alias("freshness"),
-    ).withColumn("nota_final", F.round(
+    ).withColumn("nota_final", scoring.exact_round(
         scoring.weighted({d: F.col(d) for d in C.DIMENSIONS}, C.WEIGHTS["star"]), 2))

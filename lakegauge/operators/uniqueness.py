@@ -78,4 +78,4 @@ def simple_table_score(df: DataFrame, keys: Sequence[str], required: Sequence[st
     return completeness.unionByName(uniqueness).agg(
         F.max("total").alias("total"), F.max("completude").alias("completude"),
         F.max("unicidade").alias("unicidade"),
-    ).withColumn("nota_final", F.round((F.col("completude") + F.col("unicidade")) / 2, 2))
+    ).withColumn("nota_final", scoring.exact_round((F.col("completude") + F.col("unicidade")) / 2, 2))

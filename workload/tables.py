@@ -96,12 +96,12 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = sum((F.count(c) for c in DETAIL_COLUMNS[1:]), F.count(DETAIL_COLUMNS[0]))
 
     def share_bad(bad):
-        return F.round(scoring.score10(1 - F.count_if(F.coalesce(bad, F.lit(False))) / n), 4)
+        return scoring.exact_round(scoring.score10(1 - F.count_if(F.coalesce(bad, F.lit(False))) / n), 4)
 
     groups = df.groupBy("run_id", "o_custkey").agg(
         n.alias("row_count"), F.lit(6).cast("bigint").alias("column_count"),
-        F.round(scoring.score10(present / (n * len(DETAIL_COLUMNS))), 4).alias("completude"),
-        F.round(scoring.score10(cells.ratio(F.count_distinct("status"), F.count("status"))), 4).alias("unicidade"),
+        scoring.exact_round(scoring.score10(present / (n * len(DETAIL_COLUMNS))), 4).alias("completude"),
+        scoring.exact_round(scoring.score10(cells.ratio(F.count_distinct("status"), F.count("status"))), 4).alias("unicidade"),
         share_bad(F.col("dt_pedido") > F.col("dt_entrega")).alias("consistencia"),
         share_bad((F.col("vl_total") < 0) | ~F.col("status").isin("F", "O", "P")).alias("validade"),
         share_bad(F.col("customer_id") != F.col("o_custkey")).alias("integridade"),
