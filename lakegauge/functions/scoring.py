@@ -68,7 +68,7 @@ def rule_penalty(violations: Column, total: Column) -> Column:
 
 def fmt_score(c: Column) -> Column:
     """Two decimals without trailing zeros; '-' for null."""
-    text = F.regexp_replace(F.format_string("%.2f", c.cast("double")), r"\.?0+$", "")
+    text = F.regexp_replace(F.format_string("%.2f", exact_round(c, 2)), r"\.?0+$", "")
     return F.when(c.isNull(), "-").otherwise(text)
 
 

@@ -138,8 +138,7 @@ def _run(df: DataFrame, tests: list[tuple[int, _Test]]) -> DataFrame:
             F.struct(
                 F.lit(o).alias("ordinal"), F.lit(t.column).alias("column_name"), F.lit(t.rule).alias("rule_name"),
                 F.lit(t.value).alias("rule_value"), F.lit(t.enforced).alias("enforced"),
-                F.lit(t.empty_passes).alias("empty_passes"), F.lit(C.RULE_DETAILS[t.rule]).alias("template"),
-                t.checked.cast("bigint").alias("checked"), t.violations.cast("bigint").alias("violations"))
+                F.lit(t.empty_passes).alias("empty_passes"), t.checked.cast("bigint").alias("checked"), t.violations.cast("bigint").alias("violations"))
             for o, t in tests[at:at + CHUNK]
         ]
         part = df.agg(F.array(*structs).alias("r")).select(F.inline("r"))
@@ -152,11 +151,12 @@ def _run(df: DataFrame, tests: list[tuple[int, _Test]]) -> DataFrame:
     nothing = (checked == 0) & F.col("empty_passes")
     score = F.when(nothing, 1.0).otherwise(cells.ratio(checked - bad, checked))
     passed = nothing | ~F.col("enforced") | ((checked > 0) & (bad == 0))
+    shown = scoring.exact_round(score, 4)
     details = F.when(nothing, C.NO_VALUES)
     for rule, template in C.RULE_DETAILS.items():
-        details = details.when(F.col("rule_name") == rule, F.format_string(template, score))
+        details = details.when(F.col("rule_name") == rule, F.format_string(template, shown))
     return counted.select("column_name", "rule_name", "rule_value", "checked", "violations",
-                          passed.alias("passed"), scoring.exact_round(score, 4).alias("score"), details.alias("details"))
+                          passed.alias("passed"), shown.alias("score"), details.alias("details"))
 
 
 def violation_counts(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> DataFrame:
