@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -24,19 +25,23 @@ def local_session(app: str = "lakegauge", cores: str = "*", shuffle_partitions:
     )
 
 
+@lru_cache
+def _local_dir(app_id: str) -> str:
+    return tempfile.mkdtemp(prefix="lakegauge-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: spark.checkpoint.dir of the session.
 
-    Only a session that sets none (a local test run) gets a folder of its own.
+    Only a local session that sets none (a test run) gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    local = tempfile.mkdtemp(prefix="lakegauge-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return _local_dir(context.applicationId)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
