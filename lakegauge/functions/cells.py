@@ -8,9 +8,17 @@ from pyspark.sql import Column, functions as F, types as T
 
 from lakegauge import constants as C
 
+# Blanks as Python's strip() sees them, inside a character class; and one cell padded by them.
+_WS = r"\s\x1c-\x1f"
+_PADDED = rf"(?dU)\A[{_WS}]*+(?:%s)[{_WS}]*+\z"
+_NOT_BLANK = rf"(?U)[^{_WS}]"
 # What Python's float() accepts, once trimmed (words in any case).
-_FLOAT = r"^[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?$"
-_FLOAT_WORD = r"(?i)^[+-]?(inf|infinity|nan)$"
+_FLOAT = r"[+-]?(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?"
+_FLOAT_WORD = r"[+-]?(?i:infinity|inf|nan)"
+# Cheap tests that nearly all prose fails within a few characters. A pt-BR number
+# opens with signs and a digit, or spells a float word with marks strewn in.
+_MAYBE_NUMBER = rf"^[{_WS}.,%+\-]*+(?:\d[{_WS}\d.,%+\-_eE]*+$|(?i:i[.,%]*n[.,%]*f|n[.,%]*a[.,%]*n))"
+_MAYBE_DATE = rf"^[{_WS}]*+\d[\dT:/.{_WS}-]*+$"
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -42,6 +50,16 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(C.WHITESPACE))
 
 
+def not_blank(c: Column) -> Column:
+    """Whether anything is left after `strip`, without building the stripped text."""
+    return c.rlike(_NOT_BLANK)
+
+
+def matches_stripped(c: Column, pattern: str) -> Column:
+    """Whether the stripped text matches as a whole, without building it."""
+    return c.rlike(_PADDED % pattern)
+
+
 def as_text(c: Column, data_type: T.DataType) -> Column:
     """Text form of a cell; null stays null."""
     if isinstance(data_type, T.BooleanType):
@@ -76,12 +94,12 @@ def filled(c: Column, data_type: T.DataType = T.StringType()) -> Column:
 
 
 def is_float_text(c: Column) -> Column:
-    return c.rlike(_FLOAT) | c.rlike(_FLOAT_WORD)
+    return matches_stripped(c, _FLOAT) | matches_stripped(c, _FLOAT_WORD)
 
 
 def float_of_text(c: Column) -> Column:
     """Double for texts Python's float() would read, else null ('1d' stays text)."""
-    return F.when(is_float_text(c), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.when(is_float_text(c), F.replace(strip(c), F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def to_number(c: Column, data_type: T.DataType) -> Column:
@@ -91,23 +109,23 @@ def to_number(c: Column, data_type: T.DataType) -> Column:
     if kind_of(data_type) == "temporal":
         return epoch_seconds(c) * 1e9
     if isinstance(data_type, T.StringType):
-        return present(float_of_text(strip(c)), T.DoubleType())
+        return present(float_of_text(c), T.DoubleType())
     return F.lit(None).cast("double")
 
 
 def _ptbr_plain(text: Column) -> Column:
-    """Drop % and the thousands dots, decimal comma to dot."""
-    return F.translate(strip(F.translate(strip(text), "%", "")), ",.", ".")
+    """Decimal comma to dot; % and the thousands dots go."""
+    return F.translate(text, ",%.", ".")
 
 
 def parse_ptbr_number(text: Column) -> Column:
     """'1.234,56' -> 1234.56, '12,5%' -> 0.125; dots are always thousands marks."""
-    value = present(float_of_text(_ptbr_plain(text)), T.DoubleType())
-    return F.when(F.endswith(strip(text), F.lit("%")), value / 100).otherwise(value)
+    value = F.nanvl(float_of_text(_ptbr_plain(text)), F.lit(None))
+    return F.when(text.rlike(_MAYBE_NUMBER), F.when(F.endswith(strip(text), F.lit("%")), value / 100).otherwise(value))
 
 
 def is_ptbr_number(text: Column) -> Column:
-    return is_float_text(_ptbr_plain(text))
+    return text.rlike(_MAYBE_NUMBER) & is_float_text(_ptbr_plain(text))
 
 
 def parse_datetime(c: Column, data_type: T.DataType = T.StringType(), day_first: bool = False) -> Column:
@@ -130,7 +148,7 @@ def parse_datetime(c: Column, data_type: T.DataType = T.StringType(), day_first:
     (first_shape, first_values), *rest = tried
     parsed = reduce(lambda chain, s: chain.when(s[0], F.coalesce(*s[1])), rest,
                     F.when(first_shape, F.coalesce(*first_values)))
-    return F.when(text.rlike(r"^\d"), parsed)
+    return F.when(c.rlike(_MAYBE_DATE), parsed)
 
 
 def epoch_seconds(c: Column) -> Column:
@@ -155,7 +173,7 @@ def text_regex(pattern: str) -> str:
 
 
 def is_email(text: Column) -> Column:
-    return strip(text).rlike(text_regex(C.EMAIL_PATTERN))
+    return matches_stripped(text, C.EMAIL_PATTERN.strip("^$"))
 
 
 def ratio(part: Column, whole: Column, empty: float | None = 0.0) -> Column:

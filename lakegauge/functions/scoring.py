@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -10,11 +10,18 @@ from pyspark.sql import Column, functions as F
 from lakegauge import constants as C
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it.
+
+    Optimizer rules copy an expression to every place that names it; a chain of
+    comparisons over a long formula would grow with each step otherwise.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clamp10(c: Column) -> Column:
     """Into [0, 10]; null and NaN become 0 (least/greatest alone would turn NaN into 10)."""
-    value = c.cast("double")
-    return F.when(value.isNull() | F.isnan(value), 0.0).otherwise(
-        F.least(F.lit(10.0), F.greatest(F.lit(0.0), value)))
+    return F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.nanvl(c.cast("double"), F.lit(0.0))))
 
 
 def exact_round(c: Column, digits: int) -> Column:
@@ -39,9 +46,9 @@ def steps(c: Column, bounds: Sequence[tuple], default, strict: bool = False) ->
 
 def classify(score: Column, bands: str = "scan") -> Column:
     """Band name of a score; no band without a score, the lowest one for NaN."""
-    value = score.try_cast("double")
-    return (F.when(value.isNull(), C.NO_BAND).when(F.isnan(value), C.LOWEST_BAND)
-            .otherwise(steps(value, C.BANDS[bands], C.LOWEST_BAND)))
+    return let(score.try_cast("double"), lambda value: (
+        F.when(value.isNull(), C.NO_BAND).when(F.isnan(value), C.LOWEST_BAND)
+        .otherwise(steps(value, C.BANDS[bands], C.LOWEST_BAND))))
 
 
 def weighted(parts: Mapping[str, Column], weights: Mapping[str, float]) -> Column:

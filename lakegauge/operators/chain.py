@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lakegauge import constants as C
-from lakegauge.functions import scoring
-from lakegauge.operators.profile import avg_distinct_ratio, table_metrics
+from lakegauge.functions import cells, scoring
 from lakegauge.operators.rules import estimate_violations
 
 KEYS = ("run_id", "source_type", "source_ref", "object_name")
@@ -24,11 +23,12 @@ def table_scores(p: DataFrame, *keys: str) -> DataFrame:
     Metrics and mean ratio share the grouping, so one aggregate serves both.
     """
     keys = keys or KEYS
-    metrics = table_metrics(p, *keys).select(*keys, "sample_rows", "null_rate")
-    ratios = avg_distinct_ratio(p, *keys)
     completeness = (1 - F.coalesce("null_rate", F.lit(1.0))) * 10
-    ratio = F.coalesce("avg_distinct_ratio", F.lit(0.0))
-    scores = metrics.join(ratios, list(keys), "left").withColumn("avg_distinct_ratio", ratio).withColumns({
+    metrics = p.groupBy(*keys).agg(
+        F.max("total").alias("sample_rows"),
+        cells.ratio(F.sum("nulls"), F.sum("total")).alias("null_rate"),
+        F.coalesce(F.avg("distinct_ratio"), F.lit(0.0)).alias("avg_distinct_ratio"))
+    scores = metrics.withColumns({
         "score_completeness": completeness,
         "score_uniqueness": F.col("avg_distinct_ratio") * 10,
         "score_volume": scoring.volume_score(F.col("sample_rows")),

@@ -25,7 +25,7 @@ def _rates(field: T.StructField, ordinal: int) -> Column:
     there = F.count(value)
     zero = F.lit(0).cast("bigint")
     boolean = isinstance(dt, T.BooleanType)
-    stripped = cells.strip(cells.as_text(c, dt))
+    text = cells.as_text(c, dt)
     when = cells.parse_datetime(c, dt, day_first=True)
     # a typed column needs no parsing to be judged
     if kind == "numeric":
@@ -34,12 +34,12 @@ def _rates(field: T.StructField, ordinal: int) -> Column:
         date, number, digit = there, zero, there
     else:
         date = F.count(when) if kind == "text" else zero
-        number = F.count_if(cells.is_ptbr_number(stripped))
-        digit = F.count_if(stripped.rlike(r"(?U)\d"))
-    email = F.count_if(cells.is_email(stripped)) if _has(name, (C.EMAIL_TOKEN,)) else zero
-    alnum = F.count_if(stripped.rlike(C.ALNUM_PATTERN)) if _has(name, C.ID_TOKENS) else zero
-    latest = F.max(cells.epoch_seconds(when)) if _has(name, C.DATE_TOKENS) else F.lit(None).cast("double")
-    filled = F.count_if(stripped != "") if kind in ("text", "nested") else there
+        number = F.count_if(cells.is_ptbr_number(text))
+        digit = F.count_if(text.rlike(r"\p{Nd}"))
+    email = F.count_if(cells.is_email(text)) if _has(name, (C.EMAIL_TOKEN,)) else zero
+    alnum = F.count_if(cells.matches_stripped(text, C.ALNUM_PATTERN.strip("^$"))) if _has(name, C.ID_TOKENS) else zero
+    latest = cells.epoch_seconds(F.max(when)) if _has(name, C.DATE_TOKENS) else F.lit(None).cast("double")
+    filled = F.count_if(cells.not_blank(text)) if kind in ("text", "nested") else there
     return F.struct(
         F.lit(ordinal).alias("ordinal"), F.lit(name).alias("column_name"),
         F.count(F.lit(1)).alias("total"), there.alias("present"),

@@ -9,14 +9,16 @@ spread over all tasks of the first stage, and one column never lands in one task
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakegauge import constants as C
 from lakegauge.functions import cells
 
-CHUNK = 16
+CHUNK = 8
 _DIGEST_FROM = 64
 
 PROFILE = T.StructType([
@@ -43,47 +45,40 @@ def short_key(text: Column) -> Column:
     return F.when(F.octet_length(text) < _DIGEST_FROM, text).otherwise(F.sha2(text, 256))
 
 
-def _key_type(data_type: T.DataType) -> str:
-    """Type in which the values of a column are grouped; every cast into it is exact."""
-    if isinstance(data_type, T.IntegralType):
-        return "bigint"
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return "double"
-    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
-        return data_type.simpleString()
-    return "string"
-
-
-def _distinct_key(c: Column, data_type: T.DataType) -> Column:
-    key_type = _key_type(data_type)
-    if key_type == "string":
-        return short_key(cells.as_text(c, data_type))
-    return cells.present(c, data_type).cast(key_type)
-
-
-def stacked(df: DataFrame, values: Sequence[tuple[int, Column]]) -> DataFrame:
-    """(ordinal, value) rows of the given cells, without nulls."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), v.alias("value")) for i, v in values])
-    return df.select(F.inline(pairs)).where(F.col("value").isNotNull())
-
-
-def distinct_counts(df: DataFrame, ordinals: Sequence[int] | None = None) -> DataFrame:
-    """Exact number of distinct present values per column: (ordinal, distinct_cnt)."""
-    by_type: dict[str, list[tuple[int, Column]]] = {}
-    for i, field in enumerate(df.schema.fields):
-        if ordinals is None or i in ordinals:
-            by_type.setdefault(_key_type(field.dataType), []).append(
-                (i, _distinct_key(quoted(field.name), field.dataType)))
-    parts = [
-        stacked(df, group[at:at + CHUNK]).groupBy("ordinal").agg(F.count_distinct("value").alias("distinct_cnt"))
-        for group in by_type.values() for at in range(0, len(group), CHUNK)
-    ]
-    if not parts:
-        return df.sparkSession.createDataFrame([], "ordinal int, distinct_cnt bigint")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+def is_fixed_width(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.IntegralType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType,
+                                  T.TimestampType, T.TimestampNTZType))
+
+
+def _cell_key(ordinal: int, c: Column, data_type: T.DataType) -> Column:
+    """(ordinal, word, text) of a present cell, null of a missing one.
+
+    Numbers, dates and booleans become one 64-bit word: XXH64 of a single word only
+    multiplies by odd numbers, rotates and xors, so it maps words one to one and two
+    values never share a key (both zeros do, as they should). Anything else is text.
+    """
+    if is_fixed_width(data_type):
+        value = cells.present(c, data_type)
+        word, text = F.xxhash64(value), F.lit(None).cast("string")
+    else:
+        value = c
+        word, text = F.lit(None).cast("bigint"), short_key(cells.as_text(c, data_type))
+    return F.when(value.isNotNull(), F.struct(
+        F.lit(ordinal).alias("ordinal"), word.alias("word"), text.alias("text")))
+
+
+def cell_keys(df: DataFrame, ordinals: Sequence[int] | None = None) -> DataFrame:
+    """(ordinal, word, text) of every present cell of the chosen columns."""
+    keys = [_cell_key(i, quoted(f.name), f.dataType) for i, f in enumerate(df.schema.fields)
+            if ordinals is None or i in ordinals]
+    chunks = [df.select(F.inline(F.array(*keys[at:at + CHUNK]))).where(F.col("ordinal").isNotNull())
+              for at in range(0, len(keys), CHUNK)]
+    return reduce(DataFrame.unionAll, chunks)
+
+
+def distinct_counts(keys: DataFrame, *by: str) -> DataFrame:
+    """Exact distinct values per column of a `cell_keys` table: (*by, ordinal, distinct_cnt)."""
+    return keys.distinct().groupBy(*by, "ordinal").agg(F.count(F.lit(1)).alias("distinct_cnt"))
 
 
 def json_kind(text: Column) -> Column:
@@ -92,8 +87,7 @@ def json_kind(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(schema, "^([A-Z]+)", 1), F.lit("TEXT"))
 
 
-def _column_aggregates(field: T.StructField, ordinal: int, distinct: str, rsd: float,
-                       lexical: bool, date_like: bool) -> Column:
+def _column_aggregates(field: T.StructField, ordinal: int, lexical: bool) -> Column:
     c, dt = quoted(field.name), field.dataType
     kind = cells.kind_of(dt)
     value = cells.present(c, dt)
@@ -104,12 +98,11 @@ def _column_aggregates(field: T.StructField, ordinal: int, distinct: str, rsd: f
     else:
         text = cells.as_text(c, dt)
         avg_len, max_len = F.avg(F.char_length(text)), F.max(F.char_length(text))
-        non_blank = F.count_if(cells.strip(text) != "")
-        if date_like and kind == "text":
-            parse_ok = F.count_if(cells.parse_datetime(c, dt).isNotNull())
-        if lexical and kind == "text":
+        non_blank = F.count_if(cells.not_blank(text))
+        if kind == "text" and re.search(C.DATE_PATTERN, field.name):
+            parse_ok = F.count(cells.parse_datetime(c, dt))
+        if kind == "text" and lexical:
             types = F.size(F.collect_set(json_kind(c)))
-    approx = F.approx_count_distinct(_distinct_key(c, dt), rsd) if distinct == "approx" else none
     return F.struct(
         F.lit(ordinal).alias("ordinal"), F.lit(field.name).alias("column_name"),
         F.lit(dt.simpleString()).alias("dtype"), F.lit(kind).alias("kind"),
@@ -117,33 +110,66 @@ def _column_aggregates(field: T.StructField, ordinal: int, distinct: str, rsd: f
         low.cast("string").alias("min_value"), high.cast("string").alias("max_value"),
         avg_len.cast("double").alias("avg_len"), max_len.cast("bigint").alias("max_len"),
         non_blank.cast("bigint").alias("non_blank"), parse_ok.cast("bigint").alias("parse_ok"),
-        types.cast("int").alias("type_count"), approx.cast("bigint").alias("approx_cnt"),
+        types.cast("int").alias("type_count"),
     )
 
 
-def profile(df: DataFrame, distinct: str = "exact", rsd: float = 0.02, lexical: bool = False) -> DataFrame:
+def _sketched(df: DataFrame, log_buckets: int) -> DataFrame:
+    """Approximate distinct values per column: (ordinal, distinct_cnt)."""
+    chunks = []
+    fields = list(enumerate(df.schema.fields))
+    for at in range(0, len(fields), CHUNK):
+        counts = []
+        for i, f in fields[at:at + CHUNK]:
+            c = quoted(f.name)
+            value = cells.present(c, f.dataType)
+            key = F.when(value.isNotNull(), F.xxhash64(value)) if is_fixed_width(f.dataType) \
+                else cells.as_text(c, f.dataType)
+            counts.append(F.struct(F.lit(i).alias("ordinal"), F.hll_sketch_estimate(
+                F.hll_sketch_agg(key, log_buckets)).alias("distinct_cnt")))
+        chunks.append(df.agg(F.array(*counts).alias("cols")).select(F.inline("cols")))
+    return reduce(DataFrame.unionAll, chunks)
+
+
+def profile(df: DataFrame, distinct: str = "exact", lexical: bool = False, log_buckets: int = 12) -> DataFrame:
     """One row per column: counts, null rate, distincts, range or text lengths.
 
-    distinct: 'exact', 'approx' (HyperLogLog inside the plain pass, nothing is
-    shuffled but sketches) or 'none'. lexical: also count the JSON kinds found
-    in text columns. Columns named like dates get the number of readable ones.
+    distinct: 'exact', 'approx' (HyperLogLog sketches, nothing else is shuffled;
+    12 bits of buckets err by about 1.6 %) or 'none'. lexical: also count the JSON
+    kinds found in text columns. Columns named like dates get the number of readable ones.
     """
-    fields = df.schema.fields
-    if not fields:
-        return df.sparkSession.createDataFrame([], PROFILE)
-    date_like = _matches(C.DATE_PATTERN)
-    plain = None
-    for at in range(0, len(fields), CHUNK):
-        structs = [_column_aggregates(f, at + i, distinct, rsd, lexical, date_like(f.name))
-                   for i, f in enumerate(fields[at:at + CHUNK])]
-        part = df.agg(F.array(*structs).alias("cols")).select(F.inline("cols"))
-        plain = part if plain is None else plain.unionAll(part)
-    if distinct == "exact":
-        # one row per column on both sides: as small as the schema is wide
-        plain = plain.join(F.broadcast(distinct_counts(df)), "ordinal", "left")
+    return profiles([({}, df)], distinct, lexical, log_buckets)
+
+
+def profiles(tables: Sequence[tuple[Mapping[str, Column], DataFrame]], distinct: str = "exact", lexical: bool = False,
+             log_buckets: int = 12) -> DataFrame:
+    """Profiles of several tables, each behind the literal columns given with it.
+
+    All tables share one shuffle of distinct values, so many small tables cost no
+    more stages than one.
+    """
+    plain, counted = [], []
+    for n, (labels, df) in enumerate(tables):
+        fields = df.schema.fields
+        number = F.lit(n).alias("_table")
+        for at in range(0, len(fields), CHUNK):
+            structs = [_column_aggregates(f, at + i, lexical) for i, f in enumerate(fields[at:at + CHUNK])]
+            part = df.agg(F.array(*structs).alias("cols")).select(F.inline("cols"))
+            plain.append(part.select(number, *[v.alias(k) for k, v in labels.items()], "*"))
+        if fields and distinct == "exact":
+            counted.append(cell_keys(df).select(number, "*"))
+        elif fields and distinct == "approx":
+            counted.append(_sketched(df, log_buckets).select(number, "*"))
+    if not plain:
+        return tables[0][1].sparkSession.createDataFrame([], PROFILE)
+    out = reduce(DataFrame.unionAll, plain)
+    if counted:
+        counts = reduce(DataFrame.unionAll, counted)
+        if distinct == "exact":
+            counts = distinct_counts(counts, "_table")
+        # one row per column on both sides: as small as the schemas are wide
+        out = out.join(F.broadcast(counts), ["_table", "ordinal"], "left")
         count = F.coalesce("distinct_cnt", F.lit(0).cast("bigint"))
-    elif distinct == "approx":
-        count = F.col("approx_cnt")
     else:
         count = F.lit(None).cast("bigint")
     total, there = F.col("total"), F.col("present")
@@ -153,8 +179,8 @@ def profile(df: DataFrame, distinct: str = "exact", rsd: float = 0.02, lexical:
         return (F.when(F.col("dtype").isin("float", "double"), cells.as_text(value.cast("double"), T.DoubleType()))
                 .when(F.col("dtype") == "boolean", F.initcap(value)).otherwise(value).alias(name))
 
-    return plain.select(
-        "ordinal", "column_name", "dtype", "kind", "total",
+    return out.select(
+        *tables[0][0], "ordinal", "column_name", "dtype", "kind", "total",
         (total - there).alias("nulls"), cells.ratio(total - there, total).alias("null_rate"),
         count.alias("distinct_cnt"),
         F.when(count.isNotNull(), cells.ratio(count, there)).alias("distinct_ratio"),
@@ -162,12 +188,6 @@ def profile(df: DataFrame, distinct: str = "exact", rsd: float = 0.02, lexical:
     )
 
 
-def _matches(pattern: str):
-    import re
-    compiled = re.compile(pattern)
-    return lambda name: compiled.search(name) is not None
-
-
 def table_metrics(p: DataFrame, *keys: str) -> DataFrame:
     """Rows, columns, null and total cells, null rate and mean fill rate from a profile."""
     cells_total = F.sum("total")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lakegauge import constants as C
 from lakegauge.functions import cells, scoring
-from lakegauge.operators.profile import CHUNK, distinct_counts, quoted
+from lakegauge.operators.profile import CHUNK, cell_keys, distinct_counts, quoted
 
 RESULT = ("column_name string, rule_name string, rule_value string, checked bigint, violations bigint, "
           "passed boolean, score double, details string")
@@ -145,7 +145,7 @@ def _run(df: DataFrame, tests: list[tuple[int, _Test]]) -> DataFrame:
         counted = part if counted is None else counted.unionAll(part)
     unique = [o for o, t in tests if t.rule == "unique"]
     if unique:
-        counted = counted.join(F.broadcast(distinct_counts(df, unique)), "ordinal", "left").withColumn(
+        counted = counted.join(F.broadcast(distinct_counts(cell_keys(df, unique))), "ordinal", "left").withColumn(
             "violations", F.coalesce("violations", F.col("checked") - F.coalesce("distinct_cnt", F.lit(0))))
     checked, bad = F.col("checked"), F.col("violations")
     nothing = (checked == 0) & F.col("empty_passes")

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakegauge import schemas
 from lakegauge.operators import dimensions
-from lakegauge.operators.profile import profile, table_metrics
+from lakegauge.operators.profile import profiles, table_metrics
 from lakegauge.operators.rules import evaluate_rules, rules_for
-from lakegauge.sources.datasets import Dataset, with_envelope
+from lakegauge.sources.datasets import Dataset, envelope, with_envelope
 from lakegauge.sources.sinks import append_run, write_run
 
 _KEYS = [f.name for f in schemas.ENVELOPE.fields]
@@ -43,7 +43,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def scan_profile(datasets: Iterable[Dataset], run_id: str, scanned_at: datetime, **options) -> DataFrame:
     """Profiles of all datasets under their envelopes; one lazy plan."""
-    return _union([with_envelope(profile(d.df, **options), d, run_id, scanned_at) for d in datasets])
+    return profiles([(envelope(d, run_id, scanned_at), d.df) for d in datasets], **options)
 
 
 def table_scores(p: DataFrame, *keys: str) -> DataFrame:

@@ -9,7 +9,7 @@ from lakegauge.functions import cells
 from lakegauge.operators.profile import CHUNK, quoted
 from lakegauge.sources.datasets import Dataset, capped, file_meta
 
-_TRUE_FALSE = r"(?i)^(true|false)$"
+_TRUE_FALSE = "(?i:true|false)"
 
 
 def guess_separator(spark: SparkSession, path: str) -> str:
@@ -23,7 +23,7 @@ def _typed(c: Column, tag: str) -> Column:
     if tag == "bigint":
         return text.try_cast("bigint")
     if tag == "double":
-        return cells.float_of_text(text)
+        return cells.float_of_text(c)
     if tag == "boolean":
         return F.lower(text) == "true"
     return c
@@ -37,13 +37,12 @@ def guess_types(df: DataFrame) -> dict[str, str]:
         checks = []
         for i, name in enumerate(names):
             c = quoted(name)
-            text = cells.strip(c)
             there = F.count(c)
-            whole = F.count_if(text.rlike(r"^[+-]?\d+$") & text.try_cast("bigint").isNotNull())
+            whole = F.count_if(cells.matches_stripped(c, r"[+-]?\d+") & cells.strip(c).try_cast("bigint").isNotNull())
             checks += [
                 F.when(there == 0, "double").when(whole == there, "bigint")
-                .when(F.count_if(cells.is_float_text(text)) == there, "double")
-                .when(F.count_if(text.rlike(_TRUE_FALSE)) == there, "boolean").otherwise("string").alias(f"t{i}")]
+                .when(F.count_if(cells.is_float_text(c)) == there, "double")
+                .when(F.count_if(cells.matches_stripped(c, _TRUE_FALSE)) == there, "boolean").otherwise("string").alias(f"t{i}")]
         row = df.agg(*checks).first()
         tags.update({name: row[f"t{i}"] for i, name in enumerate(names)})
     return tags

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakegauge import constants as C
 from lakegauge.schemas import ENVELOPE_TEXTS
@@ -41,15 +41,19 @@ def run_id_of(moment: datetime) -> str:
     return moment.strftime(C.RUN_ID_FORMAT)
 
 
-def with_envelope(df: DataFrame, dataset: Dataset, run_id: str, scanned_at: datetime) -> DataFrame:
-    """Stamps run and source on every row; blank names fall back to the label."""
+def envelope(dataset: Dataset, run_id: str, scanned_at: datetime) -> dict[str, Column]:
+    """Run and source as literal columns; blank names fall back to the label."""
     text = {k: (dataset.meta.get(k) or "").strip() for k in ENVELOPE_TEXTS}
     text["object_name"] = text["object_name"] or dataset.label
     text["dataset_name"] = text["dataset_name"] or dataset.label
     text["dataset"] = text["dataset_name"]
-    return df.select(
-        F.lit(run_id).alias("run_id"), F.lit(scanned_at).cast("timestamp_ntz").alias("scanned_at"),
-        *[F.lit(text[k]).alias(k) for k in ENVELOPE_TEXTS], "*")
+    return {"run_id": F.lit(run_id), "scanned_at": F.lit(scanned_at).cast("timestamp_ntz"),
+            **{k: F.lit(v) for k, v in text.items()}}
+
+
+def with_envelope(df: DataFrame, dataset: Dataset, run_id: str, scanned_at: datetime) -> DataFrame:
+    """Stamps run and source on every row."""
+    return df.select(*[v.alias(k) for k, v in envelope(dataset, run_id, scanned_at).items()], "*")
 
 
 def scan_parquet(spark: SparkSession, path: str, limit: int | None = None) -> Dataset:

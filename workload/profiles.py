@@ -35,12 +35,7 @@ def datasets(spark, sf_dir, names=tuple(DATASETS)):
 
 
 def profiles(spark, sf_dir, names=tuple(DATASETS), **options) -> DataFrame:
-    parts = [prof.profile(df, **options).withColumn("dataset", F.lit(n))
-             for n, df in datasets(spark, sf_dir, names).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return prof.profiles([({"dataset": F.lit(n)}, df) for n, df in datasets(spark, sf_dir, names).items()], **options)
 
 
 # --- datetime and number texts in SQL -----------------------------------------------
@@ -137,7 +132,7 @@ def column_distinct_metrics(spark, sf_dir):
 def column_distinct_approx(spark, sf_dir):
     """HyperLogLog beside the exact count; the check is that the error stays within five standard errors."""
     keys = ["dataset", "column_name"]
-    approx = profiles(spark, sf_dir, distinct="approx", rsd=0.02).select(
+    approx = profiles(spark, sf_dir, distinct="approx").select(
         *keys, (F.col("total") - F.col("nulls")).alias("present"), F.col("distinct_cnt").alias("approx"))
     exact = profiles(spark, sf_dir).select(*keys, "distinct_cnt")
     near = F.abs(F.col("approx") - F.col("distinct_cnt")) <= F.greatest(F.lit(1.0), 0.1 * F.col("distinct_cnt"))

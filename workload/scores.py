@@ -8,6 +8,7 @@ from lakegauge import constants as C
 from lakegauge.functions import scoring
 from lakegauge.operators import chain, dimensions as dims, profile as prof, rules
 from lakegauge.plans import scan
+from lakegauge.session import work_path
 from workload.checks import ESTIMATE_SQL, SUITE
 from workload.profiles import DATASETS, profile_sql, profiles
 from workload.registry import load, query, rounded
@@ -150,8 +151,11 @@ _G3 = {
 
 
 def _keyed(spark, sf_dir):
-    return profiles(spark, sf_dir, _CHAIN).withColumnRenamed("dataset", "object_name").withColumns(
-        {"run_id": F.lit("run"), "source_type": F.lit("file"), "source_ref": F.lit("testdata")})
+    """The profile as a run would store it: measured once, read by every step of the chain."""
+    path = work_path(spark, "profile")
+    profiles(spark, sf_dir, _CHAIN).withColumnRenamed("dataset", "object_name").withColumns(
+        {"run_id": F.lit("run"), "source_type": F.lit("file"), "source_ref": F.lit("testdata")}).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _chain_sql(body: str) -> str:
