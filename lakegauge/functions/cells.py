@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F, types as T
@@ -21,6 +22,16 @@ _MAYBE_NUMBER = rf"^[{_WS}.,%+\-]*+(?:\d[{_WS}\d.,%+\-_eE]*+$|(?i:i[.,%]*n[.,%]*
 _MAYBE_DATE = rf"^[{_WS}]*+\d[\dT:/.{_WS}-]*+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it.
+
+    Optimizer rules copy an expression to every place that names it, so that a chain
+    of comparisons over a long formula grows with each step. Meant for small result
+    tables: an operator that holds such a body runs outside whole-stage code.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kind_of(data_type: T.DataType) -> str:
     """numeric, temporal, text or nested; booleans count as numeric."""
     if isinstance(data_type, (T.NumericType, T.BooleanType)):
@@ -118,14 +129,18 @@ def _ptbr_plain(text: Column) -> Column:
     return F.translate(text, ",%.", ".")
 
 
+def _ptbr_value(text: Column) -> Column:
+    value = F.nanvl(float_of_text(_ptbr_plain(text)), F.lit(None))
+    return F.when(F.endswith(strip(text), F.lit("%")), value / 100).otherwise(value)
+
+
 def parse_ptbr_number(text: Column) -> Column:
     """'1.234,56' -> 1234.56, '12,5%' -> 0.125; dots are always thousands marks."""
-    value = F.nanvl(float_of_text(_ptbr_plain(text)), F.lit(None))
-    return F.when(text.rlike(_MAYBE_NUMBER), F.when(F.endswith(strip(text), F.lit("%")), value / 100).otherwise(value))
+    return F.when(text.rlike(_MAYBE_NUMBER), _ptbr_value(text))
 
 
 def is_ptbr_number(text: Column) -> Column:
-    return text.rlike(_MAYBE_NUMBER) & is_float_text(_ptbr_plain(text))
+    return F.when(text.rlike(_MAYBE_NUMBER), is_float_text(_ptbr_plain(text))).otherwise(False)
 
 
 def parse_datetime(c: Column, data_type: T.DataType = T.StringType(), day_first: bool = False) -> Column:
@@ -139,16 +154,18 @@ def parse_datetime(c: Column, data_type: T.DataType = T.StringType(), day_first:
         return c.cast("timestamp_ntz")
     if not isinstance(data_type, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
-    text = strip(c)
-    tried = [
-        (text.rlike(shape), [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in
-                             (reversed(patterns) if day_first else patterns)])
-        for shape, patterns in C.DATETIME_SHAPES
-    ]
-    (first_shape, first_values), *rest = tried
-    parsed = reduce(lambda chain, s: chain.when(s[0], F.coalesce(*s[1])), rest,
-                    F.when(first_shape, F.coalesce(*first_values)))
-    return F.when(c.rlike(_MAYBE_DATE), parsed)
+
+    def parsed(text: Column) -> Column:
+        tried = [
+            (text.rlike(shape), [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in
+                                 (reversed(patterns) if day_first else patterns)])
+            for shape, patterns in C.DATETIME_SHAPES
+        ]
+        (first_shape, first_values), *rest = tried
+        return reduce(lambda chain, s: chain.when(s[0], F.coalesce(*s[1])), rest,
+                      F.when(first_shape, F.coalesce(*first_values)))
+
+    return F.when(c.rlike(_MAYBE_DATE), parsed(strip(c)))
 
 
 def epoch_seconds(c: Column) -> Column:

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from lakegauge import constants as C
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is worked out once, however often the body names it.
-
-    Optimizer rules copy an expression to every place that names it; a chain of
-    comparisons over a long formula would grow with each step otherwise.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
+from lakegauge.functions import cells
 
 
 def clamp10(c: Column) -> Column:
@@ -46,7 +38,7 @@ def steps(c: Column, bounds: Sequence[tuple], default, strict: bool = False) ->
 
 def classify(score: Column, bands: str = "scan") -> Column:
     """Band name of a score; no band without a score, the lowest one for NaN."""
-    return let(score.try_cast("double"), lambda value: (
+    return cells.let(score.try_cast("double"), lambda value: (
         F.when(value.isNull(), C.NO_BAND).when(F.isnan(value), C.LOWEST_BAND)
         .otherwise(steps(value, C.BANDS[bands], C.LOWEST_BAND))))
 
