@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, functions as F, types as T
@@ -155,17 +156,24 @@ def parse_datetime(c: Column, data_type: T.DataType = T.StringType(), day_first:
     if not isinstance(data_type, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
 
-    def parsed(text: Column) -> Column:
-        tried = [
-            (text.rlike(shape), [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in
-                                 (reversed(patterns) if day_first else patterns)])
-            for shape, patterns in C.DATETIME_SHAPES
-        ]
-        (first_shape, first_values), *rest = tried
-        return reduce(lambda chain, s: chain.when(s[0], F.coalesce(*s[1])), rest,
-                      F.when(first_shape, F.coalesce(*first_values)))
-
-    return F.when(c.rlike(_MAYBE_DATE), parsed(strip(c)))
+    # read as UTC, so that no hour is lost where the session's zone skips one
+    text = strip(c)
+    zoned = F.concat(text, F.lit("Z"))
+    tried = [
+        (text.rlike(shape), F.coalesce(*[F.try_to_timestamp(zoned, F.lit(p + "X")) for p in
+                                         (reversed(patterns) if day_first else patterns)]))
+        for shape, patterns in C.DATETIME_SHAPES
+    ]
+    (first_shape, first_value), *rest = tried
+    parsed = reduce(lambda chain, s: chain.when(*s), rest, F.when(first_shape, first_value))
+    seconds = (F.unix_micros(F.when(c.rlike(_MAYBE_DATE), parsed)).cast("decimal(20,0)") / 1000000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def moment(value: datetime | Column) -> Column:
+    """A moment without zone. It goes in as text, since a datetime literal would pass
+    through the zones of the Python process and of the session."""
+    return value if isinstance(value, Column) else F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def epoch_seconds(c: Column) -> Column:

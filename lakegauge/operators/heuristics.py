@@ -98,7 +98,7 @@ def heuristic_scores(df: DataFrame, as_of, sla_hours: float = C.SLA_HOURS) -> Da
     or a datetime without zone); it is a parameter so that a run can be repeated.
     """
     v = column_verdicts(heuristic_rates(df))
-    now = cells.epoch_seconds(F.lit(as_of))
+    now = cells.epoch_seconds(cells.moment(as_of))
     best = F.max_by("latest", F.when(F.col("date_share") >= 0.7, F.struct("date_share", -F.col("ordinal"))))
     share = F.sum("validity_sum") / F.nullif(F.sum("validity_parts"), F.lit(0))
     judged = v.agg(

@@ -29,7 +29,7 @@ class StarSpec:
 
 def freshness(df: DataFrame, column: str, as_of, sla_hours: float = C.SLA_HOURS) -> DataFrame:
     """Age in hours of the latest value, and its score against the SLA."""
-    age = (cells.epoch_seconds(F.lit(as_of)) - cells.epoch_seconds(F.max(quoted(column)))) / 3600.0
+    age = (cells.epoch_seconds(cells.moment(as_of)) - cells.epoch_seconds(F.max(quoted(column)))) / 3600.0
     return df.agg(age.alias("age_hours")).withColumn("score", scoring.score10(1 - F.col("age_hours") / sla_hours))
 
 
@@ -44,7 +44,7 @@ def star_scan(fact: DataFrame, parent: DataFrame, spec: StarSpec, as_of) -> Data
     nulls = sum((F.count_if(cells.is_missing(quoted(c), types[c])) for c in spec.required[1:]),
                 F.count_if(cells.is_missing(quoted(spec.required[0]), types[spec.required[0]])))
     late = F.coalesce(quoted(spec.start) > quoted(spec.end), F.lit(False))
-    age = (cells.epoch_seconds(F.lit(as_of)) - cells.epoch_seconds(F.max(quoted(spec.loaded_at)))) / 3600.0
+    age = (cells.epoch_seconds(cells.moment(as_of)) - cells.epoch_seconds(F.max(quoted(spec.loaded_at)))) / 3600.0
     main = fact.agg(
         total.alias("total"), nulls.alias("null_cells"),
         F.count_if(F.coalesce(spec.invalid, F.lit(False))).alias("invalid"), F.count_if(late).alias("late"),

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakegauge import schemas
+from lakegauge.functions import cells
 from lakegauge.operators.heuristics import heuristic_scores
 from lakegauge.operators.runs import latest_per_source
 from lakegauge.sources.inbox import changed_files, file_hashes, normalized_extensions, read_file
@@ -26,7 +27,7 @@ def judged(spark: SparkSession, path: str, source_file: str, ext: str, file_hash
     """The log row of one file."""
     df = sanitize_columns(drop_empty_rows(read_file(spark, path, ext, csv_sep="auto").df), "obj")
     row = heuristic_scores(df, as_of).withColumns({
-        "run_ts": F.lit(run_ts).cast("timestamp_ntz"), "source_file": F.lit(source_file),
+        "run_ts": cells.moment(run_ts), "source_file": F.lit(source_file),
         "file_hash": F.lit(file_hash), "table_name": F.lit(table_name(source_file))})
     return schemas.align(row, schemas.RUN_LOG)
 

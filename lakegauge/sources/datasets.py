@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakegauge import constants as C
+from lakegauge.functions import cells
 from lakegauge.schemas import ENVELOPE_TEXTS
 
 
@@ -47,7 +48,7 @@ def envelope(dataset: Dataset, run_id: str, scanned_at: datetime) -> dict[str, C
     text["object_name"] = text["object_name"] or dataset.label
     text["dataset_name"] = text["dataset_name"] or dataset.label
     text["dataset"] = text["dataset_name"]
-    return {"run_id": F.lit(run_id), "scanned_at": F.lit(scanned_at).cast("timestamp_ntz"),
+    return {"run_id": F.lit(run_id), "scanned_at": cells.moment(scanned_at),
             **{k: F.lit(v) for k, v in text.items()}}
 
 

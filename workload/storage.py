@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F, types as T
 
 from lakegauge import constants as C, schemas
-from lakegauge.operators import profile as prof
+from lakegauge.functions import cells
 from lakegauge.plans import batch, scan
 from lakegauge.session import work_path
 from lakegauge.sources import csv, inbox, sinks
@@ -137,7 +137,7 @@ def run_log_append(spark, sf_dir):
     """A log whose older rows lack the hash column grows without losing them."""
     path = work_path(spark, "log")
     rows = load(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("total_registros")) \
-        .withColumns({"run_ts": F.lit(AT).cast("timestamp_ntz"), "table_name": F.lit("stg.src"),
+        .withColumns({"run_ts": cells.moment(AT), "table_name": F.lit("stg.src"),
                       "source_file": F.concat(F.lit("day"), F.col("l_linenumber").cast("string"))})
     older = T.StructType([f for f in schemas.RUN_LOG.fields if f.name != "file_hash"])
     schemas.align(rows.where(F.col("l_linenumber") < 4), older).write.parquet(path)
@@ -191,7 +191,7 @@ def inbox_batch(spark, sf_dir):
     log = work_path(spark, "log")
     for run_ts in (AT, datetime(2024, 3, 2, 8, 0)):
         latest = batch.run_inbox(spark, sf_dir, log, run_ts, ORDERS_AS_OF)
-    return latest.where(F.col("run_ts") == F.lit(AT).cast("timestamp_ntz")).select(
+    return latest.where(F.col("run_ts") == cells.moment(AT)).select(
         "table_name", "source_file", "completude", F.col("total_registros").alias("n"))
 
 
