@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check_queries import TABLES, table
+from workload import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     got = table(df.columns, [tuple(r) for r in df.collect()])
@@ -27,7 +28,8 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
