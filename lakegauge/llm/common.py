@@ -57,8 +57,8 @@ def text_of(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def map_text(df: DataFrame, keep: Sequence[str], text: str, fields: Sequence[T.StructField],
-             make: Callable[[], Callable[[pa.Array], list]], limit: int = BLOCK_BYTES) -> DataFrame:
-    """The kept columns and new ones, which the function made once per task computes from the texts.
+             make: Callable[[], Callable[[pa.Array, pa.RecordBatch], list]], limit: int = BLOCK_BYTES) -> DataFrame:
+    """The kept columns and new ones, which the function made once per task computes from texts and kept columns.
 
     A kept column that has the name of a new one gives way to it.
     """
@@ -70,7 +70,7 @@ def map_text(df: DataFrame, keep: Sequence[str], text: str, fields: Sequence[T.S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for part in blocks(batches, "__text", limit):
-            made = fn(text_of(part, "__text"))
+            made = fn(text_of(part, "__text"), part)
             yield pa.RecordBatch.from_arrays(
                 [part.column(i) for i in range(len(keep))]
                 + [v if isinstance(v, pa.Array) else pa.array(v) for v in made], names=keep + new)
@@ -110,6 +110,20 @@ def text_hashes(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
 
 
+def id_hashes(ids: pa.Array) -> np.ndarray:
+    """A 64-bit word per id, whatever its type; null counts as 0 or as an empty text."""
+    if pa.types.is_integer(ids.type):
+        return mix(pc.fill_null(ids, 0).cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64))
+    return text_hashes(pc.fill_null(ids.cast(pa.string()), ""))
+
+
+def list_array(parts: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
+    """Arrays of numbers as one list column."""
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64) if kind == pa.int64() else flat, kind))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit words."""
     x = x.astype(np.uint64, copy=True)

@@ -173,7 +173,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text
         letters = _Letters()
         table = [(np.sort(np.array(known[n], np.int64)), np.argsort(np.array(known[n], np.int64))) for n in names]
 
-        def run(texts: pa.Array) -> list:
+        def run(texts: pa.Array, _: pa.RecordBatch) -> list:
             lines = texts.to_pylist()
             owners, codes, keys = _block_grams(lines, letters)
             ranked = np.full((len(names), max(1, len(keys))), 2 * size, np.int64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegauge.llm import language
+from lakegauge.llm import jaccard, language
 from lakegauge.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = language.profiles(docs.where(remainder(F.col("doc_id"), 4) != 2))
     return language.identify(docs.withColumn("held_out", remainder(F.col("doc_id"), 4) == 2), known,
                              ["doc_id", "held_out"])
+
+
+@query("op9_jaccard")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(documents(spark, sf_dir), width=4, percent=85)
