@@ -25,7 +25,7 @@ from lakegauge.llm.components import merged
 SKETCH_BITS = 20
 _PARTS = 64
 _OPEN_PAIRS = 8  # at first, groups are opened whole that hold no more pairs than this for each member and query
-_SPACING = 40
+_SPACING = 20
 
 
 def need(n: int, percent: int) -> int:
@@ -116,8 +116,8 @@ def _keys(digests: list[bytes], ids: pa.Array) -> np.ndarray:
     return mix(np.frombuffer(b"".join(digests), np.uint64)[::2] ^ id_hashes(ids))
 
 
-def _shared_tokens(sets: DataFrame) -> DataFrame:
-    """(sid, n, group, tokens): the signature tokens that other sets may have too; sets without any are out."""
+def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, group, tokens): the signature tokens that other sets have too; sets with too few of them are out."""
     counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1")
     bits = sets.sparkSession.sparkContext.broadcast(bloom(counts, "token"))
 
@@ -132,12 +132,22 @@ def _shared_tokens(sets: DataFrame) -> DataFrame:
             kept = flat[there].view(np.int64)
             own = pa.array(some)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).filter(own), b.column(1).filter(own), pa.array(kept[at[:-1][some]]),
+                [b.column(0).filter(own), b.column(1).filter(own),
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(at)[some])]), pa.int32()),
-                                          pa.array(kept))], names=["sid", "n", "group", "tokens"])
-
-    return stored(sets.select("sid", "n", "tokens").mapInArrow(keep, "sid bigint, n bigint, group bigint, tokens array<bigint>"),
-                  "tokens")
+                                          pa.array(kept))], names=["sid", "n", "tokens"])
+
+    rows = stored(sets.select("sid", "n", "tokens").mapInArrow(keep, "sid bigint, n bigint, tokens array<bigint>")
+                  .where(F.size("tokens") >= _least_hits(percent)), "tokens")
+    # what is left is counted anew, exactly, until hardly a set goes: a token whose other sets are out is not shared
+    before, now = 0, rows.count()
+    while before == 0 or now < 0.9 * before:
+        each = rows.select("sid", "n", F.posexplode("tokens").alias("place", "token"))
+        common = each.groupBy("token").count().where("count > 1").select("token")
+        rows = stored(each.join(common, "token", "left_semi").groupBy("sid", "n")
+                      .agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("tokens"))
+                      .where(F.size("tokens") >= _least_hits(percent)).select("sid", "n", F.col("tokens.token").alias("tokens")), "tokens")
+        before, now = now, rows.count()
+    return rows.withColumn("group", F.col("tokens")[0])
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
@@ -145,20 +155,24 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def _least_hits(percent: int) -> Column:
+    """Signature tokens that a set of n has in common with a linked one, which has need(n) tokens at least."""
+    return 1 + F.floor(F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) / _SPACING)
+
+
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     """(sid, n, group, own, near): the groups that a set must be held against, its own among them.
 
-    A linked set of m >= need(n) tokens shares at least 1 + need(n) // 40 signature tokens.
+    In its own group only tokens count that another member has too.
     """
     rows = sets.select("sid", "n", F.col("group").alias("home"), F.explode("tokens").alias("token"))
     matrix = rows.groupBy("token", F.col("home").alias("group")).agg(
         F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
-    least = F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9)
+    own = F.col("group") == F.col("home")
     met = (rows.join(matrix, "token").where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
+           .where(~own | (F.col("members") > 1))
            .groupBy("sid", "n", "group", "home").agg(F.count("*").alias("hits"), F.sum("members").alias("near")))
-    bound = 1 + F.floor(least / _SPACING)
-    found = met.where((F.col("hits") >= bound) | (F.col("group") == F.col("home")))
-    return found.select("sid", "n", "group", (F.col("group") == F.col("home")).alias("own"), "near")
+    return met.where(F.col("hits") >= _least_hits(percent)).select("sid", "n", "group", own.alias("own"), "near")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +195,7 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
     smallest id that is not null. Whole texts are read; no limit on the size of a group or on the partners of a document.
     """
     docs = plain(docs, id, text).toDF("id", "text")
-    signed = stored(_signatures(docs, "id", "text", width, percent, frequent_buckets(docs, "text", width)), "signatures")
+    signed = _signatures(docs, "id", "text", width, percent, frequent_buckets(docs, "text", width))
     sets = stored(signed.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("id"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
         .withColumn("sid", F.monotonically_increasing_id()), "sets")
@@ -197,12 +211,12 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
 
 def _components(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, comp) for the sets that have candidates."""
-    shared = _shared_tokens(sets)
+    shared = _shared_tokens(sets, percent)
     found = stored(_candidates(shared, percent), "candidates")
-    homes = found.where("own").select("sid", "group", F.col("n").alias("m"), "near")
-    crowd = found.groupBy("group").agg(F.count("*").alias("c")).where("c > 1").select("group")
-    found = found.join(crowd, "group", "left_semi")
-    members = stored(homes.join(crowd, "group", "left_semi"), "members")
+    # members of the groups that someone is held against; how near each is to the rest of its group
+    near = found.where("own").select("sid", "near")
+    members = stored(shared.select("sid", "group", F.col("n").alias("m")).join(found.select("group").distinct(), "group", "left_semi")
+                     .join(near, "sid", "left").fillna(0, ["near"]), "members")
     wanted = stored(found.select("sid").union(members.select("sid")).distinct(), "wanted")
     full = _whole_sets(docs, sets.join(wanted, "sid", "left_semi").select("sid", "digest", "key"), width)
     labels = wanted.select(F.col("sid").alias("node"), F.col("sid").alias("comp"))
