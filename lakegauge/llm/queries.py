@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegauge.llm import jaccard, language, secrets, substring
+from lakegauge.llm import jaccard, language, packing, secrets, substring
 from lakegauge.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                              ["doc_id", "held_out"])
 
 
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(packing.pieces(documents(spark, sf_dir), ["doc_id"]))
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @query("op9_jaccard")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(documents(spark, sf_dir), width=4, percent=85)
