@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegauge.llm import jaccard, language, packing, secrets, substring
+from lakegauge.llm import jaccard, language, lines, packing, secrets, substring
 from lakegauge.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                              ["doc_id", "held_out"])
 
 
+@query("op6_lines", lines.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judged(documents(spark, sf_dir))
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed(packing.pieces(documents(spark, sf_dir), ["doc_id"]))
