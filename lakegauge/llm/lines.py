@@ -18,7 +18,7 @@ MIN_DOCS, MAX_SHARE = 20, 0.005  # a line goes when more documents of its host h
 MAX_LOST = 50  # per cent of words that removed lines may take
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """The body with the value computed once; a plain reference would be computed again for every array element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -41,7 +41,7 @@ def repeated_words(words: Column) -> Column:
     """
     def covered(h: Column, n: Column) -> Column:
         bits = F.ceil(F.log2(n.cast("double") + 1)).cast("int")
-        return _let(F.expr("cast(1 as bigint)") * F.pow(F.lit(2.0), bits).cast("bigint") - 1, lambda low: _let(
+        return let(F.expr("cast(1 as bigint)") * F.pow(F.lit(2.0), bits).cast("bigint") - 1, lambda low: let(
             F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(
                 F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("bigint")))),
             lambda p: places(p, low)))
@@ -57,7 +57,7 @@ def repeated_words(words: Column) -> Column:
         return F.aggregate(F.array_sort(F.transform(again, lambda x: x.bitwiseAND(low))), start, lambda a, x: F.struct(
             x.alias("at"), (a["n"] + F.least(F.lit(3).cast("bigint"), x - a["at"])).alias("n")), lambda a: a["n"])
 
-    return _let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) < 4, F.lit(0).cast("bigint"))
+    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) < 4, F.lit(0).cast("bigint"))
                 .otherwise(covered(h, F.size(h))))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegauge.llm import jaccard, language, lines, packing, secrets, substring
+from lakegauge.llm import jaccard, language, lines, packing, secrets, simhash, substring
 from lakegauge.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(documents(spark, sf_dir), width=4, percent=85)
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(documents(spark, sf_dir))
