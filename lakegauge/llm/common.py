@@ -120,7 +120,7 @@ def id_hashes(ids: pa.Array) -> np.ndarray:
 def list_array(parts: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
     """Arrays of numbers as one list column."""
     at = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    flat = np.concatenate(parts) if parts else np.zeros(0, kind.to_pandas_dtype())
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64) if kind == pa.int64() else flat, kind))
 
 

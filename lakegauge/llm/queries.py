@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegauge.llm import jaccard, language, lines, packing, secrets, simhash, substring
+from lakegauge.llm import jaccard, language, lines, packing, quality, secrets, simhash, substring
 from lakegauge.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
+    return quality.scored(docs.withColumn("held_out", remainder(F.col("doc_id"), 5) == 0), model, ["doc_id", "held_out"])
+
+
 @query("op3_substring")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(documents(spark, sf_dir))
@@ -72,4 +79,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.report(documents(spark, sf_dir))
+    rows = simhash.report(documents(spark, sf_dir))
+    # search: each document whose id is divisible by 20, against all; n_near counts the documents within 3 bits, itself too
+    counts = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).withColumn("mark", simhash.as_number(F.col("fingerprint")))
+    asked = rows.where(F.col("doc_id") % 20 == 0).select(simhash.as_number(F.col("fingerprint")).alias("mark"))
+    near = simhash.within(asked, counts.select("mark")).join(counts.withColumnRenamed("mark", "found"), "found") \
+        .groupBy("query").agg(F.sum("n").alias("n_near"))
+    return rows.join(near, (simhash.as_number(F.col("fingerprint")) == near.query) & (F.col("doc_id") % 20 == 0), "left").drop("query") \
+        .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")

@@ -48,6 +48,10 @@ def as_text(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), BITS // 4, "0")
 
 
+def as_number(text: Column) -> Column:
+    return F.conv(text, 16, -10).cast("bigint")
+
+
 def with_next(rows: DataFrame, id: str, value: str, tie: str, name: str) -> DataFrame:
     """The rows with `uid`, a number of its own for each, and as column `name` the value of the row that follows in
     ascending id; the first follows the last.
@@ -100,10 +104,10 @@ def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     rows = stored(said.join(pairs, "uid", "left").select(
         "id", "tie", "n_chars", "edited_sha256", F.coalesce("own", none).alias("own"), F.coalesce("changed", none).alias("changed")), "marks")
     rows = with_next(rows, "id", "own", "tie", "next")
-    return rows.select(F.col("id").alias(id), "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"),
+    return stored(rows.select(F.col("id").alias(id), "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"),
                        as_text(F.col("changed")).alias("edited_fingerprint"),
                        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-                       F.coalesce(likeness(F.col("own"), F.col("next")), F.lit(0.0)).alias("near_next"))
+                       F.coalesce(likeness(F.col("own"), F.col("next")), F.lit(0.0)).alias("near_next")), "marks")
 
 
 def tables(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
