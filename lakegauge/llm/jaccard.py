@@ -2,8 +2,8 @@
 
 Documents are sets of word n-grams. Equal sets are one set. Each set keeps a signature: its first tokens in an order that
 all sets share, rare tokens before frequent ones, long enough that two sets above the threshold have a stated number of
-signature tokens in common. Sets that begin with the same shared token form a group, and the matrix (token, group) holds
-the union of each group's signatures. A set is compared with members of a group only if enough of its signature lies in
+signature tokens in common. Sets with the same least token of usual frequency form a group, and the matrix (token, group)
+holds the union of each group's signatures. A set is compared with members of a group only if enough of its signature lies in
 that union. Groups are opened leader first: who links to the leader is in its component and need not be compared with
 the other members of that component. What is compared is the whole sets.
 """
@@ -22,7 +22,7 @@ from lakegauge.llm.common import (Words, blocks, bloom, grams, id_hashes, in_blo
                                   text_of)
 from lakegauge.llm.components import merged
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 _PARTS = 64
 _OPEN_PAIRS = 8  # at first, groups are opened whole that hold no more pairs than this for each member and query
 _SPACING = 20
@@ -51,36 +51,37 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def frequent_buckets(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Which of 2**20 buckets of tokens are crowded, counted over all documents; a table of one fixed size.
+    """Which of 2**22 buckets of tokens are crowded, counted over all documents; a table of one fixed size.
 
-    It only sets the order of tokens, which every set shares, so no result depends on it.
+    It only sets the order of tokens, which every set shares, so no result depends on it. A task's counts are bytes that
+    stop at 255, and sums are 16-bit numbers that stop at 65535, well above what counts as crowded.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for part in blocks(batches, "text"):
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
+        for part in blocks(batches, "text", 16 << 20):
             sets = list(shingle_sets(text_of(part, "text"), width))
             if sets:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
-                                     minlength=len(total))
+                                     minlength=len(total)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(
-            [p.astype(np.uint32).tobytes() for p in np.split(total, _PARTS)], pa.binary())], names=["part", "counts"])
+            [p.tobytes() for p in np.split(np.minimum(total, 255).astype(np.uint8), _PARTS)], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[part] = held.get(part, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+                held[part] = held.get(part, 0) + np.frombuffer(counts, np.uint8).astype(np.int64)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(
-                [v.tobytes() for v in held.values()], pa.binary())], names=["part", "counts"])
+                [np.minimum(v, 65535).astype("<u2").tobytes() for v in held.values()], pa.binary())], names=["part", "counts"])
 
     schema = "part int, counts binary"
     rows = plain(docs, text).toDF("text").mapInArrow(count, schema).repartition(_PARTS, "part").mapInArrow(add, schema).toArrow()
-    total = np.zeros((_PARTS, (1 << SKETCH_BITS) // _PARTS), np.int64)
+    total = np.zeros((_PARTS, (1 << SKETCH_BITS) // _PARTS), np.uint16)
     for part, counts in zip(rows["part"].to_pylist(), rows["counts"].to_pylist()):
-        total[part] += np.frombuffer(counts, np.int64)
-    total = total.ravel()
-    return total > 2 * total.mean() + 200
+        total[part] = np.frombuffer(counts, "<u2")
+    mean = float(total.mean())
+    return total.ravel() > mean + 8 * mean ** 0.5 + 30
 
 
 def _signatures(docs: DataFrame, id: str, text: str, width: int, percent: int, crowded: np.ndarray) -> DataFrame:
@@ -117,7 +118,10 @@ def _keys(digests: list[bytes], ids: pa.Array) -> np.ndarray:
 
 
 def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, group, tokens): the signature tokens that other sets have too; sets with too few of them are out."""
+    """(sid, n, can, group, tokens): the signature tokens that other sets have too; sets with too few of them are out.
+
+    `can` is how many of its tokens a set can share with another at most.
+    """
     counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1")
     bits = sets.sparkSession.sparkContext.broadcast(bloom(counts, "token"))
 
@@ -142,17 +146,26 @@ def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
     before, now = 0, rows.count()
     while before == 0 or now < 0.9 * before:
         each = rows.select("sid", "n", F.posexplode("tokens").alias("place", "token"))
-        common = each.groupBy("token").count().where("count > 1").select("token")
-        rows = stored(each.join(common, "token", "left_semi").groupBy("sid", "n")
-                      .agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("tokens"))
-                      .where(F.size("tokens") >= _least_hits(percent)).select("sid", "n", F.col("tokens.token").alias("tokens")), "tokens")
+        common = each.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+        rows = stored(each.join(common, "token").groupBy("sid", "n")
+                      .agg(F.array_sort(F.collect_list(F.struct("place", "token", "sets"))).alias("t"))
+                      .where(F.size("t") >= _least_hits(percent))
+                      .select("sid", "n", F.col("t.token").alias("tokens"), F.col("t.sets").alias("sets")), "tokens")
         before, now = now, rows.count()
-    return rows.withColumn("group", F.col("tokens")[0])
+    # near copies share most of their tokens, so a token as frequent as most of a set's tokens names its group: a rarer
+    # one would split the copies, a more frequent one throw them together with strangers
+    middle = F.get(F.array_sort("sets"), F.floor(F.size("sets") / 2).cast("int"))
+    rows = rows.withColumn("middle", middle)
+    usual = F.filter(F.arrays_zip("tokens", "sets"), lambda t: (t["sets"] * 2 >= F.col("middle")) & (t["sets"] <= F.col("middle") * 2))
+    # a signature token that no other set has is missing from every partner
+    missing = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1 + F.floor(F.col("n") / _SPACING)) - F.size("tokens")
+    return rows.select("sid", "n", (F.col("n") - missing).cast("bigint").alias("can"), F.array_min(F.transform(usual, lambda t: t["tokens"])).alias("group"), "tokens")
 
 
-def _fits(a: str, b: str, percent: int) -> Column:
-    """Set sizes that can reach the threshold."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _fits(percent: int) -> Column:
+    """Whether sets of n and m tokens, of which can_n and can_m may be shared, can reach the threshold."""
+    both = F.least("can_n", "can_m")
+    return both * 100 >= (F.col("n") + F.col("m") - both) * percent
 
 
 def _least_hits(percent: int) -> Column:
@@ -161,18 +174,18 @@ def _least_hits(percent: int) -> Column:
 
 
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, group, own, near): the groups that a set must be held against, its own among them.
+    """(sid, n, can_n, group, own, near): the groups that a set must be held against, its own among them.
 
     In its own group only tokens count that another member has too.
     """
-    rows = sets.select("sid", "n", F.col("group").alias("home"), F.explode("tokens").alias("token"))
+    rows = sets.select("sid", "n", "can", F.col("group").alias("home"), F.explode("tokens").alias("token"))
     matrix = rows.groupBy("token", F.col("home").alias("group")).agg(
         F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
     own = F.col("group") == F.col("home")
     met = (rows.join(matrix, "token").where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
            .where(~own | (F.col("members") > 1))
-           .groupBy("sid", "n", "group", "home").agg(F.count("*").alias("hits"), F.sum("members").alias("near")))
-    return met.where(F.col("hits") >= _least_hits(percent)).select("sid", "n", "group", own.alias("own"), "near")
+           .groupBy("sid", "n", "can", "group", "home").agg(F.count("*").alias("hits"), F.sum("members").alias("near")))
+    return met.where(F.col("hits") >= _least_hits(percent)).select("sid", "n", F.col("can").alias("can_n"), "group", own.alias("own"), "near")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -215,12 +228,12 @@ def _components(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> D
     found = stored(_candidates(shared, percent), "candidates")
     # members of the groups that someone is held against; how near each is to the rest of its group
     near = found.where("own").select("sid", "near")
-    members = stored(shared.select("sid", "group", F.col("n").alias("m")).join(found.select("group").distinct(), "group", "left_semi")
+    members = stored(shared.select("sid", "group", F.col("n").alias("m"), F.col("can").alias("can_m")).join(found.select("group").distinct(), "group", "left_semi")
                      .join(near, "sid", "left").fillna(0, ["near"]), "members")
     wanted = stored(found.select("sid").union(members.select("sid")).distinct(), "wanted")
     full = _whole_sets(docs, sets.join(wanted, "sid", "left_semi").select("sid", "digest", "key"), width)
     labels = wanted.select(F.col("sid").alias("node"), F.col("sid").alias("comp"))
-    found = stored(found.select("sid", "n", "group"), "candidates")
+    found = stored(found.select("sid", "n", "can_n", "group"), "candidates")
     leaders, few = 1, _OPEN_PAIRS
     while True:
         comp = labels.select(F.col("node").alias("sid"), "comp")
@@ -237,10 +250,10 @@ def _components(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> D
         whole = each.where(F.col("pairs") <= few * (F.col("x") + F.col("y"))).select("group")
         large = each.where(F.col("pairs") > few * (F.col("x") + F.col("y"))).select("group")
         first = there.join(large, "group", "left_semi").groupBy("group", F.pmod(F.xxhash64("sid"), F.lit(leaders)).alias("s")).agg(
-            F.max_by(F.struct("sid", "m", "other"), F.struct("near", F.col("sid"))).alias("l")).select("group", "l.*")
-        held = there.select("group", F.col("sid").alias("b"), "m", "other").join(whole, "group", "left_semi") \
-            .unionByName(first.select("group", F.col("sid").alias("b"), "m", "other"))
-        pairs = asked.join(held, "group").where((F.col("comp") != F.col("other")) & (F.col("sid") != F.col("b")) & _fits("n", "m", percent)) \
+            F.max_by(F.struct("sid", "m", "can_m", "other"), F.struct("near", F.col("sid"))).alias("l")).select("group", "l.*")
+        held = there.select("group", F.col("sid").alias("b"), "m", "can_m", "other").join(whole, "group", "left_semi") \
+            .unionByName(first.select("group", F.col("sid").alias("b"), "m", "can_m", "other"))
+        pairs = asked.join(held, "group").where((F.col("comp") != F.col("other")) & (F.col("sid") != F.col("b")) & _fits(percent)) \
             .select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
         links = stored(_verified(pairs, full, percent), "links")
         # a leader has now been held against all who asked, and a group opened whole is done
