@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegauge.llm import jaccard, language, lines, packing, quality, secrets, simhash, substring
+from lakegauge.llm import jaccard, language, lines, maxent, packing, pieces, quality, secrets, simhash, substring
 from lakegauge.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(documents(spark, sf_dir))
 
 
+@query("op4_maxent")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", remainder(F.col("doc_id"), 5) == 1)
+    return maxent.scored(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 @query("op5_language")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -72,6 +78,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op8_pieces")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), ["doc_id"])
+
+
 @query("op9_jaccard")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(documents(spark, sf_dir), width=4, percent=85)
