@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegauge.llm import language
+from lakegauge.llm import jaccard, language, packing, secrets, substring
 from lakegauge.session import work_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,11 +22,50 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of 0.8 or more on five-word shingles connect: that with the least id.
+
+    Rows with one id are told apart by their texts; of equal rows one stays. Null ids come last.
+    """
+    # hex digits that sort as the ids do, then the text
+    number = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    key = F.concat_ws(":", F.coalesce(number, F.lit("~")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    keyed = docs.select(*COLUMNS).withColumn("key", key)
+    found = jaccard.linked(keyed.select("key", "text"), id="key", width=5, percent=80)
+    kept = found.where(F.col("key") == F.col("component_id")).select("key").distinct()
+    return keyed.join(kept, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in COLUMNS]).select(*COLUMNS)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that windows of 35 repeat; a document of which no word is left goes."""
+    left = substring.without_repeats(docs.select(*COLUMNS))
+    return counted(left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every secret replaced by a mark."""
+    return counted(secrets.redacted(docs.select(*COLUMNS)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    rows = packing.packed(packing.pieces(docs, ["doc_id"]))
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", known_language),
+    ("near_duplicates", one_of_each_group),
+    ("repeats", without_repeats),
+    ("secrets", without_secrets),
+    ("packing", packed),
 ]
 
-# languages, links and packing are no SQL: tests/llm holds the brute-force version
+# languages, test batteries and packing are no SQL: tests/llm holds the stages against brute-force versions
 ORACLE_SQL: str | None = None
 
 
