@@ -57,19 +57,6 @@ NA_TOKENS = (
     "n/a", "nan", "null",
 )
 
-# Accepted datetime shapes: (shape, patterns tried in order). Slashed dates with
-# the year last are ambiguous; the day-first list is tried in the other order.
-DATETIME_SHAPES = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ("yyyy-M-d H:m:s",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$", ("yyyy-M-d H:m:s.SSSSSS",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ("yyyy-M-d'T'H:m:s",)),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", ("M/d/yyyy H:m:s", "d/M/yyyy H:m:s")),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
-)
-
 # --- labels and texts ---------------------------------------------------------
 LABEL_COLUMNS = (
     "dataset_label", "dataset_name", "dataset", "object_name", "source_name",

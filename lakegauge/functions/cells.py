@@ -20,7 +20,12 @@ _FLOAT_WORD = r"[+-]?(?i:infinity|inf|nan)"
 # Cheap tests that nearly all prose fails within a few characters. A pt-BR number
 # opens with signs and a digit, or spells a float word with marks strewn in.
 _MAYBE_NUMBER = rf"^[{_WS}.,%+\-]*+(?:\d[{_WS}\d.,%+\-_eE]*+$|(?i:i[.,%]*n[.,%]*f|n[.,%]*a[.,%]*n))"
-_MAYBE_DATE = rf"^[{_WS}]*+\d[\dT:/.{_WS}-]*+$"
+_MAYBE_DATE = rf"^[{_WS}]*+\d[\dTZ:/.+{_WS}-]*+(?:[A-Za-z]{{3,9}}\.?,?[ -][\dTZ:.+{_WS}-]*+)?$"
+_TIME = r"(?:[T ](\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,9}))?)? ?(Z|[+-]\d{2}:?\d{2})?)?$"
+_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})" + _TIME
+_YEAR_LAST = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + _TIME
+_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
+_NAMED = r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})" + _TIME
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,11 +94,20 @@ def as_text(c: Column, data_type: T.DataType) -> Column:
 
 
 def _float_text(c: Column, data_type: T.DataType) -> Column:
-    """Plain digits where the JVM would already switch to exponents (1e7 up to 1e16)."""
+    """Plain digits from 1e-4 up to 1e16, where the JVM would already switch to exponents; beyond, 1e-05 and 1e+16."""
     large = F.abs(c).between(1e7, 9999999999999998.0)
     digits = F.rtrim(c.cast("decimal(38,12)").cast("string"), F.lit("0"))
     plain = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
-    return F.when(large, plain).otherwise(c.cast("string"))
+    text = c.cast("string")
+    # the JVM writes d.dddE-4
+    figures = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.0$", ""), r"\.", "")
+    sign = F.when(c < 0, "-").otherwise("")
+    small = F.concat(sign, F.lit("0.000"), figures)
+    power = F.regexp_extract(text, r"E(-?)([0-9]+)$", 2)
+    exponent = F.concat(F.when(F.contains(text, F.lit("E-")), "e-").otherwise("e+"),
+                        F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
+    far = F.concat(sign, F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)E", 1), r"\.0$", ""), exponent)
+    return F.when(large, plain).when(F.endswith(text, F.lit("E-4")), small).when(F.contains(text, F.lit("E")), far).otherwise(text)
 
 
 def safe_str(c: Column, data_type: T.DataType = T.StringType()) -> Column:
@@ -145,29 +159,44 @@ def is_ptbr_number(text: Column) -> Column:
 
 
 def parse_datetime(c: Column, data_type: T.DataType = T.StringType(), day_first: bool = False) -> Column:
-    """Lenient datetime: numbers give null, texts are matched to a fixed list of shapes.
+    """Lenient datetime: numbers give null, texts are taken apart by pattern and put together from their parts.
 
-    A cheap shape test picks the format, so text that is no date never reaches
-    a (throwing) formatter. Returns timestamp without zone.
+    Read are year-first dates with - or /, year-last dates with - / or . (month first unless told otherwise or it
+    exceeds 12), eight digits, and `05 Jan 2024`; each but the digits with an optional time of minutes, seconds or
+    fractions (kept to microseconds) and zone, which is converted to UTC. No formatter is involved, so a text that is
+    no date costs no exception. Returns timestamp without zone.
     """
     kind = kind_of(data_type)
     if kind == "temporal":
         return c.cast("timestamp_ntz")
     if not isinstance(data_type, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
-
-    # read as UTC, so that no hour is lost where the session's zone skips one
     text = strip(c)
-    zoned = F.concat(text, F.lit("Z"))
-    tried = [
-        (text.rlike(shape), F.coalesce(*[F.try_to_timestamp(zoned, F.lit(p + "X")) for p in
-                                         (reversed(patterns) if day_first else patterns)]))
-        for shape, patterns in C.DATETIME_SHAPES
-    ]
-    (first_shape, first_value), *rest = tried
-    parsed = reduce(lambda chain, s: chain.when(*s), rest, F.when(first_shape, first_value))
-    seconds = (F.unix_micros(F.when(c.rlike(_MAYBE_DATE), parsed)).cast("decimal(20,0)") / 1000000).cast("decimal(18,6)")
-    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    # year|month|day|hour|minute|second|fraction|zone
+    parts = F.when(text.rlike(_YEAR_FIRST), F.regexp_replace(text, _YEAR_FIRST, "$1|$3|$4|$5|$6|$7|$8|$9")) \
+        .when(text.rlike(_YEAR_LAST), F.regexp_replace(text, _YEAR_LAST, "$4|$1|$3|$5|$6|$7|$8|$9|?")) \
+        .when(text.rlike(_DIGITS), F.regexp_replace(text, _DIGITS, "$1|$2|$3|||||")) \
+        .when(text.rlike(_NAMED), F.regexp_replace(text, _NAMED, "$3|$2|$1|$4|$5|$6|$7|$8"))
+    parsed = F.transform(F.array(F.split(F.when(c.rlike(_MAYBE_DATE), parts), r"\|")), lambda p: _assembled(p, day_first))
+    return F.get(parsed, F.lit(0))
+
+
+def _assembled(p: Column, day_first: bool) -> Column:
+    def number(i: int) -> Column:
+        return F.coalesce(F.get(p, F.lit(i)).try_cast("int"), F.lit(0))
+
+    month = F.get(p, F.lit(1))
+    named = (F.position(F.lower(F.substring(month, 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3
+    first = F.when(month.rlike("^[0-9]"), month.try_cast("int")).when(named == F.floor(named), named.cast("int")).otherwise(0)
+    second = number(2)
+    swapped = (F.size(p) > 8) & ((second <= 12) if day_first else (first > 12))
+    seconds = F.concat(number(5).cast("string"), F.lit("."), F.substring(F.rpad(F.get(p, F.lit(6)), 6, "0"), 1, 6)).try_cast("decimal(16,6)")
+    made = F.try_make_timestamp_ntz(number(0), F.when(swapped, second).otherwise(first), F.when(swapped, first).otherwise(second),
+                                    number(3), number(4), seconds)
+    zone = F.replace(F.get(p, F.lit(7)), F.lit(":"), F.lit(""))
+    ahead = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
+    ahead = F.when(zone.startswith("-"), -ahead).when(zone.startswith("+"), ahead)
+    return made - F.make_dt_interval(mins=F.coalesce(ahead, F.lit(0)))
 
 
 def moment(value: datetime | Column) -> Column:

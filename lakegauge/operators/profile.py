@@ -183,7 +183,8 @@ def profiles(tables: Sequence[tuple[Mapping[str, Column], DataFrame]], distinct:
         *tables[0][0], "ordinal", "column_name", "dtype", "kind", "total",
         (total - there).alias("nulls"), cells.ratio(total - there, total).alias("null_rate"),
         count.alias("distinct_cnt"),
-        F.when(count.isNotNull(), cells.ratio(count, there)).alias("distinct_ratio"),
+        # an estimated count may exceed the cells there are
+        F.when(count.isNotNull(), cells.ratio(F.least(count, there), there)).alias("distinct_ratio"),
         shown("min_value"), shown("max_value"), "avg_len", "max_len", "non_blank", "parse_ok", "type_count",
     )
 

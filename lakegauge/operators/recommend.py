@@ -18,11 +18,11 @@ def review_recommendations(detail: DataFrame, run_id: str, n: int = 10) -> DataF
     rows = attention(detail, n).select(
         F.lit(run_id).alias("run_id"), F.lit("Alta").alias("prioridade"), "dataset_label",
         F.format_string(C.REVIEW_TEXT, "column_name", "dataset_label").alias("recomendacao"))
-    # a list of at most n rows: counting it tells whether the fallback row is due
-    fallback = rows.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0).select(
-        F.lit(run_id).alias("run_id"), F.lit("Média").alias("prioridade"), F.lit("").alias("dataset_label"),
-        F.lit(C.REVIEW_EMPTY).alias("recomendacao"))
-    return rows.unionByName(fallback)
+    fallback = F.array(F.struct(F.lit(run_id).alias("run_id"), F.lit("Média").alias("prioridade"),
+                                F.lit("").alias("dataset_label"), F.lit(C.REVIEW_EMPTY).alias("recomendacao")))
+    # at most n rows, read once
+    listed = rows.agg(F.collect_list(F.struct("run_id", "prioridade", "dataset_label", "recomendacao")).alias("r"))
+    return listed.select(F.inline(F.when(F.size("r") > 0, F.col("r")).otherwise(fallback)))
 
 
 def fill_defaults(recs: DataFrame) -> DataFrame:

@@ -190,8 +190,7 @@ def rules_table(spark: SparkSession, rules: Mapping[str, Any]) -> DataFrame:
 
 def estimate_violations(p: DataFrame, rules: DataFrame, dataset: str = "object_name") -> DataFrame:
     """Violations guessed from profile numbers alone: only not_null and unique count."""
-    # the rule set is a configuration file held by the driver, hence small
-    joined = p.join(F.broadcast(rules.withColumnRenamed("object_name", dataset)), [dataset, "column_name"], "left")
+    joined = p.join(rules.withColumnRenamed("object_name", dataset), [dataset, "column_name"], "left")
     total = F.coalesce("total", F.lit(0))
     null_rate = F.coalesce("null_rate", F.lit(0.0))
     missing = F.rint(total * null_rate).cast("bigint")

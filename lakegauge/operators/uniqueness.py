@@ -22,9 +22,15 @@ def row_identity(df: DataFrame, as_joined_text: bool = False) -> Column:
     parts = []
     for f in df.schema.fields:
         c = quoted(f.name)
-        kind = cells.kind_of(f.dataType)
-        parts.append((short_key(cells.as_text(c, f.dataType)) if kind in ("text", "nested") else c).alias(f"k{len(parts)}"))
-    return F.struct(*parts)
+        if cells.kind_of(f.dataType) in ("text", "nested"):
+            text = cells.as_text(c, f.dataType)
+        elif cells.is_fractional(f.dataType):
+            text = F.when(c == 0, "0").otherwise(c.cast("string"))  # both zeros are one value
+        else:
+            text = c.cast("string")
+        # the length ahead keeps column borders apart
+        parts.append(F.when(text.isNull(), "-").otherwise(F.concat(F.char_length(text).cast("string"), F.lit(":"), text)))
+    return F.unhex(F.sha2(F.concat_ws(",", *parts).cast("binary"), 256))
 
 
 def row_uniqueness(df: DataFrame, as_joined_text: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from datetime import datetime
 from functools import reduce
@@ -12,45 +13,57 @@ from lakegauge import schemas
 from lakegauge.functions import cells
 from lakegauge.operators.heuristics import heuristic_scores
 from lakegauge.operators.runs import latest_per_source
-from lakegauge.sources.inbox import changed_files, file_hashes, normalized_extensions, read_file
+from lakegauge.sources.inbox import changed_files, file_hashes, kept_log, read_file
 from lakegauge.sources.prepare import drop_empty_rows, sanitize_columns, sanitize_name
-from lakegauge.sources.sinks import append_run_log, read_runs
+from lakegauge.sources.sinks import append_run_log, read_runs, swap_table
 from lakegauge.session import work_path
 
+_LOG = logging.getLogger(__name__)
+
 
 def table_name(source_file: str, schema: str = "stg") -> str:
     return f"{schema}.src_{sanitize_name(os.path.splitext(source_file)[0])}"
 
 
 def judged(spark: SparkSession, path: str, source_file: str, ext: str, file_hash: str, run_ts: datetime,
-           as_of: datetime) -> DataFrame:
-    """The log row of one file."""
+           as_of: datetime, staging: str) -> DataFrame:
+    """The log row of one file. The cleaned table is stored under the name that the log gives and judged from there."""
+    name = table_name(source_file)
     df = sanitize_columns(drop_empty_rows(read_file(spark, path, ext, csv_sep="auto").df), "obj")
-    row = heuristic_scores(df, as_of).withColumns({
+    copy = os.path.join(staging, name)
+    df.write.mode("overwrite").parquet(copy)
+    row = heuristic_scores(spark.read.schema(df.schema).parquet(copy), as_of).withColumns({
         "run_ts": cells.moment(run_ts), "source_file": F.lit(source_file),
-        "file_hash": F.lit(file_hash), "table_name": F.lit(table_name(source_file))})
+        "file_hash": F.lit(file_hash), "table_name": F.lit(name)})
     return schemas.align(row, schemas.RUN_LOG)
 
 
 def run_inbox(spark: SparkSession, folder: str, log_path: str, run_ts: datetime, as_of: datetime,
-              mode: str = "skip", include_ext=("csv", "parquet")) -> DataFrame:
+              mode: str = "skip", include_ext=("csv", "parquet"), staging: str | None = None, batch: int = 16) -> DataFrame:
     """Judges the files that are due, adds them to the log, returns the latest row per file.
 
-    With 'replace' the earlier rows of the processed files leave the log.
+    With 'replace' the earlier rows of the processed files leave the log. A file that cannot be read is left out and
+    stays due; the others go on. Cleaned tables go to `staging`, by default a fresh working folder. Files are
+    judged `batch` at a time, each group by one job.
     """
+    staging = staging or work_path(spark, "staging")
     log = read_runs(spark, log_path, schemas.RUN_LOG)
-    hashes = file_hashes(spark, folder).where(F.col("ext").isin(sorted(normalized_extensions(include_ext))))
-    due = changed_files(hashes, log, mode).orderBy("source_file").collect()
-    rows = [judged(spark, f.path, f.source_file, f.ext, f.file_hash, run_ts, as_of) for f in due]
+    due = changed_files(file_hashes(spark, folder, include_ext), log, mode).orderBy("source_file").collect()
+    rows, done = [], []
+    for f in due:
+        try:
+            rows.append(judged(spark, f.path, f.source_file, f.ext, f.file_hash, run_ts, as_of, staging))
+            done.append((f.source_file,))
+        except Exception as error:  # one bad file must not stop the others
+            _LOG.warning("%s was not judged: %s", f.source_file, str(error).splitlines()[0])
     if rows:
-        new = reduce(DataFrame.unionAll, rows)
+        path = work_path(spark, "judged")
+        for at in range(0, len(rows), batch):
+            reduce(DataFrame.unionAll, rows[at:at + batch]).write.mode("append").parquet(path)
+        new = spark.read.schema(schemas.RUN_LOG).parquet(path)
         if mode == "replace":
-            names = [f.source_file for f in due]
-            # the log is rewritten from a copy, never from the files being replaced
-            merged = log.where(~F.col("source_file").isin(names)).unionAll(new)
-            copy = work_path(spark, "log")
-            merged.write.parquet(copy)
-            spark.read.schema(schemas.RUN_LOG).parquet(copy).write.mode("overwrite").parquet(log_path)
+            processed = spark.createDataFrame(done, "source_file string")
+            swap_table(kept_log(log, processed, mode).select(*new.columns).unionAll(new), log_path)
         else:
             append_run_log(new, log_path, schemas.RUN_LOG)
     return latest_per_source(read_runs(spark, log_path, schemas.RUN_LOG)).orderBy(F.col("run_ts").desc(), "source_file")

@@ -16,9 +16,10 @@ from lakegauge.operators import dimensions
 from lakegauge.operators.profile import profiles, table_metrics
 from lakegauge.operators.rules import evaluate_rules, rules_for
 from lakegauge.sources.datasets import Dataset, envelope, with_envelope
-from lakegauge.sources.sinks import append_run, write_run
+from lakegauge.sources.sinks import append_run, clear_run
 
 _KEYS = [f.name for f in schemas.ENVELOPE.fields]
+RESULT_TABLES = ("profile", "table_metrics", "column_metrics", "table_scores", "column_scores", "rule_results")
 
 
 @dataclass(frozen=True)
@@ -87,14 +88,21 @@ def run_scan(datasets: list[Dataset], rules: Mapping[str, Any], run_id: str, sca
     if not datasets:
         return {}
     spark = datasets[0].df.sparkSession
-    paths = {"profile": os.path.join(out, "profile")}
+    paths = {n: os.path.join(out, n) for n in RESULT_TABLES}
+    for path in paths.values():
+        clear_run(spark, path, run_id)
+    layout = None
     for at in range(0, len(datasets), batch):
-        # the first batch replaces what an earlier attempt at this run may have left
-        write = append_run if at else write_run
-        write(scan_profile(datasets[at:at + batch], run_id, scanned_at, **options), paths["profile"])
-    p = spark.read.parquet(paths["profile"]).where(F.col("run_id") == run_id)
-    found = results(p, rule_results(datasets, rules, run_id, scanned_at))
-    for name, table in found.tables().items():
-        paths[name] = os.path.join(out, name)
-        write_run(table, paths[name])
+        part = scan_profile(datasets[at:at + batch], run_id, scanned_at, **options)
+        layout = part.schema
+        append_run(part, paths["profile"])
+        tested = rule_results(datasets[at:at + batch], rules, run_id, scanned_at)
+        if tested is not None:
+            append_run(tested, paths["rule_results"])
+    # with its layout, as a run id would else be read as the number or date it may look like
+    p = spark.read.schema(layout).parquet(paths["profile"]).where(F.col("run_id") == run_id)
+    for name, table in results(p).tables().items():
+        append_run(table, paths[name])
+    if not any(rules_for(rules, d.meta.get("dataset_name") or d.label) for d in datasets):
+        del paths["rule_results"]
     return paths

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lakegauge import constants as C
 from lakegauge.functions import cells
 from lakegauge.operators.profile import CHUNK, quoted
+from lakegauge.session import work_path
 from lakegauge.sources.datasets import Dataset, capped, file_meta
 
 _TRUE_FALSE = "(?i:true|false)"
+_WHOLE_ROW = "__whole_row"
 
 
 def guess_separator(spark: SparkSession, path: str) -> str:
@@ -30,38 +35,53 @@ def _typed(c: Column, tag: str) -> Column:
 
 
 def guess_types(df: DataFrame) -> dict[str, str]:
-    """Type per text column, from one aggregate over all rows: bigint, double, boolean or string."""
-    tags: dict[str, str] = {}
+    """Type per text column, from all rows: bigint, double, boolean or string. One job, whatever the number of columns."""
+    parts = []
     for at in range(0, len(df.columns), CHUNK):
-        names = df.columns[at:at + CHUNK]
         checks = []
-        for i, name in enumerate(names):
+        for name in df.columns[at:at + CHUNK]:
             c = quoted(name)
             there = F.count(c)
             whole = F.count_if(cells.matches_stripped(c, r"[+-]?\d+") & cells.strip(c).try_cast("bigint").isNotNull())
             checks += [
                 F.when(there == 0, "double").when(whole == there, "bigint")
                 .when(F.count_if(cells.is_float_text(c)) == there, "double")
-                .when(F.count_if(cells.matches_stripped(c, _TRUE_FALSE)) == there, "boolean").otherwise("string").alias(f"t{i}")]
-        row = df.agg(*checks).first()
-        tags.update({name: row[f"t{i}"] for i, name in enumerate(names)})
+                .when(F.count_if(cells.matches_stripped(c, _TRUE_FALSE)) == there, "boolean").otherwise("string")]
+        parts.append(df.agg(F.array(*checks).alias("tags")).select(F.lit(at).alias("at"), "tags"))
+    tags: dict[str, str] = {}
+    for row in (reduce(DataFrame.unionAll, parts).collect() if parts else ()):
+        tags.update(zip(df.columns[row["at"]:row["at"] + CHUNK], row.tags))
     return tags
 
 
 def scan_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", limit: int | None = None,
-             schema: T.StructType | None = None, multiline: bool = False) -> Dataset:
+             schema: T.StructType | None = None, multiline: bool = False, stage: str | None = None) -> Dataset:
     """Header CSV as typed columns.
 
-    Cells are read as text, the usual spellings of "missing" become null, and types
-    are guessed from all rows (one more pass; give a schema to save it). Files stay
-    splittable unless `multiline` admits line breaks inside quotes.
+    The file is parsed once, into a Parquet copy (below `stage`, by default a fresh working folder) that everything else
+    reads: types, profile, rules. So a row cap keeps the same rows throughout. Cells are read as text, the usual
+    spellings of "missing" become null, and types are guessed from all rows unless a schema is given. A row with more
+    fields than the header is an error; absent fields are null. Files stay splittable unless `multiline` admits line
+    breaks inside quotes.
     """
     if sep == "auto":
         sep = guess_separator(spark, path)
-    raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-           .option("quote", '"').option("escape", '"').option("multiLine", multiline).csv(path))
-    raw = capped(raw, limit)
-    nulled = raw.select(*[F.when(~quoted(c).isin(*C.NA_TOKENS), quoted(c)).alias(c) for c in raw.columns])
+
+    def reader():
+        return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+                .option("quote", '"').option("escape", '"').option("multiLine", multiline))
+
+    names = reader().csv(path).columns
+    layout = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _WHOLE_ROW]])
+    raw = reader().schema(layout).option("columnNameOfCorruptRecord", _WHOLE_ROW).option("columnPruning", False).csv(path)
+    copy = stage or work_path(spark, "csv")
+    capped(raw, limit).write.mode("overwrite").parquet(copy)
+    raw = spark.read.schema(layout).parquet(copy)
+    fields = F.regexp_count(F.regexp_replace(_WHOLE_ROW, r'"([^"]|"")*"', ""), F.lit(re.escape(sep))) + 1
+    surplus = raw.where(F.col(_WHOLE_ROW).isNotNull() & (fields > len(names))).count()
+    if surplus:
+        raise ValueError(f"{surplus} rows have more than {len(names)} fields")
+    nulled = raw.select(*[F.when(~quoted(c).isin(*C.NA_TOKENS), quoted(c)).alias(c) for c in names])
     if schema is not None:
         df = nulled.select(*[quoted(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
     else:

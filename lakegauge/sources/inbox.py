@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakegauge.sources.csv import scan_csv
 from lakegauge.sources.datasets import Dataset, scan_parquet
 
 READABLE = ("csv", "parquet")
-# Above this size a file is fingerprinted by its rows instead of its bytes, as
-# hashing the bytes needs the whole file in one task.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
 
 
 def normalized_extensions(patterns: Iterable[str] | None) -> set[str]:
@@ -83,32 +80,27 @@ def scan_sources(spark: SparkSession, config: Mapping[str, Any], limit: int | No
 
 # --- change detection ------------------------------------------------------------
 
-def file_hashes(spark: SparkSession, folder: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """path, source_file, ext, file_hash for every file of the folder.
+def file_hashes(spark: SparkSession, folder: str, include_ext: Iterable[str] | None = None) -> DataFrame:
+    """path, source_file, ext, file_hash for the wanted files of the folder, whatever their size and kind.
 
-    Small files: SHA-256 of their bytes. Larger ones: SHA-256 over the number of rows
-    and two sums of row hashes, computed in parallel over the file's splits; this
-    does not depend on the order of rows, and neither does any measurement.
+    A file is read as bytes between line feeds, in parallel over its splits; the hash covers its length, the number of
+    such pieces and two sums of their hashes. Pieces in another order give the same hash. Files of other extensions
+    are not opened.
     """
-    content = spark.read.format("binaryFile").load(folder)
-    small = _named(content.where(F.col("length") <= whole_file_bytes)
-                   .select("path", F.sha2("content", 256).alias("file_hash")))
-    large = list_files(spark, folder).where(F.col("size_bytes") > whole_file_bytes).collect()
-    out = small.select("path", "source_file", "ext", "file_hash")
-    for f in large:
-        out = out.unionByName(row_fingerprint(spark, f.path, f.ext).withColumns(
-            {"path": F.lit(f.path), "source_file": F.lit(f.source_file), "ext": F.lit(f.ext)}))
-    return out
-
-
-def row_fingerprint(spark: SparkSession, path: str, ext: str) -> DataFrame:
-    """One row (file_hash) for a file of any size."""
-    rows = spark.read.parquet(path) if ext == "parquet" else spark.read.text(path)
-    cells = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if isinstance(f.dataType, T.MapType)
-             else F.col(f"`{f.name}`") for f in rows.schema.fields]
-    total = lambda *salt: F.sum(F.xxhash64(*salt, *cells).cast("decimal(38,0)"))
-    return rows.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total().cast("string"),
-                                       total(F.lit("second")).cast("string")), 256).alias("file_hash"))
+    wanted = normalized_extensions(include_ext)
+    names = list_files(spark, folder)
+    if wanted:
+        names = names.where(F.col("ext").isin(sorted(wanted)))
+    reader = spark.read.option("lineSep", "\n")
+    if wanted:
+        letters = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(letters(e) for e in sorted(wanted)) + "}")
+    total = lambda *salt: F.sum(F.xxhash64(*salt, "value").cast("decimal(38,0)")).cast("string")
+    said = reader.text(folder).groupBy(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("name")).agg(
+        F.concat_ws(":", F.count(F.lit(1)).cast("string"), total(), total(F.lit("second"))).alias("said"))
+    out = names.join(said, names.source_file == said.name, "left")
+    return out.select("path", "source_file", "ext", F.sha2(
+        F.concat_ws(":", F.col("size_bytes").cast("string"), F.coalesce("said", F.lit("0"))), 256).alias("file_hash"))
 
 
 def changed_files(hashes: DataFrame, log: DataFrame, mode: str = "skip") -> DataFrame:

@@ -30,10 +30,38 @@ def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     """All runs under a path in the given layout; columns that older files lack are null."""
     try:
         return align(spark.read.schema(schema).parquet(path), schema)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
+def _file_system(spark: SparkSession, path: str):
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    where = java(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, java
+
+
+def clear_run(spark: SparkSession, path: str, run_id: str) -> None:
+    """Removes the rows of one run, so that a repeated run leaves nothing of its earlier attempt behind."""
+    name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+    fs, where, java = _file_system(spark, path)
+    fs.delete(java(where, f"run_id={name}"), True)
+
+
+def swap_table(df: DataFrame, path: str) -> None:
+    """Replaces a folder by rows that may come from it: written beside it first, then put in its place."""
+    spark = df.sparkSession
+    fresh, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    df.write.mode("overwrite").parquet(fresh)
+    fs, where, java = _file_system(spark, path)
+    fs.delete(java(old), True)
+    if fs.exists(where):
+        fs.rename(where, java(old))
+    fs.rename(java(fresh), where)
+    fs.delete(java(old), True)
+
+
 def append_run_log(df: DataFrame, path: str, schema: T.StructType) -> None:
     """Adds log rows in the log's layout; an older log keeps its rows, its absent columns read as null."""
     align(df, schema).write.mode("append").parquet(path)

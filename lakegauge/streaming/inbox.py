@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,8 @@ from lakegauge.plans.scan import scan_profile
 from lakegauge.sources.inbox import READABLE, read_file
 from lakegauge.sources.sinks import write_run
 
+_LOG = logging.getLogger(__name__)
+
 
 def scan_new_files(spark: SparkSession, folder: str, out: str, checkpoint: str, run_prefix: str,
                    scanned_at: datetime, files_per_batch: int = 16, **options) -> None:
@@ -27,7 +30,12 @@ def scan_new_files(spark: SparkSession, folder: str, out: str, checkpoint: str,
         named = batch.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
         # at most files_per_batch short rows
         files = named.where(F.col("ext").isin(*READABLE)).orderBy("path").collect()
-        datasets = [read_file(spark, f.path, f.ext) for f in files]
+        datasets = []
+        for f in files:
+            try:
+                datasets.append(read_file(spark, f.path, f.ext))
+            except Exception as error:  # one bad file must not stop the stream
+                _LOG.warning("%s was not measured: %s", f.path, str(error).splitlines()[0])
         if datasets:
             p = scan_profile(datasets, f"{run_prefix}_{batch_id:06d}", scanned_at, **options)
             write_run(schemas.align(p, schemas.COLUMN_METRICS), out)

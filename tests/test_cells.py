@@ -37,6 +37,18 @@ def test_datetimes(spark):
     assert values(spark, [1, 2], "int", lambda c: cells.parse_datetime(c, T.IntegerType())) == [None, None]
 
 
+def test_datetimes_of_other_shapes(spark):
+    texts = ["2024-01-05T10:00:00Z", "2024-01-05T10:00:00.123", "2024-01-05 10:30", "2024-01-05T10:30",
+             "2024-01-05 10:00:00+00:00", "2024-01-05 10:00:00.123456789", "05/01/2024 10:30", "20240105", "05 Jan 2024",
+             "05.01.2024", "2024-01-05T10:00:00-03:00", "31 December 2023", "2024-13-01", "20241301", "05 Foo 2024",
+             "2024-01-05 25:00", "2024-01/05"]
+    got = values(spark, texts, "string", lambda c: cells.parse_datetime(c))
+    assert got == [
+        datetime(2024, 1, 5, 10), datetime(2024, 1, 5, 10, 0, 0, 123000), datetime(2024, 1, 5, 10, 30), datetime(2024, 1, 5, 10, 30),
+        datetime(2024, 1, 5, 10), datetime(2024, 1, 5, 10, 0, 0, 123456), datetime(2024, 5, 1, 10, 30), datetime(2024, 1, 5),
+        datetime(2024, 1, 5), datetime(2024, 5, 1), datetime(2024, 1, 5, 13), datetime(2023, 12, 31), None, None, None, None, None]
+
+
 def test_epoch_seconds_ignores_the_session_zone(spark):
     old = spark.conf.get("spark.sql.session.timeZone")
     rows = [datetime(2024, 3, 31, 2, 30), datetime(1970, 1, 1, 0, 0, 1, 500000), datetime(1969, 12, 31, 23, 0)]
@@ -59,6 +71,8 @@ def test_float_text(spark):
     got = values(spark, [12345678.5, 1e7, 1.5, float("nan"), None, -25000000.0], "double",
                  lambda c: cells.as_text(c, T.DoubleType()))
     assert got == ["12345678.5", "10000000.0", "1.5", None, None, "-25000000.0"]
+    numbers = [0.0005, -0.00012345, 1e-5, 1.5e-7, 1e16, -2.5e20, 1e100, 0.001, 0.25, 1e-300]
+    assert values(spark, numbers, "double", lambda c: cells.as_text(c, T.DoubleType())) == [repr(n) for n in numbers]
 
 
 def test_clamp_and_bands(spark):

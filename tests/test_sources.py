@@ -73,25 +73,68 @@ def test_bad_file_is_reported(spark, tmp_path):
     assert [d.label for d in found] == ["ok.csv"] and [e[0] for e in errors] == ["bad.parquet"]
 
 
-def test_hashes_small_and_large(spark, tmp_path):
-    text = "a\n" + "".join(f"{i}\n" for i in range(100))
-    path = put(tmp_path, "a.csv", text)
-    whole = inbox.file_hashes(spark, str(tmp_path)).first()
-    assert whole.file_hash == hashlib.sha256(text.encode()).hexdigest() and whole.ext == "csv"
-    rows = inbox.file_hashes(spark, str(tmp_path), whole_file_bytes=10).first()
-    assert len(rows.file_hash) == 64 and rows.file_hash != whole.file_hash and rows.source_file == "a.csv"
-    assert inbox.file_hashes(spark, str(tmp_path), 10).first().file_hash == rows.file_hash
+@pytest.mark.parametrize("rows", [5, 50000])
+def test_one_hash_for_files_of_any_size(spark, tmp_path, rows):
+    lines = [f"{i}\n" for i in range(rows)]
+    path = put(tmp_path, "Vendas 2024+x.csv", "".join(lines))
+    put(tmp_path, "second.csv", "a")
+    put(tmp_path, "other.bin", "x")
+
+    def hashes():
+        return {r.source_file: r.file_hash for r in inbox.file_hashes(spark, str(tmp_path), ["*.CSV"]).collect()}
+
+    first = hashes()
+    assert set(first) == {"Vendas 2024+x.csv", "second.csv"} and len(set(first.values())) == 2
+    with open(path, "w") as f:
+        f.writelines(reversed(lines))
+    assert hashes() == first
     with open(path, "a") as f:
         f.write("7\n")
-    assert inbox.file_hashes(spark, str(tmp_path), 10).first().file_hash != rows.file_hash
+    assert hashes()["Vendas 2024+x.csv"] != first["Vendas 2024+x.csv"]
 
 
-def test_fingerprint_of_parquet(spark, tmp_path):
-    df = spark.range(10).select("id", F.create_map(F.lit("k"), "id").alias("m"))
-    df.coalesce(1).write.parquet(str(tmp_path / "x"))
-    df.orderBy(F.desc("id")).coalesce(1).write.parquet(str(tmp_path / "y"))
-    a, b = (inbox.row_fingerprint(spark, str(tmp_path / n), "parquet").first().file_hash for n in "xy")
-    assert a == b
+def test_surplus_fields_are_an_error(spark, tmp_path):
+    put(tmp_path, "a.csv", 'a,b\n1,2\n3,4,5\n')
+    put(tmp_path, "b.csv", 'a,b\n"1,5",2\n3\n')
+    found, errors = inbox.scan_inbox(spark, str(tmp_path), ["csv"])
+    assert errors == [("a.csv", "1 rows have more than 2 fields")]
+    assert sorted((r.a, r.b) for r in found[0].df.collect()) == [("1,5", 2), ("3", None)]
+
+
+def test_bad_file_stops_neither_batch_nor_stream(spark, tmp_path):
+    box = tmp_path / "in"
+    os.mkdir(box)
+    put(box, "bad.parquet", "no parquet at all")
+    put(box, "x.csv", "a;b\n1;2\n")
+    put(box, "y.csv", "a;b\n1;2\n")
+    staging = str(tmp_path / "staging")
+    got = batch.run_inbox(spark, str(box), str(tmp_path / "log"), AT, AT, staging=staging).collect()
+    assert [r.source_file for r in got] == ["x.csv", "y.csv"]
+    assert spark.read.parquet(f"{staging}/{got[0].table_name}").count() == 1
+    stream.scan_new_files(spark, str(box), str(tmp_path / "out"), str(tmp_path / "mark"), "inc", AT)
+    assert spark.read.parquet(str(tmp_path / "out")).select("dataset_name").distinct().count() == 2
+
+
+def test_only_a_missing_log_is_empty(spark, tmp_path):
+    assert sinks.read_runs(spark, str(tmp_path / "none"), schemas.RUN_LOG).count() == 0
+    put(tmp_path, "log", "no parquet at all")
+    with pytest.raises(Exception):
+        sinks.read_runs(spark, str(tmp_path / "log"), schemas.RUN_LOG).count()
+
+
+@pytest.mark.parametrize("run_id", ["007", "20240301", "2024-03-01", "a:b c"])
+def test_run_ids_stay_as_they_are(spark, tmp_path, run_id):
+    found = [ds.Dataset("a", spark.createDataFrame([(1, "a"), (2, None)], "id int, s string"), {"dataset_name": "a"})]
+    rules = {"a": {"columns": {"id": {"unique": True}}}}
+    paths = scan.run_scan(found, rules, run_id, AT, str(tmp_path))
+    assert set(paths) == set(scan.RESULT_TABLES)
+    for name, path in paths.items():
+        layout = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("dataset_name", T.StringType())])
+        assert {r.run_id for r in spark.read.schema(layout).parquet(path).collect()} == {run_id}, name
+    again = scan.run_scan(found, {}, run_id, AT, str(tmp_path))
+    assert "rule_results" not in again
+    assert sinks.read_runs(spark, paths["rule_results"], schemas.RULE_RESULTS).count() == 0
+    assert sinks.read_runs(spark, paths["table_scores"], schemas.TABLE_SCORES).count() == 1
 
 
 def test_modes(spark):

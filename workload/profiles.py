@@ -44,6 +44,18 @@ def strip(x: str) -> str:
     return f"trim({x}, {BLANKS})"
 
 
+# Datetime shapes of the test tables: (shape, patterns tried in order; in the other order when the day comes first).
+DATETIME_SHAPES = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ("yyyy-M-d H:m:s",)),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$", ("yyyy-M-d H:m:s.SSSSSS",)),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ("yyyy-M-d'T'H:m:s",)),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", ("M/d/yyyy H:m:s", "d/M/yyyy H:m:s")),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
+)
+
 _STRPTIME = {
     "yyyy-M-d": "%Y-%m-%d", "yyyy-M-d H:m:s": "%Y-%m-%d %H:%M:%S", "yyyy-M-d H:m:s.SSSSSS": "%Y-%m-%d %H:%M:%S.%f",
     "yyyy-M-d'T'H:m:s": "%Y-%m-%dT%H:%M:%S", "M/d/yyyy": "%m/%d/%Y", "d/M/yyyy": "%d/%m/%Y",
@@ -54,7 +66,7 @@ _STRPTIME = {
 
 def parse_dt(x: str, day_first: bool = False) -> str:
     whens = []
-    for shape, patterns in C.DATETIME_SHAPES:
+    for shape, patterns in DATETIME_SHAPES:
         tried = reversed(patterns) if day_first else patterns
         calls = ", ".join(f"try_strptime({strip(x)}, '{_STRPTIME[p]}')" for p in tried)
         whens.append(f"WHEN regexp_matches({strip(x)}, '{shape}') THEN coalesce({calls})")

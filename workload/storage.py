@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F, types as T
@@ -146,6 +147,20 @@ def run_log_append(spark, sf_dir):
         "run_ts", "source_file", "file_hash", "table_name", "total_registros", "nota_final")
 
 
+@query("staged_table", """
+    SELECT o_orderstatus, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 1) AS appended FROM orders
+    WHERE o_orderkey % 3 <> 0 GROUP BY o_orderstatus""")
+def staged_table(spark, sf_dir):
+    """A staging table is written, replaced and appended to: two thirds of the orders, the first third replaced."""
+    name = f"staged_{uuid.uuid4().hex}"
+    orders = load(spark, sf_dir, "orders")
+    sinks.write_table(orders.where("o_orderkey % 3 = 0"), name)
+    sinks.write_table(orders.where("o_orderkey % 3 = 2"), name, "replace")
+    sinks.write_table(orders.where("o_orderkey % 3 = 1"), name, "append")
+    return spark.table(name).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderkey") % 3 == 1).alias("appended"))
+
+
 # --- inbox --------------------------------------------------------------------------------
 
 _COUNTS = {t: f"SELECT '{t}.parquet' AS source_file, count(*) AS n FROM {t}" for t in TABLES}
@@ -168,15 +183,15 @@ def _changed(mode: str) -> str:
     return " UNION ALL ".join(f"SELECT '{mode}' AS mode, * FROM ({_COUNTS[t]})" for t in due)
 
 
-@query("changed_files", " UNION ALL ".join(_changed(m) for m in ("skip", "append")))
+@query("changed_files", " UNION ALL ".join(_changed(m) for m in ("skip", "append", "replace")))
 def changed_files(spark, sf_dir):
     """Two files are in the log with their present hash, one with an older one; what is due gets counted."""
-    hashes = inbox.file_hashes(spark, sf_dir)
+    hashes = inbox.file_hashes(spark, sf_dir, ["parquet"])
     name = F.col("source_file")
     log = hashes.where(name.isin("lineitem.parquet", "documents.parquet", "orders.parquet")).withColumn(
         "file_hash", F.when(name == "orders.parquet", "older").otherwise(F.col("file_hash")))
     out = None
-    for mode in ("skip", "append"):
+    for mode in ("skip", "append", "replace"):
         for f in inbox.changed_files(hashes, log, mode).orderBy("source_file").collect():
             part = inbox.read_file(spark, f.path, f.ext).df.agg(F.count(F.lit(1)).alias("n")).select(
                 F.lit(mode).alias("mode"), F.lit(f.source_file).alias("source_file"), "n")
@@ -223,7 +238,7 @@ def scan_run(spark, sf_dir):
     found = [ds.Dataset(n, orders_dirty(spark, sf_dir) if n == "orders_dirty" else load(spark, sf_dir, n),
                         {"source_type": "file", "dataset_name": n}) for n in _NAMES]
     paths = scan.run_scan(found, SUITE, ds.run_id_of(AT), AT, work_path(spark, "scan"), batch=2)
-    rules = spark.read.parquet(paths["rule_results"]).groupBy("dataset_name").agg(F.count(F.lit(1)).alias("rules"))
-    return spark.read.parquet(paths["table_scores"]).join(rules, "dataset_name", "left").select(
+    rules = spark.read.schema(schemas.RULE_RESULTS).parquet(paths["rule_results"]).groupBy("dataset_name").agg(F.count(F.lit(1)).alias("rules"))
+    return spark.read.schema(schemas.TABLE_SCORES).parquet(paths["table_scores"]).join(rules, "dataset_name", "left").select(
         "dataset_name", "row_count", "column_count", *C.DIMENSIONS, "score", "classification",
         F.coalesce("rules", F.lit(0)).alias("rules"))
