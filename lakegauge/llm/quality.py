@@ -22,7 +22,7 @@ GRAMS = (3, 4, 5)  # bytes, the borders of the word included
 AGAIN = ROWS  # the row of a word pair that repeats one word
 MAX_TRAINING = 4000  # documents; the labelled rows with the least hashes of their ids
 THRESHOLD = 0.3
-_BLOCK = 16 << 20
+_BLOCK = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         examples, known = [], []
         for b in batches:
             for i in range(b.num_rows):
-                examples.append((b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy()))
+                examples.append((b.column(2)[i].values.to_numpy().astype(np.int32), b.column(3)[i].values.to_numpy().copy()))
                 known.append(b.column(1)[i].as_py())
         model = fit(examples, known)
         yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f8").tobytes()]), pa.array([model.bias])], names=["weight", "bias"])
