@@ -28,7 +28,7 @@ CLASSES, MEMBERS = 16, 32
 CELLS, OWN = CLASSES * MEMBERS, CLASSES * MEMBERS // 2  # half of the cells hold one word each
 ROWS, MEMBER_ROWS = 4096, 1024
 ROUNDS, BATCH, RATE = 4, 4096, 0.6
-_BLOCK = 16 << 20
+_BLOCK = 12 << 20
 _PARTS = 16
 _END = 0x5EED  # stands for the end of a text; an endless string of bits like any other word's hash
 
@@ -67,13 +67,17 @@ def _cells(block: _Block, frequent: np.ndarray, cells: np.ndarray) -> np.ndarray
     return np.where(frequent[i] == block.hashes, cells[i], block.shapes)
 
 
-def _features(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows of the class table for each token: always, last, one back, two back, last two."""
-    place = segments(np.diff(at))
-    before = [np.where(place >= k, np.concatenate([np.zeros(min(k, len(x)), np.int64), x[:-k]]), CELLS) for k in (1, 2, 3)]
+def _features(x: np.ndarray, place: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Rows of the class table for tokens lo to hi: always, last, one back, two back, last two.
+
+    `place` is each token's place in its text.
+    """
+    hi = min(hi, len(x))
+    token = np.arange(lo, hi)
+    before = [np.where(place[lo:hi] >= k, x[np.maximum(0, token - k)], CELLS) for k in (1, 2, 3)]
     room = ROWS - 1 - 3 * (CELLS + 1)
     pair = (mix((before[0] * (CELLS + 1) + before[1]).astype(np.uint64)) % np.uint64(room)).astype(np.int64)
-    return np.stack([np.zeros(len(x), np.int64), 1 + before[0], 2 + CELLS + before[1], 3 + 2 * CELLS + before[2],
+    return np.stack([np.zeros(hi - lo, np.int64), 1 + before[0], 2 + CELLS + before[1], 3 + 2 * CELLS + before[2],
                      1 + 3 * (CELLS + 1) + pair], axis=1)
 
 
@@ -111,9 +115,9 @@ def learn(blocks_of_cells: Iterator[tuple[np.ndarray, np.ndarray]], classes: np.
     classes, members = classes.copy(), members.copy()
     used = np.zeros(len(classes)), np.zeros(len(members))
     for x, at in blocks_of_cells:
-        features = _features(x, at)
+        place = segments(np.diff(at))
         for lo in range(0, len(x), BATCH):
-            f, y = features[lo:lo + BATCH], x[lo:lo + BATCH]
+            f, y = _features(x, place, lo, lo + BATCH), x[lo:lo + BATCH]
             a, b, rows = _predict(f, y, classes, members)
             a, b = np.exp(a), np.exp(b)
             each = np.arange(len(y))
@@ -221,10 +225,10 @@ def scored(docs: DataFrame, training: Column, keep: list[str], text: str = "text
         for part in blocks(batches, "text", _BLOCK):
             b = _Block(text_of(part, "text"))
             x = _cells(b, model.frequent, model.cells)[b.codes]
-            features, value = _features(x, b.at), np.zeros(len(x))
+            place, value = segments(np.diff(b.at)), np.zeros(len(x))
             for lo in range(0, len(x), BATCH):
                 y = x[lo:lo + BATCH]
-                p, q, _ = _predict(features[lo:lo + BATCH], y, model.classes, model.members)
+                p, q, _ = _predict(_features(x, place, lo, lo + BATCH), y, model.classes, model.members)
                 each = np.arange(len(y))
                 value[lo:lo + BATCH] = p[each, y // MEMBERS] + q[each, y % MEMBERS]
             gain = sums(value / np.log(10) - log_share[x], b.at)
