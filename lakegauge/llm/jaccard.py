@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lakegauge.llm.common import (Words, blocks, bloom, grams, id_hashes, in_bloom, list_array, map_text, mix, plain, stored,
                                   text_of)
 from lakegauge.llm.components import merged
+from lakegauge.llm.lines import let
 
 SKETCH_BITS = 22
 _PARTS = 64
@@ -155,8 +156,7 @@ def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
     # near copies share most of their tokens, so a token as frequent as most of a set's tokens names its group: a rarer
     # one would split the copies, a more frequent one throw them together with strangers
     middle = F.get(F.array_sort("sets"), F.floor(F.size("sets") / 2).cast("int"))
-    rows = rows.withColumn("middle", middle)
-    usual = F.filter(F.arrays_zip("tokens", "sets"), lambda t: (t["sets"] * 2 >= F.col("middle")) & (t["sets"] <= F.col("middle") * 2))
+    usual = let(middle, lambda m: F.filter(F.arrays_zip("tokens", "sets"), lambda t: (t["sets"] * 2 >= m) & (t["sets"] <= m * 2)))
     # a signature token that no other set has is missing from every partner
     missing = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1 + F.floor(F.col("n") / _SPACING)) - F.size("tokens")
     return rows.select("sid", "n", (F.col("n") - missing).cast("bigint").alias("can"), F.array_min(F.transform(usual, lambda t: t["tokens"])).alias("group"), "tokens")
@@ -251,9 +251,11 @@ def _components(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> D
         large = each.where(F.col("pairs") > few * (F.col("x") + F.col("y"))).select("group")
         first = there.join(large, "group", "left_semi").groupBy("group", F.pmod(F.xxhash64("sid"), F.lit(leaders)).alias("s")).agg(
             F.max_by(F.struct("sid", "m", "can_m", "other"), F.struct("near", F.col("sid"))).alias("l")).select("group", "l.*")
-        held = there.select("group", F.col("sid").alias("b"), "m", "can_m", "other").join(whole, "group", "left_semi") \
-            .unionByName(first.select("group", F.col("sid").alias("b"), "m", "can_m", "other"))
-        pairs = asked.join(held, "group").where((F.col("comp") != F.col("other")) & (F.col("sid") != F.col("b")) & _fits(percent)) \
+        # both of a linked pair ask for each other's group, so in groups opened whole the lesser one's question will do
+        held = there.select("group", F.col("sid").alias("b"), "m", "can_m", "other", F.lit(False).alias("leads")).join(whole, "group", "left_semi") \
+            .unionByName(first.select("group", F.col("sid").alias("b"), "m", "can_m", "other", F.lit(True).alias("leads")))
+        pairs = asked.join(held, "group").where((F.col("comp") != F.col("other")) & (F.col("sid") != F.col("b")) & _fits(percent)
+                                                & (F.col("leads") | (F.col("sid") < F.col("b")))) \
             .select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
         links = stored(_verified(pairs, full, percent), "links")
         # a leader has now been held against all who asked, and a group opened whole is done

@@ -134,7 +134,7 @@ def test_secret_shapes(spark, texts):
 def test_random_strings_are_found(spark):
     pick = random.Random(5)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    rows = [(i, "key " + "".join(pick.choice(letters) for _ in range(48)) + " end") for i in range(60)]
+    rows = [(i, "key " + "".join(pick.choice(letters) for _ in range(96)) + " end") for i in range(60)]
     rows += [(100 + i, f"theQuickBrownFoxJumpsOverTheLazyDog{i} and AnotherVeryLongIdentifierName2InCode{i}x") for i in range(60)]
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"]).collect()}
     assert sum(got[i] == ["random"] for i in range(60)) >= 55 and sum(bool(got[100 + i]) for i in range(60)) <= 3
