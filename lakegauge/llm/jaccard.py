@@ -144,8 +144,8 @@ def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
     rows = stored(sets.select("sid", "n", "tokens").mapInArrow(keep, "sid bigint, n bigint, tokens array<bigint>")
                   .where(F.size("tokens") >= _least_hits(percent)), "tokens")
     # what is left is counted anew, exactly, until hardly a set goes: a token whose other sets are out is not shared
-    before, now = 0, rows.count()
-    while before == 0 or now < 0.9 * before:
+    before, now = None, rows.count()
+    while before is None or now < 0.9 * before:
         each = rows.select("sid", "n", F.posexplode("tokens").alias("place", "token"))
         common = each.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
         rows = stored(each.join(common, "token").groupBy("sid", "n")
