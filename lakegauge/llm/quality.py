@@ -138,6 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     counted = sample.select("id", "text", "label").mapInArrow(sparse, "id bigint, label int, rows array<bigint>, times array<float>")
     # one document a row, whatever the order the tasks end in
     made = counted.repartition(1).sortWithinPartitions(F.xxhash64("id"), F.size("rows")).mapInArrow(learn, "weight binary, bias double").first()
+    if made is None:  # no label at all: every score is 0.5
+        return Model(np.zeros(ROWS + 1), 0.0)
     return Model(np.frombuffer(made.weight, "<f8"), made.bias)
 
 
