@@ -27,6 +27,7 @@ SKETCH_BITS = 22
 _PARTS = 64
 _OPEN_PAIRS = 8  # at first, groups are opened whole that hold no more pairs than this for each member and query
 _SPACING = 20
+_STEPS = 16  # places kept of a set's missing tokens
 
 
 def need(n: int, percent: int) -> int:
@@ -118,31 +119,59 @@ def _keys(digests: list[bytes], ids: pa.Array) -> np.ndarray:
     return mix(np.frombuffer(b"".join(digests), np.uint64)[::2] ^ id_hashes(ids))
 
 
-def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, can, group, tokens): the signature tokens that other sets have too; sets with too few of them are out.
+def _ranks(tokens: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Places of tokens in the common order as 32-bit numbers; equal for tokens too near to tell apart."""
+    hot = late[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    return ((hot << np.uint64(31) | tokens >> np.uint64(33)).astype(np.int64) - (1 << 31)).astype(np.int32)
 
-    `can` is how many of its tokens a set can share with another at most.
+
+def _shared_tokens(sets: DataFrame, percent: int, crowded: np.ndarray) -> DataFrame:
+    """(sid, n, bound, group, tokens): the signature tokens that other sets have too; sets with too few of them are out.
+
+    `bound` is where the signature ends in the common order, how many of its tokens no other signature has, and the places
+    of some of these.
     """
+    order = sets.sparkSession.sparkContext.broadcast(np.packbits(crowded))
     counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1")
     bits = sets.sparkSession.sparkContext.broadcast(bloom(counts, "token"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = np.unpackbits(order.value).astype(bool)
         for b in batches:
             lists = b.column(2)
             flat = lists.flatten().to_numpy().view(np.uint64)
             lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             there = in_bloom(bits.value, flat)
-            at = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(lengths)])]
+            whole = np.concatenate([[0], np.cumsum(lengths)])
+            at = np.concatenate([[0], np.cumsum(there)])[whole]
             some = np.diff(at) > 0
             kept = flat[there].view(np.int64)
             own = pa.array(some)
+            ranks = _ranks(flat[np.repeat(some, lengths)], late)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).filter(own), b.column(1).filter(own),
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(at)[some])]), pa.int32()),
-                                          pa.array(kept))], names=["sid", "n", "tokens"])
+                                          pa.array(kept)),
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths[some])]), pa.int32()), pa.array(ranks))],
+                names=["sid", "n", "tokens", "signature"])
 
-    rows = stored(sets.select("sid", "n", "tokens").mapInArrow(keep, "sid bigint, n bigint, tokens array<bigint>")
-                  .where(F.size("tokens") >= _least_hits(percent)), "tokens")
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = np.unpackbits(order.value).astype(bool)
+        for b in batches:
+            last, missing, steps = [], [], []
+            for tokens, signature in zip(b.column(3), b.column(4)):
+                all = signature.values.to_numpy()
+                gone = np.sort(all[~np.isin(all, _ranks(tokens.values.to_numpy().view(np.uint64), late))])
+                last.append(all.max())
+                missing.append(len(gone))
+                # the i-th step is that of the ceil(i * missing / 16)-th missing token
+                steps.append(gone[-(-np.arange(1, _STEPS + 1) * len(gone) // _STEPS) - 1] if len(gone) else np.full(_STEPS, (1 << 31) - 1, np.int32))
+            steps = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * _STEPS, pa.int32()), pa.array(np.concatenate(steps), pa.int32()))
+            made = pa.StructArray.from_arrays([pa.array(last, pa.int32()), pa.array(missing, pa.int64()), steps], ["last", "missing", "steps"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made, b.column(2), b.column(3)], names=["sid", "n", "bound", "group", "tokens"])
+
+    first = rows = stored(sets.select("sid", "n", "tokens").mapInArrow(keep, "sid bigint, n bigint, tokens array<bigint>, signature array<int>")
+                          .where(F.size("tokens") >= _least_hits(percent)), "tokens")
     # what is left is counted anew, exactly, until hardly a set goes: a token whose other sets are out is not shared
     before, now = None, rows.count()
     while before is None or now < 0.9 * before:
@@ -157,15 +186,27 @@ def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
     # one would split the copies, a more frequent one throw them together with strangers
     middle = F.get(F.array_sort("sets"), F.floor(F.size("sets") / 2).cast("int"))
     usual = let(middle, lambda m: F.filter(F.arrays_zip("tokens", "sets"), lambda t: (t["sets"] * 2 >= m) & (t["sets"] <= m * 2)))
-    # a signature token that no other set has is missing from every partner
-    missing = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1 + F.floor(F.col("n") / _SPACING)) - F.size("tokens")
-    return rows.select("sid", "n", (F.col("n") - missing).cast("bigint").alias("can"), F.array_min(F.transform(usual, lambda t: t["tokens"])).alias("group"), "tokens")
+    named = rows.select("sid", "n", F.array_min(F.transform(usual, lambda t: t["tokens"])).alias("group"), "tokens")
+    return stored(named.join(first.select("sid", "signature"), "sid").mapInArrow(
+        bound, "sid bigint, n bigint, bound struct<last: int, missing: bigint, steps: array<int>>, group bigint, tokens array<bigint>"), "shared")
+
+
+def _can(n: str, own: str, other: str) -> Column:
+    """How many of n tokens a set can share with the other at most.
+
+    A token that no other signature has is missing from the other set if it lies before the end of the other's signature;
+    behind that end the other set may hold it.
+    """
+    before = sum((F.col(own)["steps"][i] < F.col(other)["last"]).cast("int") for i in range(_STEPS))
+    return F.col(n) - F.ceil(before * F.col(own)["missing"] / F.lit(_STEPS))
 
 
 def _fits(percent: int) -> Column:
-    """Whether sets of n and m tokens, of which can_n and can_m may be shared, can reach the threshold."""
-    both = F.least("can_n", "can_m")
-    return both * 100 >= (F.col("n") + F.col("m") - both) * percent
+    """Whether sets of n and m tokens can reach the threshold, by their sizes and by what each may hold of the other."""
+    def reach(both: Column) -> Column:
+        return both * 100 >= (F.col("n") + F.col("m") - both) * percent
+
+    return reach(F.least("n", "m")) & reach(_can("n", "bound_n", "bound_m")) & reach(_can("m", "bound_m", "bound_n"))
 
 
 def _least_hits(percent: int) -> Column:
@@ -174,18 +215,18 @@ def _least_hits(percent: int) -> Column:
 
 
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, can_n, group, own, near): the groups that a set must be held against, its own among them.
+    """(sid, n, group, own, near): the groups that a set must be held against, its own among them.
 
     In its own group only tokens count that another member has too.
     """
-    rows = sets.select("sid", "n", "can", F.col("group").alias("home"), F.explode("tokens").alias("token"))
+    rows = sets.select("sid", "n", F.col("group").alias("home"), F.explode("tokens").alias("token"))
     matrix = rows.groupBy("token", F.col("home").alias("group")).agg(
         F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
     own = F.col("group") == F.col("home")
     met = (rows.join(matrix, "token").where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
            .where(~own | (F.col("members") > 1))
-           .groupBy("sid", "n", "can", "group", "home").agg(F.count("*").alias("hits"), F.sum("members").alias("near")))
-    return met.where(F.col("hits") >= _least_hits(percent)).select("sid", "n", F.col("can").alias("can_n"), "group", own.alias("own"), "near")
+           .groupBy("sid", "n", "group", "home").agg(F.count("*").alias("hits"), F.sum("members").alias("near")))
+    return met.where(F.col("hits") >= _least_hits(percent)).select("sid", "n", "group", own.alias("own"), "near")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -208,11 +249,12 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
     smallest id that is not null. Whole texts are read; no limit on the size of a group or on the partners of a document.
     """
     docs = plain(docs, id, text).toDF("id", "text")
-    signed = _signatures(docs, "id", "text", width, percent, frequent_buckets(docs, "text", width))
+    crowded = frequent_buckets(docs, "text", width)
+    signed = _signatures(docs, "id", "text", width, percent, crowded)
     sets = stored(signed.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("id"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
         .withColumn("sid", F.monotonically_increasing_id()), "sets")
-    labels = _components(docs, sets, width, percent)
+    labels = _components(docs, sets, width, percent, crowded)
     named = sets.select("digest", "sid", "id").join(labels.withColumnRenamed("node", "sid"), "sid", "left") \
         .select("digest", "id", F.coalesce("comp", "sid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -222,18 +264,18 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
         F.col("id").alias(id), "n_shingles", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _components(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, sets: DataFrame, width: int, percent: int, crowded: np.ndarray) -> DataFrame:
     """(node, comp) for the sets that have candidates."""
-    shared = _shared_tokens(sets, percent)
+    shared = _shared_tokens(sets, percent, crowded)
     found = stored(_candidates(shared, percent), "candidates")
     # members of the groups that someone is held against; how near each is to the rest of its group
     near = found.where("own").select("sid", "near")
-    members = stored(shared.select("sid", "group", F.col("n").alias("m"), F.col("can").alias("can_m")).join(found.select("group").distinct(), "group", "left_semi")
+    members = stored(shared.select("sid", "group", F.col("n").alias("m"), F.col("bound").alias("bound_m")).join(found.select("group").distinct(), "group", "left_semi")
                      .join(near, "sid", "left").fillna(0, ["near"]), "members")
     wanted = stored(found.select("sid").union(members.select("sid")).distinct(), "wanted")
     full = _whole_sets(docs, sets.join(wanted, "sid", "left_semi").select("sid", "digest", "key"), width)
     labels = wanted.select(F.col("sid").alias("node"), F.col("sid").alias("comp"))
-    found = stored(found.select("sid", "n", "can_n", "group"), "candidates")
+    found = stored(found.select("sid", "n", "group").join(shared.select("sid", F.col("bound").alias("bound_n")), "sid"), "candidates")
     leaders, few = 1, _OPEN_PAIRS
     while True:
         comp = labels.select(F.col("node").alias("sid"), "comp")
@@ -250,10 +292,10 @@ def _components(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> D
         whole = each.where(F.col("pairs") <= few * (F.col("x") + F.col("y"))).select("group")
         large = each.where(F.col("pairs") > few * (F.col("x") + F.col("y"))).select("group")
         first = there.join(large, "group", "left_semi").groupBy("group", F.pmod(F.xxhash64("sid"), F.lit(leaders)).alias("s")).agg(
-            F.max_by(F.struct("sid", "m", "can_m", "other"), F.struct("near", F.col("sid"))).alias("l")).select("group", "l.*")
+            F.max_by(F.struct("sid", "m", "bound_m", "other"), F.struct("near", F.col("sid"))).alias("l")).select("group", "l.*")
         # both of a linked pair ask for each other's group, so in groups opened whole the lesser one's question will do
-        held = there.select("group", F.col("sid").alias("b"), "m", "can_m", "other", F.lit(False).alias("leads")).join(whole, "group", "left_semi") \
-            .unionByName(first.select("group", F.col("sid").alias("b"), "m", "can_m", "other", F.lit(True).alias("leads")))
+        held = there.select("group", F.col("sid").alias("b"), "m", "bound_m", "other", F.lit(False).alias("leads")).join(whole, "group", "left_semi") \
+            .unionByName(first.select("group", F.col("sid").alias("b"), "m", "bound_m", "other", F.lit(True).alias("leads")))
         pairs = asked.join(held, "group").where((F.col("comp") != F.col("other")) & (F.col("sid") != F.col("b")) & _fits(percent)
                                                 & (F.col("leads") | (F.col("sid") < F.col("b")))) \
             .select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()

@@ -103,6 +103,39 @@ def test_jaccard_in_families(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == grouped(docs, 4, 85)
 
 
+@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80)])
+def test_jaccard_of_parts(spark, width, percent):
+    """Texts with words added in front, inside or behind, and cut at either end, near the threshold."""
+    pick = random.Random(11)
+    docs = {}
+    for family in range(150):
+        size = pick.randrange(60, 160)
+        base = [f"f{family}x{i}" for i in range(size)]
+        shingle_count = size - width + 1
+        added = shingle_count * (100 - percent) // percent + pick.choice([-1, 0, 0, 0, 1])
+        new = [f"n{family}x{i}" for i in range(added)]
+        at = pick.randrange(size)
+        docs[4 * family] = " ".join(base)
+        docs[4 * family + 1] = " ".join(base + new)
+        docs[4 * family + 2] = " ".join(pick.choice([new + base, base[:at] + new[:max(1, added - width + 1)] + base[at:]]))
+        cut = shingle_count * (100 - percent) // 100 + pick.choice([0, 0, 1])
+        docs[4 * family + 3] = " ".join(pick.choice([base[cut:], base[:size - cut]]))
+    got = jaccard.linked(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), width=width, percent=percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == grouped(docs, width, percent)
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_jaccard_of_isolated_pairs(spark, percent):
+    """A text and the same text with more behind it, no third text like them."""
+    docs = {}
+    for i in range(400):
+        size = 40 + i % 90
+        base = [f"p{i}x{j}" for j in range(size + 3)]
+        docs[2 * i], docs[2 * i + 1] = " ".join(base), " ".join(base + [f"q{i}x{j}" for j in range(size * (100 - percent) // percent)])
+    got = jaccard.linked(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), width=4, percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k in docs}
+
+
 def test_substring_against_all_windows(spark, texts):
     extra = {1000: "same " * 100, 1001: " ".join(f"q{i}" for i in range(36)), 1002: "x " + " ".join(f"q{i}" for i in range(36)) + " y",
              1003: "one\ttwo\n" * 18, 1004: "short text"}
