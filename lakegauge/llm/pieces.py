@@ -1,8 +1,9 @@
 """SentencePiece BPE with seeded merge-dropout, and its decoding.
 
-Each candidate merge has a keyed hash of the seed, the unit it lies in, its place there and its two symbols; a share of
-the hashes equal to the dropout means "never". So a seed gives the same segmentation every time and everywhere, another
-seed another one, and every segmentation decodes to the text it came from.
+Each candidate merge has a keyed hash of the seed, the document's id, the unit it lies in, that unit's place in the text, its
+place in the unit and its two symbols; a share of the hashes equal to the dropout means "never". So every occurrence of a
+word is segmented on its own, a seed gives the same segmentation every time and everywhere, another seed another one, and
+every segmentation decodes to the text it came from.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ import sentencepiece
 from pyspark.sql import DataFrame, types as T
 
 from lakegauge.llm import bpe
-from lakegauge.llm.common import id_hashes, list_array, map_text, mix, text_hashes
+from lakegauge.llm.common import id_hashes, list_array, map_text, mix, segments, sums, text_hashes
 
-DROPOUT, SEED, VARIANTS = 0.1, 1, 4
+DROPOUT, SEED = 0.1, 1
 _SPACE = "▁"
 _UNIT = re.compile(r" +[^ ]*")
 _BLOCK = 16 << 20
+_SYMBOLS = 1 << 20  # symbols, and candidate merges, looked at in one go
+
+
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left.astype(np.uint64) << np.uint64(20)) ^ right.astype(np.uint64)
 
 
 class Pieces:
@@ -76,8 +82,8 @@ class Pieces:
         wide[np.repeat(places[strange], width[strange]) + np.concatenate([np.arange(len(s)) for s in spelled])] = np.concatenate(spelled)
         return wide, places[at]
 
-    def encode(self, texts: pa.Array, variant: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other and where each text's begin. Texts of one variant share their segmentations."""
+    def encode(self, texts: pa.Array, key: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other and where each text's begin. Texts with equal keys and words are segmented alike."""
         lists = pc.split_pattern(texts, " ")
         at = lists.offsets.to_numpy().astype(np.int64)
         flat, counts = lists.flatten(), np.diff(at)
@@ -98,21 +104,53 @@ class Pieces:
         at = np.concatenate([[0], np.cumsum(counts)])
         coded = flat.dictionary_encode()
         codes, units = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-        spread = len(np.bincount(variant)) if len(variant) else 1
-        wanted = codes * spread + np.repeat(variant, counts)
-        used = np.flatnonzero(np.bincount(wanted, minlength=1))
-        place = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.int64)
-        place[used] = np.arange(len(used))
         names = units.to_pylist()
-        symbols, starts = self.symbols([" " + names[c] for c in (used // spread).tolist()])
-        key = mix(text_hashes(units)[used // spread] ^ mix((used % spread).astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))))
-        limit = np.uint64(min(1 << 64, int(dropout * (1 << 64))) - 1) if dropout > 0 else None
-
-        def skip(word, start, left, right):
-            return mix(mix(key[word] + start.astype(np.uint64)) ^ (left.astype(np.uint64) << np.uint64(20)) ^ right.astype(np.uint64)) <= limit
-
-        ids, ids_at = bpe.merge(symbols, starts, self.pairs, skip if limit is not None else None)
-        out, out_at = bpe.gather(ids, ids_at, place[wanted])
+        symbols, starts = self.symbols([" " + n for n in names])
+        if dropout <= 0:
+            ids, ids_at = bpe.merge(symbols, starts, self.pairs)
+            out, out_at = bpe.gather(ids, ids_at, codes)
+            return out, out_at[at]
+        limit = np.uint64(min(1 << 64, int(dropout * (1 << 64))) - 1)
+        met: list[tuple[np.ndarray, ...]] = []
+
+        def meet(word, start, left, right):
+            met.append((word, start, _pair(left, right)))
+            return np.zeros(len(word), bool)
+
+        ids, ids_at = bpe.merge(symbols, starts, self.pairs, meet)
+        # the candidates that each unit meets when none is skipped; an occurrence that skips none of them ends as the unit does
+        owner, start, pair = (np.concatenate(v) for v in zip(*met)) if met else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        order = np.argsort(owner, kind="stable")
+        start, pair = start[order].astype(np.uint64), pair[order]
+        meets_at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(names)))])
+        streams = mix(np.asarray(key).astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+        unit_keys, parts = text_hashes(units), []
+        work = np.cumsum(np.maximum(np.diff(meets_at), np.diff(starts))[codes]) // _SYMBOLS
+        edges = np.flatnonzero(np.concatenate([[True], work[1:] != work[:-1], [True]])) if len(codes) else np.zeros(1, np.int64)
+        doc, place = np.repeat(np.arange(len(counts)), counts), segments(counts).astype(np.uint64)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            part = codes[lo:hi]
+            own = mix(unit_keys[part] ^ mix(streams[doc[lo:hi]] + place[lo:hi]))
+
+            def skip(word, start, left, right, own=own):
+                return mix(mix(own[word] + start.astype(np.uint64)) ^ _pair(left, right)) <= limit
+
+            some = np.diff(meets_at)[part]
+            which = np.repeat(meets_at[:-1][part], some) + segments(some)
+            hit = mix(mix(np.repeat(own, some) + start[which]) ^ pair[which]) <= limit
+            anew = np.flatnonzero(sums(hit.astype(np.int64), np.concatenate([[0], np.cumsum(some)])))
+            if not len(anew):
+                parts.append(bpe.gather(ids, ids_at, part))
+                continue
+            fresh, fresh_at = bpe.merge(*bpe.gather(symbols, starts, part[anew]), self.pairs,
+                                        lambda word, *rest, anew=anew, skip=skip: skip(anew[word], *rest))
+            index = part.copy()
+            index[anew] = len(names) + np.arange(len(anew))
+            parts.append(bpe.gather(np.concatenate([ids, fresh]), np.concatenate([ids_at, ids_at[-1] + fresh_at[1:]]), index))
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+        out = np.concatenate([p for p, _ in parts])
+        out_at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
         return out, out_at[at]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -132,8 +170,8 @@ def _default() -> str:
 
 
 def encoded(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", path: str | None = None, seed: int = SEED,
-            dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
-    """The kept columns and `ids`. The id column deals documents to `variants` streams of segmentations.
+            dropout: float = DROPOUT) -> DataFrame:
+    """The kept columns and `ids`. Each id has its own segmentations.
 
     Null and empty texts have no ids; equal ids and texts have equal results. Texts are encoded whole.
     """
@@ -143,8 +181,7 @@ def encoded(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "t
         model = pieces(path)
 
         def run(texts: pa.Array, part: pa.RecordBatch) -> list:
-            variant = (id_hashes(part.column(keep.index(id))) % np.uint64(variants)).astype(np.int64)
-            ids, at = model.encode(texts, variant, seed, dropout)
+            ids, at = model.encode(texts, id_hashes(part.column(keep.index(id))), seed, dropout)
             return [list_array(np.split(ids, at[1:-1]) if len(at) > 1 else [])]
         return run
 
@@ -152,7 +189,7 @@ def encoded(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "t
 
 
 def round_trip(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", path: str | None = None, seed: int = SEED,
-               dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+               dropout: float = DROPOUT) -> DataFrame:
     """The kept columns, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and lossless.
 
     Encodes and decodes in one pass, so that ids need not be moved; otherwise as `encoded`.
@@ -165,8 +202,7 @@ def round_trip(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str =
         model = pieces(path)
 
         def run(texts: pa.Array, part: pa.RecordBatch) -> list:
-            variant = (id_hashes(part.column(keep.index(id))) % np.uint64(variants)).astype(np.int64)
-            ids, at = model.encode(texts, variant, seed, dropout)
+            ids, at = model.encode(texts, id_hashes(part.column(keep.index(id))), seed, dropout)
             said = model.decode(ids, at)
             small = ids.astype("<u4")
             crc = [zlib.crc32(small[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

@@ -238,6 +238,33 @@ def test_pieces_against_the_library(texts):
     assert len(seen) == 3 and model.encode(pa.array(lines), variant, 1, 1.0)[0].tobytes() in seen
 
 
+def test_pieces_vary_by_occurrence_and_document():
+    model = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    lines = [" ".join(["international"] * 300)] * 40 + ["", " a", "x" * 400]
+    key = np.arange(len(lines))
+    ids, at = model.encode(pa.array(lines), key, 1, 0.1)
+    assert [d.decode() for d in model.decode(ids, at)] == lines
+    own = [ids[at[i]:at[i + 1]].tobytes() for i in range(40)]
+    assert len(set(own)) == 40
+    plain, _ = model.encode(pa.array(["international"]), key[:1], 1, 0.0)
+    assert len(set(len(o) for o in own)) > 4 and all(len(o) > 300 * 8 * len(plain) for o in own)
+    # a document alone, or among others, is segmented alike, and one by one as in blocks
+    for i in (0, 7, 39, 42):
+        alone, _ = model.encode(pa.array(lines[i:i + 1]), key[i:i + 1], 1, 0.1)
+        assert alone.tobytes() == ids[at[i]:at[i + 1]].tobytes()
+    # one document gives a frequent word far more than one segmentation
+    first, spans = ids[at[0]:at[1]], set()
+    said = b""
+    now = []
+    for x in first.tolist():
+        now.append(x)
+        said += model.said[model.said_at[x]:model.said_at[x + 1]].tobytes()
+        if said.endswith(b"international"):
+            spans.add(tuple(now))
+            now, said = [], b""
+    assert len(spans) > 4
+
+
 def test_packing_keeps_every_id(spark, texts):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {k: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for k, t in texts.items()}
