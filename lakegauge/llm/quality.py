@@ -111,13 +111,16 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """A model from the documents that have a label (0 or 1), at most `limit` of them, chosen by a hash of the id.
 
     Only ids and labels are sorted for the choice, and the chosen ids, at most `limit`, are sent to the documents. The
-    fit runs in one task over them. An id with several labels counts with the least; null ids and labels teach nothing.
+    fit runs in one task over them. An id with several labels counts with the least, one with several texts with that of the
+    least hash; null ids and labels teach nothing.
     """
     known = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")) \
         .where("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     chosen = known.join(rows.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(limit)
-    sample = rows.join(F.broadcast(chosen), "id")
+    # one text an id, the least by hash, so that the bound holds for rows as well
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(least.alias("least")).select("id", "least.text", "label")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text"):

@@ -71,6 +71,14 @@ def test_packing(docs):
     assert packing.packed(packing.pieces(empty(docs), ["doc_id"])).count() == 0
 
 
+def test_quality_takes_one_text_an_id(spark):
+    rows = [(i, f"word{i} and some more of {i % 3}") for i in range(8)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, quality int")
+    once = quality.train(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    often = quality.train(spark.createDataFrame(rows + [rows[3]] * 40, "doc_id bigint, text string"), labels)
+    assert often.bias == once.bias and (often.weight == once.weight).all()
+
+
 def test_quality(docs, spark):
     labels = spark.createDataFrame([(1, 1, "x"), (5, 0, "x"), (5, 1, "x"), (None, 1, "x"), (6, None, "x"), (99, 1, "x")], "doc_id bigint, quality int, text string")
     model = quality.train(docs, labels)
