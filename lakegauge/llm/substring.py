@@ -173,13 +173,21 @@ def _spans(edges: DataFrame) -> DataFrame:
                   .mapInArrow(compact, "at bigint, length bigint, source bigint"), "spans")
 
 
-def _beside_texts(edges: DataFrame, asked: DataFrame) -> DataFrame:
-    """Every text followed by the rows (at, length) that ask about it, in order of place, for one pass."""
+def _beside_texts(edges: DataFrame, asked: DataFrame, whole: bool = False) -> DataFrame:
+    """Every text followed by the rows (at, length) that ask about it, in order of place, for one pass.
+
+    A text of several numbers comes once for each of them, or, as a whole, once with all rows that ask about it.
+    """
+    part = F.shiftright("at", _PLACE)
     numbers = F.explode(F.sequence(F.col("number"), F.col("number") + F.shiftright("n_words", _PLACE)))
-    texts = edges.select(numbers.alias("part"), "number", "digest", "text")
+    if whole:
+        more = edges.where(F.col("n_words") >= 1 << _PLACE).select(numbers.alias("part"), "number")
+        asked = asked.withColumn("part", part).join(more, "part", "left")
+        part, numbers = F.coalesce("number", "part"), F.col("number")
+    texts = edges.select(numbers.alias("part"), F.col("number"), "digest", "text")
     rows = texts.select("part", F.lit(0).alias("kind"), F.shiftleft("number", _PLACE).alias("at"),
                         F.lit(0).cast("bigint").alias("length"), "digest", "text") \
-        .unionByName(asked.select(F.shiftright("at", _PLACE).alias("part"), F.lit(1).alias("kind"), "at", "length"),
+        .unionByName(asked.select(part.alias("part"), F.lit(1).alias("kind"), "at", "length"),
                      allowMissingColumns=True)
     return rows.repartition(spread(edges.sparkSession), "part").sortWithinPartitions("part", "kind", "at")
 
@@ -262,7 +270,7 @@ def _kept(edges: DataFrame, marks: DataFrame, window: int) -> DataFrame:
         if held:
             yield batch([finished()])
 
-    return _beside_texts(edges, marks).mapInArrow(cut, "digest binary, n_removed bigint, kept_sha binary, kept string")
+    return _beside_texts(edges, marks, whole=True).mapInArrow(cut, "digest binary, n_removed bigint, kept_sha binary, kept string")
 
 
 def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

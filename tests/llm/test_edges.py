@@ -53,6 +53,15 @@ def test_substring(docs):
     assert left.columns == docs.columns and left.count() == 10 and left.where("doc_id = 2 and text is null").count() == 1
 
 
+def test_marks_of_a_long_text_come_together(spark):
+    """A text of three numbers, 7 to 9, and its neighbour 10: all marks lie beside the one row of the text."""
+    size = 1 << substring._PLACE
+    edges = spark.createDataFrame([(7, b"a", "t", 2 * size + 5), (10, b"b", "u", 40)], "number bigint, digest binary, text string, n_words bigint")
+    marks = spark.createDataFrame([(7 * size + 3, 1), (8 * size, 2), (9 * size + 4, 1), (10 * size + 2, 1)], "at bigint, length bigint")
+    got = sorted((r.part, r.kind, r["at"] // size) for r in substring._beside_texts(edges, marks, whole=True).collect())
+    assert got == [(7, 0, 7), (7, 1, 7), (7, 1, 8), (7, 1, 9), (10, 0, 10), (10, 1, 10)]
+
+
 def test_secrets(docs):
     assert all(not r.spans for r in secrets.scan(docs, ["doc_id"]).collect())
     clean = secrets.redacted(docs)
