@@ -129,16 +129,33 @@ def first_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np
     return columns, used
 
 
+def inverted(columns: np.ndarray) -> np.ndarray:
+    """The inverse of the transposed patterns, by substitution from the largest size down.
+
+    A pattern has few sizes, so this is a few row operations per size. No BLAS and no LAPACK: their threads can hang in a
+    driver that has started a JVM.
+    """
+    out = np.zeros(columns.shape)
+    for i in range(len(columns) - 1, -1, -1):
+        row = np.zeros(len(columns))
+        row[i] = 1
+        for p in (np.flatnonzero(columns[i + 1:, i]) + i + 1).tolist():
+            row -= columns[p, i] * out[p]
+        out[i] = row / columns[i, i]
+    return out
+
+
 def relaxed(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one per row) and how often each is used, fractions included, close to the least number of sequences."""
     columns, used = first_patterns(sizes, demand, room)  # row p: pattern p
-    inverse = np.linalg.inv(columns.T)
+    inverse = inverted(columns)
     for _ in range(_ROUNDS):
         prices = inverse.sum(axis=0)
         value, counts = knapsack(prices, sizes, room)
         if value <= 1 + _GAP:  # no plan has fewer than used.sum() / value sequences
             break
-        direction = inverse @ counts
+        held = np.flatnonzero(counts)
+        direction = (inverse[:, held] * counts[held]).sum(axis=1)
         ratios = np.where(direction > 1e-9, used / np.where(direction > 1e-9, direction, 1), np.inf)
         leaving = int(ratios.argmin())
         step = ratios[leaving]

@@ -290,6 +290,20 @@ def test_packing_keeps_every_id(spark, texts):
     assert len(by_sequence) <= 1.1 * math.ceil(sum(map(len, ids.values())) / packing.LENGTH) + 1
 
 
+def test_plan_of_all_classes_beside_a_session(spark):
+    """512 classes planned in a driver that has a JVM; the basis is inverted without LAPACK."""
+    assert spark.range(3).count() == 3
+    pick = np.random.default_rng(2)
+    histogram = {s: int(pick.integers(1, 5000)) for s in range(1, 513)}
+    sizes, demand = np.array(sorted(histogram)), np.array([histogram[s] for s in sorted(histogram)], float)
+    columns, _ = packing.first_patterns(sizes, demand, 512)
+    direct = (packing.inverted(columns) * demand).sum(axis=1)
+    assert np.allclose((columns.T * direct).sum(axis=1), demand)
+    plan = packing.plan(dict(histogram), 512)
+    total = sum(s * n for s, n in histogram.items())
+    assert plan.used == histogram and plan.sequences <= 1.01 * total / 512 + 1
+
+
 def test_plan_is_close_to_the_bound():
     pick = np.random.default_rng(1)
     sizes = np.minimum(512, 1 + pick.lognormal(4.5, 1.1, 20000).astype(int) % 512)
