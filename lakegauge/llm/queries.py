@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegauge.llm import jaccard, language, lines, maxent, packing, pieces, quality, secrets, simhash, substring
+from lakegauge.llm import contamination, interaction, jaccard, language, lines, maxent, negatives, packing, pieces, quality, secrets, simhash, substring
 from lakegauge.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("query").agg(F.sum("n").alias("n_near"))
     return rows.join(near, (simhash.as_number(F.col("fingerprint")) == near.query) & (F.col("doc_id") % 20 == 0), "left").drop("query") \
         .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")
+
+
+@query("op11_interaction", interaction.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(interaction.masks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op12_negatives", negatives.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    # labels that are wrong on purpose: a seventh of the rows take the next one
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_contamination", contamination.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
