@@ -102,7 +102,7 @@ def _column_aggregates(field: T.StructField, ordinal: int, lexical: bool) -> Col
         if kind == "text" and re.search(C.DATE_PATTERN, field.name):
             parse_ok = F.count(cells.parse_datetime(c, dt))
         if kind == "text" and lexical:
-            types = F.size(F.collect_set(json_kind(c)))
+            types = F.size(F.collect_set(json_kind(text)))
     return F.struct(
         F.lit(ordinal).alias("ordinal"), F.lit(field.name).alias("column_name"),
         F.lit(dt.simpleString()).alias("dtype"), F.lit(kind).alias("kind"),
@@ -172,6 +172,11 @@ def profiles(tables: Sequence[tuple[Mapping[str, Column], DataFrame]], distinct:
         count = F.coalesce("distinct_cnt", F.lit(0).cast("bigint"))
     else:
         count = F.lit(None).cast("bigint")
+    return finished(out, count, *tables[0][0])
+
+
+def finished(out: DataFrame, count: Column, *labels: str) -> DataFrame:
+    """The profile table from counts of present cells, ranges as text and the number of distinct values."""
     total, there = F.col("total"), F.col("present")
 
     def shown(name: str) -> Column:
@@ -180,7 +185,7 @@ def profiles(tables: Sequence[tuple[Mapping[str, Column], DataFrame]], distinct:
                 .when(F.col("dtype") == "boolean", F.initcap(value)).otherwise(value).alias(name))
 
     return out.select(
-        *tables[0][0], "ordinal", "column_name", "dtype", "kind", "total",
+        *labels, "ordinal", "column_name", "dtype", "kind", "total",
         (total - there).alias("nulls"), cells.ratio(total - there, total).alias("null_rate"),
         count.alias("distinct_cnt"),
         # an estimated count may exceed the cells there are

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakegauge.sources.csv import scan_csv
 from lakegauge.sources.datasets import Dataset, scan_parquet
+from lakegauge.sources.digest import file_digests
 
 READABLE = ("csv", "parquet")
 
@@ -83,9 +84,8 @@ def scan_sources(spark: SparkSession, config: Mapping[str, Any], limit: int | No
 def file_hashes(spark: SparkSession, folder: str, include_ext: Iterable[str] | None = None) -> DataFrame:
     """path, source_file, ext, file_hash for the wanted files of the folder, whatever their size and kind.
 
-    A file is read as bytes between line feeds, in parallel over its splits; the hash covers its length, the number of
-    such pieces and two sums of their hashes. Pieces in another order give the same hash. Files of other extensions
-    are not opened.
+    A file is read as bytes between line feeds, in parallel over its splits; the hash covers its length, the pieces and
+    their order (see `digest`), and does not depend on how the file is split. Files of other extensions are not opened.
     """
     wanted = normalized_extensions(include_ext)
     names = list_files(spark, folder)
@@ -95,12 +95,13 @@ def file_hashes(spark: SparkSession, folder: str, include_ext: Iterable[str] | N
     if wanted:
         letters = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(letters(e) for e in sorted(wanted)) + "}")
-    total = lambda *salt: F.sum(F.xxhash64(*salt, "value").cast("decimal(38,0)")).cast("string")
-    said = reader.text(folder).groupBy(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("name")).agg(
-        F.concat_ws(":", F.count(F.lit(1)).cast("string"), total(), total(F.lit("second"))).alias("said"))
+    pieces = reader.text(folder).select(
+        F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("name"),
+        F.col("_metadata.file_block_start").alias("start"), "value")
+    said = file_digests(pieces, "name", "start", "value")
     out = names.join(said, names.source_file == said.name, "left")
     return out.select("path", "source_file", "ext", F.sha2(
-        F.concat_ws(":", F.col("size_bytes").cast("string"), F.coalesce("said", F.lit("0"))), 256).alias("file_hash"))
+        F.concat_ws(":", F.col("size_bytes").cast("string"), F.coalesce("digest", F.lit("0"))), 256).alias("file_hash"))
 
 
 def changed_files(hashes: DataFrame, log: DataFrame, mode: str = "skip") -> DataFrame:

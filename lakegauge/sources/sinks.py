@@ -36,6 +36,23 @@ def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
         return spark.createDataFrame([], schema)
 
 
+def write_step(df: DataFrame, path: str, step: int) -> DataFrame:
+    """Writes the rows of a step of a growing state, replacing an earlier attempt, and returns them as stored."""
+    where = f"{path.rstrip('/')}/step={step}"
+    df.write.mode("overwrite").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def read_steps(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all steps with their step; none where nothing has been written."""
+    return read_runs(spark, path, T.StructType([*schema.fields, T.StructField("step", T.IntegerType())]))
+
+
+def clear_step(spark: SparkSession, path: str, step: int) -> None:
+    fs, where, java = _file_system(spark, path)
+    fs.delete(java(where, f"step={step}"), True)
+
+
 def _file_system(spark: SparkSession, path: str):
     java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     where = java(path)

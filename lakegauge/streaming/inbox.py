@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import logging
+import os
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lakegauge import schemas
+from lakegauge.operators import running
+from lakegauge.operators.profile import PROFILE, cell_keys
 from lakegauge.plans.scan import scan_profile
 from lakegauge.sources.inbox import READABLE, read_file
-from lakegauge.sources.sinks import write_run
+from lakegauge.sources.sinks import clear_step, read_steps, write_run, write_step
 
 _LOG = logging.getLogger(__name__)
+PROFILE_RUNS = T.StructType(schemas.ENVELOPE.fields + PROFILE.fields)
 
 
 def scan_new_files(spark: SparkSession, folder: str, out: str, checkpoint: str, run_prefix: str,
@@ -59,3 +63,33 @@ def scan_table_stream(spark: SparkSession, folder: str, schema, out: str, checkp
 
     (rows.writeStream.foreachBatch(measure).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
+
+
+def scan_growing_table(spark: SparkSession, folder: str, schema, out: str, checkpoint: str, state: str, label: str,
+                       run_prefix: str, scanned_at: datetime, files_per_batch: int = 1000, distinct: str = "exact",
+                       lexical: bool = False) -> None:
+    """A growing Parquet folder whose every run is the profile of all rows so far, though only new files are read.
+
+    `state` keeps, by step, the merged state and (for exact distincts) the keys that a step saw first; see `running`. A
+    micro-batch that is repeated starts from the step before it and replaces its own.
+    """
+    from lakegauge.sources.datasets import Dataset, file_meta, with_envelope
+
+    states, keys = os.path.join(state, "states"), os.path.join(state, "keys")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+    def measure(batch: DataFrame, batch_id: int) -> None:
+        earlier = read_steps(spark, states, running.STATE).where(F.col("step") < batch_id)
+        last = earlier.join(earlier.agg(F.max("step").alias("step")), "step", "left_semi").drop("step")
+        total = running.merged(running.measured(batch, lexical, distinct == "approx").unionByName(last), batch.schema)
+        if distinct == "exact":
+            known = read_steps(spark, keys, running.KEYS).where(F.col("step") < batch_id).drop("step")
+            fresh = write_step(running.new_keys(cell_keys(batch), known), keys, batch_id)
+            total = running.with_keys(total, fresh)
+        seen = write_step(total, states, batch_id)
+        clear_step(spark, states, batch_id - 2)
+        d = Dataset(label, running.profile_of(seen, batch.schema, distinct), file_meta(folder))
+        write_run(schemas.align(with_envelope(d.df, d, f"{run_prefix}_{batch_id:06d}", scanned_at), PROFILE_RUNS), out)
+
+    (rows.writeStream.foreachBatch(measure).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F, types as T
 
 from lakegauge import schemas, session
 from lakegauge.plans import batch, scan
-from lakegauge.sources import csv, inbox, jdbc, sinks
+from lakegauge.sources import csv, digest, inbox, jdbc, sinks
 from lakegauge.sources import datasets as ds
 from lakegauge.streaming import inbox as stream
 
@@ -85,12 +85,53 @@ def test_one_hash_for_files_of_any_size(spark, tmp_path, rows):
 
     first = hashes()
     assert set(first) == {"Vendas 2024+x.csv", "second.csv"} and len(set(first.values())) == 2
+    seen = {first["Vendas 2024+x.csv"]}
+
+    def changed(text):
+        with open(path, "w") as f:
+            f.write(text)
+        now = hashes()["Vendas 2024+x.csv"]
+        assert now not in seen
+        seen.add(now)
+
+    changed("".join(reversed(lines)))
+    changed("".join([*lines[:2], lines[3], lines[2], *lines[4:]]))  # two neighbours swapped
+    changed("".join([*lines[:-1], *lines[-1:], "\n"]))  # an empty line at the end
+    changed("".join(["\n", *lines]))  # and at the start
+    changed("".join(lines).rstrip())
+    changed("".join(lines) + "7\n")
     with open(path, "w") as f:
-        f.writelines(reversed(lines))
+        f.writelines(lines)
     assert hashes() == first
-    with open(path, "a") as f:
-        f.write("7\n")
-    assert hashes()["Vendas 2024+x.csv"] != first["Vendas 2024+x.csv"]
+
+
+@pytest.mark.parametrize("split", ["1k", "7k", "1g"])
+def test_a_hash_does_not_depend_on_splits(spark, tmp_path, split):
+    """However a file is cut and its splits are packed into partitions, its digest is that of the whole sequence."""
+    lines = [f"line {i * i}" for i in range(3000)] + ["", "", "x" * 3000, "last without end"]
+    put(tmp_path, "a.csv", "\n".join(lines))
+    put(tmp_path, "b.csv", "\n".join(lines[5:2000]) + "\n")
+    pieces = spark.createDataFrame([(n, 0, x) for n, own in (("a.csv", lines), ("b.csv", lines[5:2000])) for x in own],
+                                   "name string, start bigint, value string").coalesce(1)
+    whole = {r.name: r.digest for r in digest.file_digests(pieces, "name", "start", "value").collect()}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = spark.read.option("lineSep", "\n").text(str(tmp_path)).select(
+            F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"), "value")
+        assert {r.name: r.digest for r in digest.file_digests(rows, "name", "start", "value").collect()} == whole
+        assert {r.source_file for r in inbox.file_hashes(spark, str(tmp_path)).collect()} == {"a.csv", "b.csv"}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_powers(spark):
+    exponents = [0, 1, 2047, 2048, 123456789, (1 << 22) + 5, (1 << 33) - 1]
+    rows = spark.createDataFrame([(e,) for e in exponents], "e bigint").select(
+        "e", *[digest.power(i, F.col("e")).alias(f"p{i}") for i in range(4)]).collect()
+    assert all(r[f"p{i}"] == pow(digest.BASES[i], r.e, digest.PRIMES[i]) for r in rows for i in range(4))
 
 
 def test_surplus_fields_are_an_error(spark, tmp_path):
