@@ -93,11 +93,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.report(documents(spark, sf_dir))
     # search: each document whose id is divisible by 20, against all; n_near counts the documents within 3 bits, itself too
     counts = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).withColumn("mark", simhash.as_number(F.col("fingerprint")))
-    asked = rows.where(F.col("doc_id") % 20 == 0).select(simhash.as_number(F.col("fingerprint")).alias("mark"))
-    near = simhash.within(asked, counts.select("mark")).join(counts.withColumnRenamed("mark", "found"), "found") \
+    asks = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    asked = rows.where(asks).withColumn("mark", simhash.as_number(F.col("fingerprint")))
+    near = simhash.within(asked.select("mark"), counts.select("mark")).join(counts.withColumnRenamed("mark", "found"), "found") \
         .groupBy("query").agg(F.sum("n").alias("n_near"))
-    return rows.join(near, (simhash.as_number(F.col("fingerprint")) == near.query) & (F.col("doc_id") % 20 == 0), "left").drop("query") \
-        .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")
+    searched = asked.join(near, F.col("mark") == F.col("query"), "left").select(*rows.columns, "n_near")
+    return searched.unionByName(rows.where(~asks).withColumn("n_near", F.lit(None).cast("bigint")))
 
 
 @query("op11_interaction", interaction.SQL)
