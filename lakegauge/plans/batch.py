@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+from collections.abc import Callable, Iterable
 from datetime import datetime
 from functools import reduce
 
@@ -13,22 +14,26 @@ from lakegauge import schemas
 from lakegauge.functions import cells
 from lakegauge.operators.heuristics import heuristic_scores
 from lakegauge.operators.runs import latest_per_source
-from lakegauge.sources.inbox import changed_files, file_hashes, kept_log, read_file
+from lakegauge.sources.inbox import changed_files, file_hashes, read_file
 from lakegauge.sources.prepare import drop_empty_rows, sanitize_columns, sanitize_name
-from lakegauge.sources.sinks import append_run_log, read_runs, swap_table
+from lakegauge.sources.sinks import append_run_log, read_runs, replace_in_log
 from lakegauge.session import work_path
 
 _LOG = logging.getLogger(__name__)
 
 
-def table_name(source_file: str, schema: str = "stg") -> str:
-    return f"{schema}.src_{sanitize_name(os.path.splitext(source_file)[0])}"
+def table_name(source_file: str, schema: str = "stg", others: Iterable[str] = ()) -> str:
+    """The name of a file's table: that of the file without its extension, with it where another file has the same name."""
+    stem, ext = os.path.splitext(source_file)
+    name = sanitize_name(stem)
+    clash = any(o != source_file and sanitize_name(os.path.splitext(o)[0]) == name for o in others)
+    return f"{schema}.src_{name}_{sanitize_name(ext)}" if clash else f"{schema}.src_{name}"
 
 
 def judged(spark: SparkSession, path: str, source_file: str, ext: str, file_hash: str, run_ts: datetime,
-           as_of: datetime, staging: str) -> DataFrame:
+           as_of: datetime, staging: str, name: str | None = None) -> DataFrame:
     """The log row of one file. The cleaned table is stored under the name that the log gives and judged from there."""
-    name = table_name(source_file)
+    name = name or table_name(source_file)
     df = sanitize_columns(drop_empty_rows(read_file(spark, path, ext, csv_sep="auto").df), "obj")
     copy = os.path.join(staging, name)
     df.write.mode("overwrite").parquet(copy)
@@ -38,32 +43,43 @@ def judged(spark: SparkSession, path: str, source_file: str, ext: str, file_hash
     return schemas.align(row, schemas.RUN_LOG)
 
 
+def write_each(rows: list[tuple[str, DataFrame]], write: Callable[[DataFrame], None], done: str) -> None:
+    """Writes the rows of all items by one job; if that fails, item by item, so that a bad one costs only itself."""
+    try:
+        write(reduce(DataFrame.unionAll, [df for _, df in rows]))
+    except Exception as error:
+        if len(rows) == 1:
+            _LOG.warning("%s was not %s: %s", rows[0][0], done, str(error).splitlines()[0])
+        else:
+            for row in rows:
+                write_each([row], write, done)
+
+
 def run_inbox(spark: SparkSession, folder: str, log_path: str, run_ts: datetime, as_of: datetime,
               mode: str = "skip", include_ext=("csv", "parquet"), staging: str | None = None, batch: int = 16) -> DataFrame:
     """Judges the files that are due, adds them to the log, returns the latest row per file.
 
-    With 'replace' the earlier rows of the processed files leave the log. A file that cannot be read is left out and
-    stays due; the others go on. Cleaned tables go to `staging`, by default a fresh working folder. Files are
-    judged `batch` at a time, each group by one job.
+    With 'replace' the earlier rows of the processed files leave the log. A file that cannot be opened, or fails while it
+    is read or judged, is left out and stays due; the others go on. Cleaned tables go to `staging`, by default a fresh
+    working folder. Files are judged `batch` at a time, each group by one job.
     """
     staging = staging or work_path(spark, "staging")
     log = read_runs(spark, log_path, schemas.RUN_LOG)
-    due = changed_files(file_hashes(spark, folder, include_ext), log, mode).orderBy("source_file").collect()
-    rows, done = [], []
+    found = file_hashes(spark, folder, include_ext)
+    listed = found.collect()  # short rows, one per file
+    names = [f.source_file for f in listed]
+    due = changed_files(spark.createDataFrame(listed, found.schema), log, mode).orderBy("source_file").collect()
+    rows = []
     for f in due:
         try:
-            rows.append(judged(spark, f.path, f.source_file, f.ext, f.file_hash, run_ts, as_of, staging))
-            done.append((f.source_file,))
+            rows.append((f.source_file, judged(spark, f.path, f.source_file, f.ext, f.file_hash, run_ts, as_of, staging, table_name(f.source_file, others=names))))
         except Exception as error:  # one bad file must not stop the others
             _LOG.warning("%s was not judged: %s", f.source_file, str(error).splitlines()[0])
     if rows:
         path = work_path(spark, "judged")
+        spark.createDataFrame([], schemas.RUN_LOG).write.parquet(path)
         for at in range(0, len(rows), batch):
-            reduce(DataFrame.unionAll, rows[at:at + batch]).write.mode("append").parquet(path)
+            write_each(rows[at:at + batch], lambda df: df.write.mode("append").parquet(path), "judged")
         new = spark.read.schema(schemas.RUN_LOG).parquet(path)
-        if mode == "replace":
-            processed = spark.createDataFrame(done, "source_file string")
-            swap_table(kept_log(log, processed, mode).select(*new.columns).unionAll(new), log_path)
-        else:
-            append_run_log(new, log_path, schemas.RUN_LOG)
-    return latest_per_source(read_runs(spark, log_path, schemas.RUN_LOG)).orderBy(F.col("run_ts").desc(), "source_file")
+        (replace_in_log if mode == "replace" else append_run_log)(new, log_path, schemas.RUN_LOG)
+    return latest_per_source(read_runs(spark, log_path, schemas.RUN_LOG).distinct()).orderBy(F.col("run_ts").desc(), "source_file")

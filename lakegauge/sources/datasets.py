@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakegauge import constants as C
 from lakegauge.functions import cells
 from lakegauge.schemas import ENVELOPE_TEXTS
+from lakegauge.session import work_path
 
 
 @dataclass(frozen=True)
@@ -35,9 +38,38 @@ def table_meta(source_type: str, source_name: str, source_ref: str, schema: str,
 
 
 def capped(df: DataFrame, limit: int | None) -> DataFrame:
+    """Some rows of a plan, for a copy that is written once; see `head` for rows that stay the same wherever they are used."""
     return df.limit(limit) if limit and limit > 0 else df
 
 
+def head(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of a table of Parquet files, in order of file path and place in the file.
+
+    Rows are counted file by file, in growing groups, until the cap is reached; then the cap is a filter on path and row
+    number. So it costs no shuffle and no single task, files behind the cap are not opened, and every use of the result
+    sees the same rows. Any other plan is capped into a copy.
+    """
+    if not limit or limit <= 0:
+        return df
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        numbered = df.select(path.alias("path"), place.alias("place"))
+    except AnalysisException:
+        copy = work_path(df.sparkSession, "capped")
+        capped(df, limit).write.parquet(copy)
+        return df.sparkSession.read.schema(df.schema).parquet(copy)
+    # the list of files spells an empty authority as ///, the rows spell it as /
+    files, at, group, taken = sorted(re.sub("^([^/:]+):///", r"\1:/", f) for f in numbered.inputFiles()), 0, 1, 0
+    while at < len(files):
+        some = df.where(path.isin(files[at:at + group])).select(path.alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+        for last, n in sorted(tuple(r) for r in some.collect()):
+            if taken + n >= limit:
+                return df.where((path <= last) & ((path < last) | (place < limit - taken)))
+            taken += n
+        at, group = at + group, group * 2
+    return df
+
+
 def run_id_of(moment: datetime) -> str:
     return moment.strftime(C.RUN_ID_FORMAT)
 
@@ -59,14 +91,14 @@ def with_envelope(df: DataFrame, dataset: Dataset, run_id: str, scanned_at: date
 
 def scan_parquet(spark: SparkSession, path: str, limit: int | None = None) -> Dataset:
     meta = file_meta(path)
-    return Dataset(meta["dataset_name"], capped(spark.read.parquet(path), limit), meta)
+    return Dataset(meta["dataset_name"], head(spark.read.parquet(path), limit), meta)
 
 
 def scan_table(spark: SparkSession, name: str, limit: int | None = None) -> Dataset:
     """A catalog table or view by its name."""
     schema, _, table = name.rpartition(".")
     meta = {**table_meta("catalog", "catalog", name, schema, table), "object_name": name, "dataset_name": name}
-    return Dataset(name, capped(spark.table(name), limit), meta)
+    return Dataset(name, head(spark.table(name), limit), meta)
 
 
 def sample_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:

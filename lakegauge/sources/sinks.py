@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from lakegauge.schemas import align
@@ -27,9 +27,13 @@ def append_run(df: DataFrame, path: str, keys: Sequence[str] = ("run_id",)) -> N
 
 
 def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All runs under a path in the given layout; columns that older files lack are null."""
+    """All runs under a path in the given layout; columns that older files lack are null.
+
+    Tables of runs take run_id from their folders. A log holds all its columns, whatever folders its files lie in.
+    """
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "source_file" in schema.fieldNames())
     try:
-        return align(spark.read.schema(schema).parquet(path), schema)
+        return align(reader.parquet(path), schema)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -66,19 +70,33 @@ def clear_run(spark: SparkSession, path: str, run_id: str) -> None:
     fs.delete(java(where, f"run_id={name}"), True)
 
 
-def swap_table(df: DataFrame, path: str) -> None:
-    """Replaces a folder by rows that may come from it: written beside it first, then put in its place."""
-    spark = df.sparkSession
-    fresh, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
-    df.write.mode("overwrite").parquet(fresh)
-    fs, where, java = _file_system(spark, path)
-    fs.delete(java(old), True)
-    if fs.exists(where):
-        fs.rename(where, java(old))
-    fs.rename(java(fresh), where)
-    fs.delete(java(old), True)
+def append_run_log(df: DataFrame, path: str, schema: T.StructType) -> None:
+    """Adds log rows in the log's layout, a folder per source; an older log keeps its rows, its absent columns read as null."""
+    rows = align(df, schema)
+    rows.withColumn("source_key", F.col("source_file")).write.mode("append").partitionBy("source_key").parquet(path)
 
 
-def append_run_log(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Adds log rows in the log's layout; an older log keeps its rows, its absent columns read as null."""
-    align(df, schema).write.mode("append").parquet(path)
+def replace_in_log(df: DataFrame, path: str, schema: T.StructType) -> None:
+    """Adds log rows and removes all earlier rows of their sources.
+
+    The new rows are written first and the files that held the earlier ones are deleted last, so at no moment is a source
+    without a row: a run that ends in between leaves both, of which the later counts, and the next run removes them. An
+    older log of files that several sources share is taken apart once.
+    """
+    spark = df.sparkSession
+    name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    fs, where, java = _file_system(spark, path)
+    sources = [r["source_file"] for r in df.select("source_file").distinct().collect()]  # the files of one batch
+    folders = [java(where, f"source_key={name(s)}") for s in sources]
+    old = [f.getPath() for d in folders if fs.exists(d) for f in fs.listStatus(d)]
+    shared = [f.getPath() for f in fs.listStatus(where) if f.isFile() and not f.getPath().getName().startswith("_")] if fs.exists(where) else []
+    if shared:
+        kept = align(spark.read.schema(schema).parquet(*[f.toString() for f in shared]), schema).join(df.select("source_file"), "source_file", "left_anti")
+        append_run_log(kept, path, schema)
+    append_run_log(df, path, schema)
+    remove(fs, [*old, *shared])
+
+
+def remove(fs, files) -> None:
+    for f in files:
+        fs.delete(f, False)

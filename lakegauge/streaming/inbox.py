@@ -13,7 +13,7 @@ from lakegauge.operators import running
 from lakegauge.operators.profile import PROFILE, cell_keys
 from lakegauge.plans.scan import scan_profile
 from lakegauge.sources.inbox import READABLE, read_file
-from lakegauge.sources.sinks import clear_step, read_steps, write_run, write_step
+from lakegauge.sources.sinks import append_run, clear_run, clear_step, read_steps, write_run, write_step
 
 _LOG = logging.getLogger(__name__)
 PROFILE_RUNS = T.StructType(schemas.ENVELOPE.fields + PROFILE.fields)
@@ -34,15 +34,22 @@ def scan_new_files(spark: SparkSession, folder: str, out: str, checkpoint: str,
         named = batch.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
         # at most files_per_batch short rows
         files = named.where(F.col("ext").isin(*READABLE)).orderBy("path").collect()
-        datasets = []
+        found = []
         for f in files:
             try:
-                datasets.append(read_file(spark, f.path, f.ext))
+                found.append(read_file(spark, f.path, f.ext))
             except Exception as error:  # one bad file must not stop the stream
                 _LOG.warning("%s was not measured: %s", f.path, str(error).splitlines()[0])
-        if datasets:
-            p = scan_profile(datasets, f"{run_prefix}_{batch_id:06d}", scanned_at, **options)
-            write_run(schemas.align(p, schemas.COLUMN_METRICS), out)
+        run_id = f"{run_prefix}_{batch_id:06d}"
+        try:
+            write_run(schemas.align(scan_profile(found, run_id, scanned_at, **options), schemas.COLUMN_METRICS), out) if found else None
+        except Exception:  # a file that opens but cannot be read to its end: each on its own
+            clear_run(spark, out, run_id)
+            for d in found:
+                try:
+                    append_run(schemas.align(scan_profile([d], run_id, scanned_at, **options), schemas.COLUMN_METRICS), out)
+                except Exception as error:
+                    _LOG.warning("%s was not measured: %s", d.label, str(error).splitlines()[0])
 
     query = (paths.writeStream.foreachBatch(measure).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

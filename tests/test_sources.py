@@ -41,6 +41,41 @@ def test_csv_separator_encoding_schema_cap(spark, tmp_path):
     assert csv.scan_csv(spark, path, ";", "ISO-8859-1", limit=1).df.count() == 1
 
 
+@pytest.mark.parametrize("limit,first", [(1, 1), (30, 30), (31, 31), (64, 64), (65, 65), (5000, 200)])
+def test_a_cap_is_the_same_rows_everywhere(spark, tmp_path, limit, first):
+    """The head by file and place: every aggregate, and every way to repartition, sees one set of rows."""
+    path = str(tmp_path / "a b%20ü.parquet")
+    spark.range(200).withColumn("p", (F.col("id") / 64).cast("int")).repartitionByRange(7, "id").sortWithinPartitions(F.desc("id")) \
+        .write.partitionBy("p").parquet(path)
+    rows = [r.id for r in spark.read.parquet(path).select("id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()]
+    df = ds.scan_parquet(spark, path, limit).df
+    assert df.columns == ["id", "p"] and sorted(r.id for r in df.collect()) == sorted(rows[:limit]) and df.count() == first
+    for n in (1, 3, 11):
+        assert {r.id for r in df.repartition(n).collect()} == set(rows[:limit])
+    got = df.agg(F.sum("id").alias("s"), F.max("p").alias("p")).first()
+    assert got.s == sum(rows[:limit])
+
+
+def test_a_cap_opens_only_the_first_files(spark, tmp_path):
+    for i in range(12):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.parquet(str(tmp_path / "t" / f"part={i:02d}"))
+    df = ds.scan_parquet(spark, str(tmp_path / "t"), 15).df
+    assert sorted(r.id for r in df.collect()) == list(range(15))
+    scan = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line or "Scan parquet" in line]
+    assert len(scan) == 1
+    for f in (tmp_path / "t" / "part=07").iterdir():
+        if f.name.endswith(".parquet"):
+            f.write_bytes(b"broken")  # behind the cap, so nobody notices
+    assert ds.head(spark.read.schema("id long, part int").parquet(str(tmp_path / "t")), 15).count() == 15
+
+
+def test_a_capped_view_is_a_copy(spark):
+    spark.range(100).repartition(7).createOrReplaceTempView("gauge_view")
+    df = ds.scan_table(spark, "gauge_view", 10).df
+    once = sorted(r.id for r in df.collect())
+    assert len(once) == 10 and all(sorted(r.id for r in df.repartition(n).collect()) == once for n in (1, 5))
+
+
 def test_csv_line_breaks(spark, tmp_path):
     path = put(tmp_path, "c.csv", 'a,b\n"x\ny",1\n')
     assert [tuple(r) for r in csv.scan_csv(spark, path, multiline=True).df.collect()] == [("x\ny", 1)]
@@ -156,6 +191,70 @@ def test_bad_file_stops_neither_batch_nor_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).select("dataset_name").distinct().count() == 2
 
 
+def broken_parquet(spark, tmp_path, path):
+    """A file whose footer is whole but whose pages are not: it opens, and fails while it is read."""
+    folder = str(tmp_path / "made")
+    spark.range(1000).selectExpr("id", "md5(cast(id as string)) as s").coalesce(1).write.mode("overwrite").parquet(folder)
+    whole = next(f for f in os.listdir(folder) if f.endswith(".parquet"))
+    with open(os.path.join(folder, whole), "rb") as f:
+        data = bytearray(f.read())
+    data[4:3000] = bytes(2996)
+    with open(path, "wb") as f:
+        f.write(data)
+
+
+def test_files_of_one_stem_and_a_file_that_breaks_while_read(spark, tmp_path):
+    """a.csv and a.parquet are two tables; a file that fails while it is judged costs neither them nor the rest."""
+    box, log, staging = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "staging")
+    os.mkdir(box)
+    put(box, "a.csv", "x;y\n1;2\n")
+    put(box, "good.csv", "x;y\n1;2\n3;4\n")
+    folder = str(tmp_path / "p")
+    spark.range(5).coalesce(1).write.parquet(folder)
+    os.rename(os.path.join(folder, next(f for f in os.listdir(folder) if f.endswith(".parquet"))), box / "a.parquet")
+    broken_parquet(spark, tmp_path, str(box / "broken.parquet"))
+    got = batch.run_inbox(spark, str(box), log, AT, AT, staging=staging).collect()
+    assert {(r.source_file, r.table_name, r.total_registros) for r in got} == {
+        ("a.csv", "stg.src_a_csv", 1), ("a.parquet", "stg.src_a_parquet", 5), ("good.csv", "stg.src_good", 2)}
+    assert spark.read.parquet(f"{staging}/stg.src_a_csv").columns == ["x", "y"]
+    stream.scan_new_files(spark, str(box), str(tmp_path / "out"), str(tmp_path / "mark"), "inc", AT)
+    assert {r.dataset_name for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a.csv", "a.parquet", "good.csv"}
+
+
+def test_a_failed_group_is_judged_file_by_file(spark, tmp_path, caplog):
+    good = [(f"g{i}", spark.range(1).select(F.lit(i).alias("v"))) for i in range(3)]
+    bad = ("bad", spark.range(1).select(F.raise_error(F.lit("no")).cast("int").alias("v")))
+    out = str(tmp_path / "out")
+    batch.write_each([good[0], bad, *good[1:]], lambda df: df.write.mode("append").parquet(out), "judged")
+    assert sorted(r.v for r in spark.read.parquet(out).collect()) == [0, 1, 2] and "bad was not judged" in caplog.text
+
+
+def test_a_log_is_whole_at_every_moment(spark, tmp_path, monkeypatch):
+    """A 'replace' that ends before the old rows are removed loses none, and the next one removes them; so for older logs."""
+    box, log = tmp_path / "in", str(tmp_path / "log")
+    os.mkdir(box)
+    put(box, "a b.csv", "x;y\n1;2\n")
+    put(box, "c.csv", "x;y\n1;2\n")
+    older = spark.createDataFrame([(datetime(2024, 1, 1), "a b.csv", "old"), (datetime(2024, 1, 1), "gone.csv", "old")],
+                                  "run_ts timestamp_ntz, source_file string, file_hash string")
+    schemas.align(older, schemas.RUN_LOG).coalesce(1).write.parquet(log)
+
+    def rows():
+        return sorted((r.source_file, r.run_ts.day) for r in sinks.read_runs(spark, log, schemas.RUN_LOG).distinct().collect())
+
+    batch.run_inbox(spark, str(box), log, AT, AT)
+    assert rows() == [("a b.csv", 1), ("a b.csv", 1), ("c.csv", 1), ("gone.csv", 1)]
+    kept = sinks.remove
+    monkeypatch.setattr(sinks, "remove", lambda fs, files: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        batch.run_inbox(spark, str(box), log, datetime(2024, 3, 2), AT, mode="replace")
+    assert {("a b.csv", 2), ("c.csv", 2), ("gone.csv", 1)} <= set(rows())
+    monkeypatch.setattr(sinks, "remove", kept)
+    last = batch.run_inbox(spark, str(box), log, datetime(2024, 3, 3), AT, mode="replace").collect()
+    assert rows() == [("a b.csv", 3), ("c.csv", 3), ("gone.csv", 1)] == sorted((r.source_file, r.run_ts.day) for r in last)
+    assert sinks.read_runs(spark, log, schemas.RUN_LOG).where("source_file <> 'gone.csv'").count() == 2
+
+
 def test_only_a_missing_log_is_empty(spark, tmp_path):
     assert sinks.read_runs(spark, str(tmp_path / "none"), schemas.RUN_LOG).count() == 0
     put(tmp_path, "log", "no parquet at all")
