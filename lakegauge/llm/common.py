@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +50,22 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             end = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+            give_back()
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns memory that a block has freed to the system: workers are kept between tasks, and what one operator left in
+    its heap would stand beside the arrays of the next."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def text_of(batch: pa.RecordBatch, name: str) -> pa.Array:

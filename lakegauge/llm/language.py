@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from lakegauge.llm.common import blocks, map_text, plain, text_of
 
 PROFILE = 400
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 _PAD = 1  # stands for everything that is no letter; below all letters
-_FAR = 1 << 24
+_FAR = 1 << 22
 
 
 class _Letters:
@@ -140,7 +140,7 @@ def _distances(owners, codes, keys, n_docs: int, ranked: np.ndarray, size: int)
     order = np.argsort(owners, kind="stable")
     owners, codes = owners[order], codes[order]
     at = np.searchsorted(owners, np.arange(n_docs + 1))
-    step = max(1, (4 << 20) // width)
+    step = max(1, (1 << 20) // width)
     down = width - 1 - np.arange(width, dtype=np.int64)
     for lo in range(0, n_docs, step):
         hi = min(n_docs, lo + step)

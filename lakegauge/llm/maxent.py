@@ -28,7 +28,7 @@ CLASSES, MEMBERS = 16, 32
 CELLS, OWN = CLASSES * MEMBERS, CLASSES * MEMBERS // 2  # half of the cells hold one word each
 ROWS, MEMBER_ROWS = 4096, 1024
 ROUNDS, BATCH, RATE = 4, 4096, 0.6
-_BLOCK = 12 << 20
+_BLOCK = 6 << 20
 _PARTS = 16
 _END = 0x5EED  # stands for the end of a text; an endless string of bits like any other word's hash
 

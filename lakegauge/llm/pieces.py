@@ -26,8 +26,8 @@ from lakegauge.llm.common import id_hashes, list_array, map_text, mix, segments,
 DROPOUT, SEED = 0.1, 1
 _SPACE = "▁"
 _UNIT = re.compile(r" +[^ ]*")
-_BLOCK = 16 << 20
-_SYMBOLS = 1 << 20  # symbols, and candidate merges, looked at in one go
+_BLOCK = 6 << 20
+_SYMBOLS = 1 << 19  # symbols, and candidate merges, looked at in one go
 
 
 def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
