@@ -95,7 +95,7 @@ def scan_growing_table(spark: SparkSession, folder: str, schema, out: str, check
             total = running.with_keys(total, fresh)
         seen = write_step(total, states, batch_id)
         clear_step(spark, states, batch_id - 2)
-        d = Dataset(label, running.profile_of(seen, batch.schema, distinct), file_meta(folder))
+        d = Dataset(label, running.profile_of(seen, batch.schema, distinct), {**file_meta(folder), "object_name": label, "dataset_name": label})
         write_run(schemas.align(with_envelope(d.df, d, f"{run_prefix}_{batch_id:06d}", scanned_at), PROFILE_RUNS), out)
 
     (rows.writeStream.foreachBatch(measure).option("checkpointLocation", checkpoint)

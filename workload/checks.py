@@ -268,7 +268,7 @@ def freshness_sla(spark, sf_dir):
 _HEURISTIC_DATASETS = ("orders_dirty", "documents", "events")
 
 
-def _rates_sql(dataset: str, name: str, dtype: str, i: int) -> str:
+def rates_sql(dataset: str, name: str, dtype: str, i: int) -> str:
     has = lambda *ts: any(t in name for t in ts)
     text = dtype == "string"
     s = strip(name)
@@ -293,10 +293,7 @@ def _rates_sql(dataset: str, name: str, dtype: str, i: int) -> str:
     return "SELECT " + ", ".join(f"{v} AS {k}" for k, v in parts.items()) + f" FROM {dataset}"
 
 
-_HEURISTIC_CTES = {
-    "rates": " UNION ALL ".join(_rates_sql(d, c, t, i) for d in _HEURISTIC_DATASETS
-                                for i, (c, t) in enumerate(DATASETS[d])),
-    "verdicts": """
+VERDICTS = """
       SELECT *,
         coalesce(CASE WHEN email_named THEN email / nullif(present, 0) END, 0)
           + coalesce(CASE WHEN date_named THEN date / nullif(present, 0) END, 0)
@@ -308,7 +305,11 @@ _HEURISTIC_CTES = {
              ELSE filled / present END AS chosen,
         CASE WHEN id_named AND present > 0 THEN 0.7 * present / total + 0.3 * alnum / present END AS integrity,
         CASE WHEN date_named THEN date / nullif(present, 0) END AS date_share
-      FROM rates""",
+      FROM rates"""
+_HEURISTIC_CTES = {
+    "rates": " UNION ALL ".join(rates_sql(d, c, t, i) for d in _HEURISTIC_DATASETS
+                                for i, (c, t) in enumerate(DATASETS[d])),
+    "verdicts": VERDICTS,
 }
 
 
@@ -346,20 +347,20 @@ def heuristic_integrity(spark, sf_dir):
         "dataset", "column_name", "integrity"))
 
 
-def _joined_text(names) -> str:
+def joined_text(names) -> str:
     return " || '|' || ".join(f"coalesce({n}::VARCHAR, '')" for n in names)
 
 
-_HEURISTIC_COLUMNS = ("status", "dt_pedido", "email", "valor_txt", "data_txt", "customer_id")
+_HEURISTIC_COLUMNS = tuple(c for c, _ in DATASETS["orders_dirty"])
 _HEURISTIC_TYPES = dict(DATASETS["orders_dirty"])
 _H2 = {
     "orders_part": f"SELECT {', '.join(_HEURISTIC_COLUMNS)} FROM orders_dirty",
-    "rates": " UNION ALL ".join(_rates_sql("orders_part", c, _HEURISTIC_TYPES[c], i)
+    "rates": " UNION ALL ".join(rates_sql("orders_part", c, _HEURISTIC_TYPES[c], i)
                                 for i, c in enumerate(_HEURISTIC_COLUMNS)),
-    "verdicts": _HEURISTIC_CTES["verdicts"],
+    "verdicts": VERDICTS,
     "notes": f"""SELECT (SELECT count(*) FROM orders_part) AS total_registros,
         round({clamp('10 * avg(present / total)')}, 2) AS completude,
-        round(10 * (SELECT count(DISTINCT {_joined_text(_HEURISTIC_COLUMNS)}) / count(*) FROM orders_part), 2) AS unicidade,
+        round(10 * (SELECT count(DISTINCT {joined_text(_HEURISTIC_COLUMNS)}) / count(*) FROM orders_part), 2) AS unicidade,
         round({clamp('10 * sum(vsum) / sum(vparts)')}, 2) AS validade,
         round({clamp('10 * avg(greatest(chosen, 1 - chosen))')}, 2) AS consistencia,
         round({clamp('10 * avg(integrity)')}, 2) AS integridade,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from lakegauge import constants as C
@@ -27,6 +29,21 @@ DATASETS = {
     "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
                   ("n_chars", "bigint")],
 }
+# The other tables of the folder; with the above, all of it.
+TABLES = {n: c for n, c in DATASETS.items() if n != "orders_dirty"} | {
+    "benchmark": [("item_id", "bigint"), ("text", "string")],
+    "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
+    "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")],
+    "embeddings": [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
+    "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
+    "nation": [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")],
+    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+               ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")],
+    "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
+    "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double")],
+    "region": [("r_regionkey", "int"), ("r_name", "string")],
+    "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")],
+}
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)"
 
 
@@ -87,7 +104,7 @@ def ptbr_plain(x: str) -> str:
 
 # --- profile in SQL --------------------------------------------------------------------
 
-def _column_sql(dataset: str, i: int, name: str, dtype: str) -> str:
+def column_sql(dataset: str, i: int, name: str, dtype: str) -> str:
     numeric, temporal = dtype in ("bigint", "int", "double"), dtype == "timestamp_ntz"
     kind = "numeric" if numeric else "temporal" if temporal else "text"
     typed = numeric or temporal
@@ -107,7 +124,7 @@ def _column_sql(dataset: str, i: int, name: str, dtype: str) -> str:
 
 
 def profile_cte(names=tuple(DATASETS)) -> str:
-    rows = " UNION ALL ".join(_column_sql(d, i, c, t) for d in names for i, (c, t) in enumerate(DATASETS[d]))
+    rows = " UNION ALL ".join(column_sql(d, i, c, t) for d in names for i, (c, t) in enumerate(DATASETS[d]))
     return (f"SELECT *, coalesce(nulls / nullif(total, 0), 0)::DOUBLE AS null_rate, "
             f"coalesce(distinct_cnt / nullif(total - nulls, 0), 0)::DOUBLE AS distinct_ratio FROM ({rows})")
 
@@ -116,12 +133,12 @@ def profile_sql(body: str, names=tuple(DATASETS), **extra: str) -> str:
     return cte(body, *(["orders_dirty"] if "orders_dirty" in names else []), p=profile_cte(names), **extra)
 
 
-_FULL = ("dataset, ordinal, column_name, dtype, kind, total, nulls, round(null_rate, 6) AS null_rate, distinct_cnt, "
+FULL = ("dataset, ordinal, column_name, dtype, kind, total, nulls, round(null_rate, 6) AS null_rate, distinct_cnt, "
          "round(distinct_ratio, 6) AS distinct_ratio, min_value, max_value, round(avg_len, 6) AS avg_len, max_len, "
          "non_blank, parse_ok")
 
 
-@query("column_profile", profile_sql(f"SELECT {_FULL} FROM p"))
+@query("column_profile", profile_sql(f"SELECT {FULL} FROM p"))
 def column_profile(spark, sf_dir):
     return rounded(profiles(spark, sf_dir)).drop("type_count")
 
@@ -140,15 +157,15 @@ def column_distinct_metrics(spark, sf_dir):
 
 
 @query("column_distinct_approx", profile_sql(
-    "SELECT dataset, column_name, total - nulls AS present, TRUE AS within_bound FROM p"))
+    "SELECT dataset, column_name, total - nulls AS present, distinct_cnt, TRUE AS within_bound FROM p"))
 def column_distinct_approx(spark, sf_dir):
-    """HyperLogLog beside the exact count; the check is that the error stays within five standard errors."""
+    """HyperLogLog beside the exact count; the sketch's error must stay within five standard errors of it."""
     keys = ["dataset", "column_name"]
     approx = profiles(spark, sf_dir, distinct="approx").select(
         *keys, (F.col("total") - F.col("nulls")).alias("present"), F.col("distinct_cnt").alias("approx"))
     exact = profiles(spark, sf_dir).select(*keys, "distinct_cnt")
     near = F.abs(F.col("approx") - F.col("distinct_cnt")) <= F.greatest(F.lit(1.0), 0.1 * F.col("distinct_cnt"))
-    return approx.join(exact, keys).select(*keys, "present", near.alias("within_bound"))
+    return approx.join(exact, keys).select(*keys, "present", "distinct_cnt", near.alias("within_bound"))
 
 
 @query("column_min_max", profile_sql(
@@ -195,12 +212,16 @@ _DUP = """SELECT '{form}' AS form, count(*) AS total, count(DISTINCT {row}) AS d
 
 
 @query("row_uniqueness", _DUP.format(form="struct", row="(text, lang, source, n_chars)")
-       + " UNION ALL " + _DUP.format(form="text", row=f"({_ROW})"))
+       + " UNION ALL " + _DUP.format(form="text", row=f"({_ROW})")
+       + " UNION ALL " + _DUP.format(form="whole", row="(doc_id, text, lang, source, n_chars)")
+       + " UNION ALL " + _DUP.format(form="whole text", row=f"(doc_id::VARCHAR || '|' || {_ROW})"))
 def row_uniqueness(spark, sf_dir):
-    df = load(spark, sf_dir, "documents").select("text", "lang", "source", "n_chars")
-    forms = [uniq.row_uniqueness(df, as_text).withColumn("form", F.lit(form))
-             for form, as_text in (("struct", False), ("text", True))]
-    return rounded(forms[0].unionByName(forms[1]))
+    """Whole rows, and rows without their id, so that there are copies to be found."""
+    whole = load(spark, sf_dir, "documents")
+    content = whole.select("text", "lang", "source", "n_chars")
+    forms = [uniq.row_uniqueness(df, as_text).withColumn("form", F.lit(form)) for form, df, as_text in (
+        ("struct", content, False), ("text", content, True), ("whole", whole, False), ("whole text", whole, True))]
+    return rounded(reduce(DataFrame.unionByName, forms))
 
 
 _KEY = """SELECT '{t}' AS dataset, count(*) AS total, count(DISTINCT {k}) FILTER (WHERE {nn}) AS distinct_keys,

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F, types as T
 
 from lakegauge import constants as C, schemas
 from lakegauge.functions import cells
+from lakegauge.operators.profile import PROFILE
 from lakegauge.plans import batch, scan
 from lakegauge.session import work_path
 from lakegauge.sources import csv, inbox, sinks
 from lakegauge.sources import datasets as ds
 from lakegauge.streaming import inbox as stream
-from workload.checks import ORDERS_AS_OF, SUITE
-from workload.profiles import DATASETS, profile_sql
+from workload.checks import ORDERS_AS_OF, SUITE, VERDICTS, joined_text, rates_sql
+from workload.profiles import DATASETS, FULL, TABLES as COLUMNS, column_sql, profile_sql
 from workload.registry import load, query, rounded
 from workload.scores import _T
-from workload.tables import SCAN_NOTE, bands, cte, orders_dirty
+from workload.tables import SCAN_NOTE, STAR_NOTE, bands, clamp, cte, orders_dirty
 
 AT = datetime(2024, 3, 1, 8, 0)
 TABLES = ("benchmark conversations customer documents embeddings events labels lineitem nation orders pages part "
@@ -61,10 +62,17 @@ def catalog_scan(spark, sf_dir):
     return d.df.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit(d.label))
 
 
-@query("capped_scan", "SELECT least(count(*), 5000) AS sample_rows FROM orders")
+@query("capped_scan", """
+    SELECT count(*) AS sample_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, sum(o_orderkey)::BIGINT AS keys,
+      round(sum(o_totalprice), 2) AS price FROM (SELECT * FROM orders LIMIT 5000)""")
 def capped_scan(spark, sf_dir):
-    """The row cap of a scan as a feature; without one the whole table is read."""
-    return ds.scan_parquet(spark, f"{sf_dir}/orders.parquet", limit=5000).df.agg(F.count(F.lit(1)).alias("sample_rows"))
+    """The row cap of a scan as a feature: the first rows of the file, the same ones in two aggregates of the same table."""
+    df = ds.scan_parquet(spark, f"{sf_dir}/orders.parquet", limit=5000).df
+    keys = df.agg(F.count(F.lit(1)).alias("sample_rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"),
+                  F.sum("o_orderkey").alias("keys"))
+    price = df.repartition(5).agg(F.sum("o_totalprice").alias("price"))
+    # two single rows side by side
+    return rounded(keys.withColumn("k", F.lit(1)).join(price.withColumn("k", F.lit(1)), "k").drop("k"), 2)
 
 
 @query("hash_sample", """
@@ -183,9 +191,30 @@ def _changed(mode: str) -> str:
     return " UNION ALL ".join(f"SELECT '{mode}' AS mode, * FROM ({_COUNTS[t]})" for t in due)
 
 
-@query("changed_files", " UNION ALL ".join(_changed(m) for m in ("skip", "append", "replace")))
+def _reordered(spark, sf_dir):
+    """Order keys as four text files, written again in the same order and in another: lines of the files that are due."""
+    keys = load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("part")).repartition(4, "part")
+
+    def written(order):
+        path = work_path(spark, "lines")
+        keys.sortWithinPartitions(order).select(F.col("o_orderkey").cast("string").alias("value")).write.text(path)
+        return inbox.file_hashes(spark, path, ["txt"]).withColumn("source_file", F.regexp_extract("source_file", r"part-(\d+)", 1))
+
+    log = written(F.asc("o_orderkey")).select("source_file", "file_hash")
+    out = None
+    for mode, order in (("unchanged", F.asc("o_orderkey")), ("reordered", F.desc("o_orderkey"))):
+        due = [r.path for r in inbox.changed_files(written(order), log).select("path").collect()]
+        lines = spark.read.text(due) if due else spark.createDataFrame([], "value string")
+        part = lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), F.lit("orders").alias("source_file"), "n")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query("changed_files", " UNION ALL ".join(_changed(m) for m in ("skip", "append", "replace"))
+       + " UNION ALL SELECT 'unchanged', 'orders', 0 UNION ALL SELECT 'reordered', 'orders', count(*) FROM orders")
 def changed_files(spark, sf_dir):
-    """Two files are in the log with their present hash, one with an older one; what is due gets counted."""
+    """Two files are in the log with their present hash, one with an older one; what is due gets counted. Files that are
+    written again are due if their lines come in another order."""
     hashes = inbox.file_hashes(spark, sf_dir, ["parquet"])
     name = F.col("source_file")
     log = hashes.where(name.isin("lineitem.parquet", "documents.parquet", "orders.parquet")).withColumn(
@@ -196,31 +225,70 @@ def changed_files(spark, sf_dir):
             part = inbox.read_file(spark, f.path, f.ext).df.agg(F.count(F.lit(1)).alias("n")).select(
                 F.lit(mode).alias("mode"), F.lit(f.source_file).alias("source_file"), "n")
             out = part if out is None else out.unionAll(part)
-    return out
-
-
-@query("inbox_batch", " UNION ALL ".join(
-    f"SELECT 'stg.src_{t}' AS table_name, 10.0::DOUBLE AS completude, * FROM ({_COUNTS[t]})" for t in TABLES))
+    return out.unionAll(_reordered(spark, sf_dir))
+
+
+def _judged_sql(t: str) -> str:
+    """The log row of a table: heuristic dimensions and note."""
+    names = [c for c, _ in COLUMNS[t]]
+    return f"""
+      SELECT 'stg.src_{t}' AS table_name, '{t}.parquet' AS source_file, (SELECT count(*) FROM {t}) AS n,
+        round({clamp('10 * avg(present / total)')}, 2) AS completude,
+        round(10 * (SELECT count(DISTINCT {joined_text(names)}) / count(*) FROM {t}), 2) AS unicidade,
+        round({clamp('10 * coalesce(sum(vsum) / nullif(sum(vparts), 0), 1)')}, 2) AS validade,
+        round({clamp('10 * avg(greatest(chosen, 1 - chosen))')}, 2) AS consistencia,
+        round({clamp('10 * coalesce(avg(integrity), 1)')}, 2) AS integridade,
+        round({clamp("coalesce(10 * (1 - (epoch(TIMESTAMP '2001-12-10 12:00:00') - epoch(arg_max(latest, "
+                     "CASE WHEN date_share >= 0.7 THEN date_share * 1000 - ordinal END))) / 3600 / 24), 0)")}, 2) AS freshness
+      FROM verdicts WHERE dataset = '{t}'"""
+
+
+@query("inbox_batch", cte(
+    f"SELECT *, round({STAR_NOTE}, 2) AS nota_final FROM notes",
+    rates=" UNION ALL ".join(rates_sql(t, c, k, i) for t in COLUMNS for i, (c, k) in enumerate(COLUMNS[t])),
+    verdicts=VERDICTS, notes=" UNION ALL ".join(_judged_sql(t) for t in COLUMNS)))
 def inbox_batch(spark, sf_dir):
-    """Heuristic batch over the folder, twice: the second run finds nothing changed."""
+    """Heuristic batch over the folder, twice: the second run finds nothing changed. All dimensions of every table."""
     log = work_path(spark, "log")
     for run_ts in (AT, datetime(2024, 3, 2, 8, 0)):
         latest = batch.run_inbox(spark, sf_dir, log, run_ts, ORDERS_AS_OF)
     return latest.where(F.col("run_ts") == cells.moment(AT)).select(
-        "table_name", "source_file", "completude", F.col("total_registros").alias("n"))
+        "table_name", "source_file", F.col("total_registros").alias("n"), *C.DIMENSIONS, "nota_final")
+
+
+def _profile_sql(t: str) -> str:
+    parts = []
+    for i, (c, k) in enumerate(COLUMNS[t]):
+        if k.startswith("array"):
+            parts.append(f"SELECT '{t}' AS dataset, '{c}' AS column_name, count(*) AS total, count(*) - count({c}) AS nulls, "
+                         f"count(DISTINCT {c}) AS distinct_cnt, NULL::VARCHAR AS min_value, NULL::VARCHAR AS max_value, NULL::BIGINT AS max_len FROM {t}")
+        else:
+            parts.append(f"SELECT dataset, column_name, total, nulls, distinct_cnt, min_value, max_value, max_len FROM ({column_sql(t, i, c, k)})")
+    return " UNION ALL ".join(parts)
 
 
-@query("inbox_incremental", " UNION ALL ".join(
-    f"SELECT '{t}.parquet' AS dataset_name, count(*) * {{n}} AS cells FROM {t}".format(n=n) for t, n in (
-        ("benchmark", 2), ("conversations", 4), ("customer", 5), ("documents", 5), ("embeddings", 3), ("events", 6),
-        ("labels", 3), ("lineitem", 11), ("nation", 3), ("orders", 6), ("pages", 3), ("part", 6), ("region", 2),
-        ("supplier", 4))))
+@query("inbox_incremental", cte(
+    "SELECT dataset || '.parquet' AS dataset_name, * EXCLUDE (dataset) FROM found", found=" UNION ALL ".join(_profile_sql(t) for t in COLUMNS)))
 def inbox_incremental(spark, sf_dir):
-    """The folder as a stream of files, started twice; the second start finds nothing new."""
+    """The folder as a stream of files, started twice: the profile of every column; the second start finds nothing new."""
     out, checkpoint = work_path(spark, "profiles"), work_path(spark, "progress")
     for _ in range(2):
-        stream.scan_new_files(spark, sf_dir, out, checkpoint, "inc", AT, files_per_batch=5, distinct="none")
-    return spark.read.parquet(out).groupBy("dataset_name").agg(F.sum("total").alias("cells"))
+        stream.scan_new_files(spark, sf_dir, out, checkpoint, "inc", AT, files_per_batch=5)
+    found = spark.read.schema(schemas.COLUMN_METRICS).parquet(out)
+    return found.select("dataset_name", "column_name", "total", "nulls", "distinct_cnt", "min_value", "max_value",
+                        F.when(~F.col("dtype").startswith("array"), F.col("max_len")).alias("max_len"))
+
+
+@query("growing_table", profile_sql(f"SELECT {FULL} FROM p", ("lineitem",)))
+def growing_table(spark, sf_dir):
+    """A table that grows between two starts of its stream: the profile of all its rows, though each is read once."""
+    line = load(spark, sf_dir, "lineitem")
+    box, out, mark, state = (work_path(spark, n) for n in ("table", "profiles", "progress", "state"))
+    for half in (0, 1):
+        line.where(F.col("l_orderkey") % 2 == half).write.mode("append").parquet(box)
+        stream.scan_growing_table(spark, box, line.schema, out, mark, state, "lineitem", "inc", AT)
+    last = spark.read.schema(stream.PROFILE_RUNS).parquet(out).where(F.col("run_id") == "inc_000001")
+    return rounded(last.select("dataset", *PROFILE.fieldNames())).drop("type_count")
 
 
 # --- a whole run ------------------------------------------------------------------------------
