@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakegauge.sources.csv import scan_csv
+from lakegauge.sources.csv import scan_csv, scan_csv_files
 from lakegauge.sources.datasets import Dataset, scan_parquet
 from lakegauge.sources.digest import file_digests
 
@@ -45,17 +45,23 @@ def scan_inbox(spark: SparkSession, folder: str, include_ext: Iterable[str] | No
                csv_sep: str = ",", csv_encoding: str = "utf-8") -> tuple[list[Dataset], list[tuple[str, str]]]:
     """Datasets of the wanted files in name order, and (file, reason) for those left out.
 
-    The list of files comes to the driver, their contents do not.
+    The list of files comes to the driver, their contents do not. CSV files without a cap are read together.
     """
     wanted = normalized_extensions(include_ext)
     datasets, errors = [], []
-    for f in list_files(spark, folder).orderBy("source_file").collect():
-        if wanted and f.ext not in wanted:
-            continue
+    files = [f for f in list_files(spark, folder).orderBy("source_file").collect() if not wanted or f.ext in wanted]
+    texts = {f.source_file: f.path for f in files if f.ext == "csv"}
+    together = scan_csv_files(spark, texts, csv_sep, csv_encoding) if texts and not limit else {}
+    for f in files:
+        found = together.get(f.source_file)
         try:
-            datasets.append(read_file(spark, f.path, f.ext, limit, csv_sep, csv_encoding))
+            found = read_file(spark, f.path, f.ext, limit, csv_sep, csv_encoding) if found is None else found
         except Exception as error:  # one bad file must not stop the others
-            errors.append((f.source_file, str(error).splitlines()[0]))
+            found = str(error).splitlines()[0]
+        if isinstance(found, Dataset):
+            datasets.append(found)
+        else:
+            errors.append((f.source_file, found))
     return datasets, errors
 
 

@@ -101,6 +101,40 @@ def test_inbox_listing(spark, tmp_path):
     assert inbox.normalized_extensions([" *.Parquet", ".csv", "xls", "", None]) == {"parquet", "csv", "xls"}
 
 
+def test_many_files_are_read_by_a_few_jobs(spark, tmp_path):
+    """Files of a few widths: the same datasets as one by one, and no more jobs for a hundred files than for seventy."""
+    def fill(n):
+        box = tmp_path / f"in{n}"
+        os.mkdir(box)
+        for i in range(n):
+            put(box, f"a {i}+ü%.csv", f'id,Name,name\n{i},"x, ""y""",{i}.5\n,null,\n')
+            put(box, f"b{i}.csv", f"k,v\n{'1' if i % 2 else 'true'},2024\n")
+        put(box, "empty.csv", "p,q\n")
+        put(box, "wide.csv", "a,b\n1,2\n3,4,5\n")
+        put(box, "bad.parquet", "x")
+        return str(box)
+
+    def jobs(folder):
+        spark.sparkContext.setJobGroup(folder, "count")
+        try:
+            found, errors = inbox.scan_inbox(spark, folder)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, errors, len(spark.sparkContext.statusTracker().getJobIdsForGroup(folder))
+
+    four, few = fill(4), None
+    for folder in (fill(35), fill(50)):
+        found, errors, n = jobs(folder)
+        few = few or n
+        assert n <= few + 1, "jobs grow with files"
+        assert [e[0] for e in errors] == ["bad.parquet", "wide.csv"] and errors[1][1] == "1 rows have more than 2 fields"
+    one = {d.label: csv.scan_csv(spark, os.path.join(four, d.label)) for d in inbox.scan_inbox(spark, four, ["csv"])[0]}
+    for d in inbox.scan_inbox(spark, four, ["csv"])[0]:
+        assert d.df.dtypes == one[d.label].df.dtypes and d.df.collect() == one[d.label].df.collect(), d.label
+        assert {**d.meta, "source_ref": ""} == {**one[d.label].meta, "source_ref": ""}
+    assert len(one) == 9 and one["empty.csv"].df.dtypes == [("p", "double"), ("q", "double")]
+
+
 def test_bad_file_is_reported(spark, tmp_path):
     put(tmp_path, "bad.parquet", "no parquet at all")
     put(tmp_path, "ok.csv", "a\n1\n")
