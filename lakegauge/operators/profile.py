@@ -87,7 +87,18 @@ def json_kind(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(schema, "^([A-Z]+)", 1), F.lit("TEXT"))
 
 
-def _column_aggregates(field: T.StructField, ordinal: int, lexical: bool) -> Column:
+def chunked(weights: Sequence[int], limit: int = CHUNK) -> list[range]:
+    """Runs of neighbouring items of a weight of at most `limit` together, or a single heavier one."""
+    out, start, total = [], 0, 0
+    for i, w in enumerate(weights):
+        if i > start and total + w > limit:
+            out.append(range(start, i))
+            start, total = i, 0
+        total += w
+    return out + [range(start, len(weights))] if weights else []
+
+
+def _column_aggregates(field: T.StructField, ordinal: int, lexical: bool, extra: Sequence[Column] | None) -> Column:
     c, dt = quoted(field.name), field.dataType
     kind = cells.kind_of(dt)
     value = cells.present(c, dt)
@@ -111,6 +122,7 @@ def _column_aggregates(field: T.StructField, ordinal: int, lexical: bool) -> Col
         avg_len.cast("double").alias("avg_len"), max_len.cast("bigint").alias("max_len"),
         non_blank.cast("bigint").alias("non_blank"), parse_ok.cast("bigint").alias("parse_ok"),
         types.cast("int").alias("type_count"),
+        *([] if extra is None else [F.array(*extra).alias("extra")]),
     )
 
 
@@ -142,18 +154,20 @@ def profile(df: DataFrame, distinct: str = "exact", lexical: bool = False, log_b
 
 
 def profiles(tables: Sequence[tuple[Mapping[str, Column], DataFrame]], distinct: str = "exact", lexical: bool = False,
-             log_buckets: int = 12) -> DataFrame:
+             log_buckets: int = 12, extras: Sequence[Mapping[int, Sequence[Column]]] | None = None, none: Column | None = None) -> DataFrame:
     """Profiles of several tables, each behind the literal columns given with it.
 
     All tables share one shuffle of distinct values, so many small tables cost no
-    more stages than one.
+    more stages than one. `extras` are further aggregates, for each table those of its columns by ordinal, all of the type
+    of `none`: they are taken in the same reading as the profile of their column and come as an array `extra`.
     """
     plain, counted = [], []
     for n, (labels, df) in enumerate(tables):
         fields = df.schema.fields
         number = F.lit(n).alias("_table")
-        for at in range(0, len(fields), CHUNK):
-            structs = [_column_aggregates(f, at + i, lexical) for i, f in enumerate(fields[at:at + CHUNK])]
+        more = [None if extras is None else list(extras[n].get(i, ())) for i in range(len(fields))]
+        for run in chunked([1 + len(m or ()) for m in more]):
+            structs = [_column_aggregates(fields[i], i, lexical, None if extras is None else more[i] or [none]) for i in run]
             part = df.agg(F.array(*structs).alias("cols")).select(F.inline("cols"))
             plain.append(part.select(number, *[v.alias(k) for k, v in labels.items()], "*"))
         if fields and distinct == "exact":
@@ -191,6 +205,7 @@ def finished(out: DataFrame, count: Column, *labels: str) -> DataFrame:
         # an estimated count may exceed the cells there are
         F.when(count.isNotNull(), cells.ratio(F.least(count, there), there)).alias("distinct_ratio"),
         shown("min_value"), shown("max_value"), "avg_len", "max_len", "non_blank", "parse_ok", "type_count",
+        *(["extra"] if "extra" in out.columns else []),
     )
 
 

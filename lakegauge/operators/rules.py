@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lakegauge import constants as C
 from lakegauge.functions import cells, scoring
-from lakegauge.operators.profile import CHUNK, cell_keys, distinct_counts, quoted
+from lakegauge.operators.profile import cell_keys, chunked, distinct_counts, quoted
 
 RESULT = ("column_name string, rule_name string, rule_value string, checked bigint, violations bigint, "
           "passed boolean, score double, details string")
@@ -91,13 +92,8 @@ def _compile(field: T.StructField, rule: str, value: Any) -> _Test:
     return _Test(field.name, rule, text, there, bad)
 
 
-def _literal(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, RESULT)
-
-
-def evaluate_rules(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> DataFrame:
-    """Result rows of every rule of one dataset."""
-    spark = df.sparkSession
+def compiled(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> tuple[list[tuple], list[tuple[int, _Test]]]:
+    """Result rows that need no data (absent columns, unknown and broken rules), and (ordinal, test) of the others by column."""
     fields = {f.name: (i, f) for i, f in enumerate(df.schema.fields)}
     fixed: list[tuple] = []
     tests: list[tuple[int, _Test]] = []
@@ -111,7 +107,7 @@ def evaluate_rules(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> Dat
                 fixed.append((column, rule, value_text(value), 0, 0, True, 1.0, C.RULE_IGNORED % rule))
                 continue
             try:
-                problem = pattern_error(spark, str(value)) if rule == "regex" else None
+                problem = pattern_error(df.sparkSession, str(value)) if rule == "regex" else None
                 test = None if problem else _compile(field, rule, value)
             except (TypeError, ValueError) as error:
                 problem, test = str(error), None
@@ -119,34 +115,51 @@ def evaluate_rules(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> Dat
                 fixed.append((column, rule, value_text(value), 0, 0, False, 0.0, C.RULE_ERROR % (rule, problem)))
             else:
                 tests.append((ordinal, test))
+    return fixed, sorted(tests, key=lambda t: t[0])
+
 
-    parts = [_literal(spark, fixed)] if fixed else []
-    if tests:
-        parts.append(_run(df, tests))
-    if not parts:
-        return _literal(spark, [])
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
+def aggregates(tests: list[tuple[int, _Test]]) -> dict[int, list[Column]]:
+    """Ordinal -> one struct per test of that column, to be taken in one reading with whatever else is asked of it."""
+    out: dict[int, list[Column]] = {}
+    for o, t in tests:
+        out.setdefault(o, []).append(F.struct(
+            F.lit(t.column).alias("column_name"), F.lit(t.rule).alias("rule_name"), F.lit(t.value).alias("rule_value"),
+            F.lit(t.enforced).alias("enforced"), F.lit(t.empty_passes).alias("empty_passes"),
+            t.checked.cast("bigint").alias("checked"), t.violations.cast("bigint").alias("violations")))
     return out
 
 
-def _run(df: DataFrame, tests: list[tuple[int, _Test]]) -> DataFrame:
-    counted = None
-    for at in range(0, len(tests), CHUNK):
-        structs = [
-            F.struct(
-                F.lit(o).alias("ordinal"), F.lit(t.column).alias("column_name"), F.lit(t.rule).alias("rule_name"),
-                F.lit(t.value).alias("rule_value"), F.lit(t.enforced).alias("enforced"),
-                F.lit(t.empty_passes).alias("empty_passes"), t.checked.cast("bigint").alias("checked"), t.violations.cast("bigint").alias("violations"))
-            for o, t in tests[at:at + CHUNK]
-        ]
-        part = df.agg(F.array(*structs).alias("r")).select(F.inline("r"))
-        counted = part if counted is None else counted.unionAll(part)
+def no_test() -> Column:
+    """A null in place of a test."""
+    return F.lit(None).cast("struct<column_name: string, rule_name: string, rule_value: string, enforced: boolean, "
+                            "empty_passes: boolean, checked: bigint, violations: bigint>")
+
+
+def evaluate_rules(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> DataFrame:
+    """Result rows of every rule of one dataset. All tests of a column are taken in one reading of it."""
+    fixed, tests = compiled(df, rules)
+    rows = fixed_rows(df.sparkSession, fixed)
+    if not tests:
+        return rows
+    found = list(aggregates(tests).items())
+    parts = []
+    for run in chunked([len(structs) for _, structs in found]):
+        structs = [F.struct(F.lit(o).alias("ordinal"), s.alias("r")) for o, own in found[run.start:run.stop] for s in own]
+        parts.append(df.agg(F.array(*structs).alias("x")).select(F.inline("x")).select("ordinal", "r.*"))
+    counted = reduce(DataFrame.unionAll, parts)
     unique = [o for o, t in tests if t.rule == "unique"]
-    if unique:
-        counted = counted.join(F.broadcast(distinct_counts(cell_keys(df, unique))), "ordinal", "left").withColumn(
-            "violations", F.coalesce("violations", F.col("checked") - F.coalesce("distinct_cnt", F.lit(0))))
+    counts = distinct_counts(cell_keys(df, unique)) if unique else df.sparkSession.createDataFrame([], "ordinal int, distinct_cnt bigint")
+    judged_rows = judged(counted.join(F.broadcast(counts), "ordinal", "left"))  # one row per column
+    return rows.unionAll(judged_rows) if fixed else judged_rows
+
+
+def fixed_rows(spark: SparkSession, fixed: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(fixed, RESULT)
+
+
+def judged(counted: DataFrame, *labels: str) -> DataFrame:
+    """Result rows from the counts of tests; `unique` takes its surplus from the distinct values beside them."""
+    counted = counted.withColumn("violations", F.coalesce("violations", F.col("checked") - F.coalesce("distinct_cnt", F.lit(0))))
     checked, bad = F.col("checked"), F.col("violations")
     nothing = (checked == 0) & F.col("empty_passes")
     score = F.when(nothing, 1.0).otherwise(cells.ratio(checked - bad, checked))
@@ -155,10 +168,16 @@ def _run(df: DataFrame, tests: list[tuple[int, _Test]]) -> DataFrame:
     details = F.when(nothing, C.NO_VALUES)
     for rule, template in C.RULE_DETAILS.items():
         details = details.when(F.col("rule_name") == rule, F.format_string(template, shown))
-    return counted.select("column_name", "rule_name", "rule_value", "checked", "violations",
+    return counted.select(*labels, "column_name", "rule_name", "rule_value", "checked", "violations",
                           passed.alias("passed"), shown.alias("score"), details.alias("details"))
 
 
+def results_of(profile: DataFrame, *labels: str) -> DataFrame:
+    """Result rows from a profile whose `extra` holds the tests of each column and which has exact distinct counts."""
+    tests = profile.select(*labels, "distinct_cnt", F.explode("extra").alias("r")).where(F.col("r").isNotNull())
+    return judged(tests.select(*labels, "distinct_cnt", "r.*"), *labels)
+
+
 def violation_counts(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> DataFrame:
     """Exact violations per column over all its enforced rules."""
     results = evaluate_rules(df, rules)

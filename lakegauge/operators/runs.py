@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -75,14 +76,26 @@ def labelled(df: DataFrame) -> DataFrame:
 
 
 def load_run(candidates: Sequence[DataFrame], run_id: str, detail: DataFrame | None = None) -> DataFrame:
-    """Summary rows of a run from the first table that has some, else derived from the column rows."""
-    for df in candidates:
-        rows = df.where(F.col("run_id") == run_id)
-        if not rows.isEmpty():
-            return labelled(rows)
-    if detail is None:
-        return labelled(candidates[0].where(F.lit(False)))
-    return summary_from_columns(labelled(detail.where(F.col("run_id") == run_id)))
+    """Summary rows of a run from the first table that has some, else derived from the column rows.
+
+    One lazy plan: the tables are stacked with their rank, and a semi-join on the lowest rank that has rows keeps one of
+    them. The result has the columns of all tables, null where the chosen one lacks them; a column whose type differs
+    between tables is text.
+    """
+    found = [df.where(F.col("run_id") == run_id) for df in candidates]
+    parts = [labelled(df) for df in found]
+    if detail is not None:
+        found.append(detail.where(F.col("run_id") == run_id))
+        parts.append(summary_from_columns(labelled(found[-1])))
+    kinds: dict[str, set] = {}
+    for part in parts:
+        for f in part.schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType)
+    mixed = {n for n, types in kinds.items() if len(types) > 1}
+    stacked = [p.withColumns({n: quoted(n).cast("string") for n in mixed & set(p.columns)}).withColumn("_rank", F.lit(i)) for i, p in enumerate(parts)]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), stacked)
+    first = reduce(DataFrame.unionAll, [df.select(F.lit(i).alias("_rank")) for i, df in enumerate(found)]).agg(F.min("_rank").alias("_rank"))
+    return rows.join(F.broadcast(first), "_rank", "left_semi").drop("_rank")  # one row
 
 
 def summary_from_columns(detail: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 from lakegauge import schemas
 from lakegauge.operators import dimensions
 from lakegauge.operators.profile import profiles, table_metrics
-from lakegauge.operators.rules import evaluate_rules, rules_for
+from lakegauge.operators.rules import aggregates, compiled, evaluate_rules, fixed_rows, no_test, results_of, rules_for
+from lakegauge.session import work_path
 from lakegauge.sources.datasets import Dataset, envelope, with_envelope
 from lakegauge.sources.sinks import append_run, clear_run
 
@@ -78,12 +79,35 @@ def rule_results(datasets: Iterable[Dataset], rules: Mapping[str, Any], run_id:
     return _union(parts) if parts else None
 
 
+def measured(datasets: list[Dataset], rules: Mapping[str, Any], run_id: str, scanned_at: datetime, **options
+             ) -> tuple[DataFrame, DataFrame | None]:
+    """Profile and rule results of some datasets.
+
+    With exact distincts both come from one reading of every column and one pass over distinct values, whose outcome is
+    stored before it is taken apart; else rules are counted on their own.
+    """
+    wanted = [rules_for(rules, d.meta.get("dataset_name") or d.label) for d in datasets]
+    if not any(wanted) or options.get("distinct", "exact") != "exact":
+        return scan_profile(datasets, run_id, scanned_at, **options), rule_results(datasets, rules, run_id, scanned_at)
+    spark = datasets[0].df.sparkSession
+    made = [compiled(d.df, own) for d, own in zip(datasets, wanted)]
+    both = profiles([(envelope(d, run_id, scanned_at), d.df) for d in datasets], extras=[aggregates(tests) for _, tests in made],
+                    none=no_test(), **options)
+    path = work_path(spark, "measured")
+    both.write.parquet(path)
+    both = spark.read.schema(both.schema).parquet(path)
+    parts = [results_of(both, *_KEYS)] + [with_envelope(fixed_rows(spark, fixed), d, run_id, scanned_at)
+                                          for d, (fixed, _) in zip(datasets, made) if fixed]
+    tested = _union([schemas.align(p.withColumn("rule_score", F.col("score")), schemas.RULE_RESULTS) for p in parts])
+    return both.drop("extra"), tested
+
+
 def run_scan(datasets: list[Dataset], rules: Mapping[str, Any], run_id: str, scanned_at: datetime, out: str,
              batch: int = 16, **options) -> dict[str, str]:
     """Measures the datasets and writes every result table under `out`, replacing this run.
 
-    The data are read for the profile and the rules only: profiles are written first,
-    `batch` datasets per job, and all other tables are computed from what was written.
+    The data are read for the profile and the rules only, for both together: profiles and rule results are written
+    first, `batch` datasets per job, and all other tables are computed from what was written.
     """
     if not datasets:
         return {}
@@ -93,10 +117,9 @@ def run_scan(datasets: list[Dataset], rules: Mapping[str, Any], run_id: str, sca
         clear_run(spark, path, run_id)
     layout = None
     for at in range(0, len(datasets), batch):
-        part = scan_profile(datasets[at:at + batch], run_id, scanned_at, **options)
+        part, tested = measured(datasets[at:at + batch], rules, run_id, scanned_at, **options)
         layout = part.schema
         append_run(part, paths["profile"])
-        tested = rule_results(datasets[at:at + batch], rules, run_id, scanned_at)
         if tested is not None:
             append_run(tested, paths["rule_results"])
     # with its layout, as a run id would else be read as the number or date it may look like

@@ -52,6 +52,20 @@ def test_load_run_falls_back(spark):
     got = runs.load_run([empty, second], "q", detail).collect()
     assert [(r.dataset_label, r.score, r.classification) for r in got] == [("t", 6.0, "Atenção")]
     assert runs.load_run([empty], "q").count() == 0
+    # a later table counts only where the earlier ones have no row; a column of two types is text
+    first = spark.createDataFrame([("r", "a", 1.0, 7)], "run_id string, dataset_label string, score double, extra int")
+    third = spark.createDataFrame([("r", "b", 2.0, "x"), ("s", "b", 3.0, "y")], "run_id string, dataset_label string, score double, extra string")
+    assert [(r.dataset_label, r.extra) for r in runs.load_run([empty, first, third], "r").collect()] == [("a", "7")]
+    assert [(r.dataset_label, r.score) for r in runs.load_run([empty, first, third], "s").collect()] == [("b", 3.0)]
+
+
+def test_load_run_plans_without_a_job(spark):
+    spark.sparkContext.setJobGroup("load_run", "plan only")
+    try:
+        runs.load_run([scores(spark, []), scores(spark, [])], "r")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("load_run")
 
 
 def test_best_label_default(spark):

@@ -1,5 +1,7 @@
 """Rules, described tables and the score chain on small tables with known answers."""
 
+import re
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lakegauge import constants as C
 from lakegauge.operators import chain, dimensions as dims, heuristics, rules, star
-from lakegauge.operators.profile import profile
+from lakegauge.operators.profile import profile, profiles
+from lakegauge.plans import scan
+from lakegauge.sources.datasets import Dataset
 
 CLIENTS = [(1, "a@b.c", "10"), (2, "bad", "200"), (2, None, "abc"), (None, "x@y", None)]
 
@@ -172,3 +176,23 @@ def test_heuristics_by_hand(spark):
 def test_heuristics_of_empty_table(spark):
     r = heuristics.heuristic_scores(spark.createDataFrame([], "id int"), datetime(2024, 1, 1)).first()
     assert (r.total_registros, r.completude, r.validade, r.nota_final) == (0, 0.0, 0.0, 0.0)
+
+
+def test_a_scan_reads_each_column_for_profile_and_rules_together(spark, tmp_path):
+    """Rules ride on the profile's readings: as many scans with rules as without, each column in one of either kind."""
+    path = str(tmp_path / "t")
+    spark.range(500).select(*[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(10)]).write.parquet(path)
+    found = [Dataset("t", spark.read.parquet(path), {"dataset_name": "t"})]
+    wanted = {"t": {"columns": {f"c{i}": {"not_null": True, "unique": True, "range": {"min": 0, "max": 5}} for i in range(10)}
+                   | {"gone": {"unique": True}}}}
+    part, tested = scan.measured(found, wanted, "r", datetime(2024, 3, 1))
+    alone = scan.rule_results(found, wanted, "r", datetime(2024, 3, 1))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(tested) == rows(alone) and len(rows(tested)) == 31
+    assert rows(part) == rows(scan.scan_profile(found, "r", datetime(2024, 3, 1)))
+    df = found[0].df
+    _, tests = rules.compiled(df, wanted["t"]["columns"])
+    both = profiles([({}, df)], extras=[rules.aggregates(tests)], none=rules.no_test())
+    scans = [line for line in both._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in line]
+    read = Counter(c for line in scans for c in re.findall(r"c\d(?=#)", line.split("Batched")[0]))
+    assert read == Counter({f"c{i}": 2 for i in range(10)}), "once for counts and rules, once for distinct values"
