@@ -56,7 +56,8 @@ def frequent_buckets(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """Which of 2**22 buckets of tokens are crowded, counted over all documents; a table of one fixed size.
 
     It only sets the order of tokens, which every set shares, so no result depends on it. A task's counts are bytes that
-    stop at 255, and sums are 16-bit numbers that stop at 65535, well above what counts as crowded.
+    stop at 255, far above what a task of any usual size has in a common bucket; sums are 64-bit numbers and stay on the
+    executors. Bits of 512 KB come to the driver.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -74,16 +75,23 @@ def frequent_buckets(docs: DataFrame, text: str, width: int) -> np.ndarray:
             for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held[part] = held.get(part, 0) + np.frombuffer(counts, np.uint8).astype(np.int64)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(
-                [np.minimum(v, 65535).astype("<u2").tobytes() for v in held.values()], pa.binary())], names=["part", "counts"])
-
-    schema = "part int, counts binary"
-    rows = plain(docs, text).toDF("text").mapInArrow(count, schema).repartition(_PARTS, "part").mapInArrow(add, schema).toArrow()
-    total = np.zeros((_PARTS, (1 << SKETCH_BITS) // _PARTS), np.uint16)
-    for part, counts in zip(rows["part"].to_pylist(), rows["counts"].to_pylist()):
-        total[part] = np.frombuffer(counts, "<u2")
-    mean = float(total.mean())
-    return total.ravel() > mean + 8 * mean ** 0.5 + 30
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary()),
+                                              pa.array([float(v.sum()) for v in held.values()])], names=["part", "counts", "total"])
+
+    each = plain(docs, text).toDF("text").mapInArrow(count, "part int, counts binary")
+    sums = stored(each.repartition(_PARTS, "part").mapInArrow(add, "part int, counts binary, total double"), "crowded")
+    mean = (sums.agg(F.sum("total")).first()[0] or 0.0) / (1 << SKETCH_BITS)
+    limit = mean + 8 * mean ** 0.5 + 30
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [np.packbits(np.frombuffer(c, np.int64) > limit).tobytes() for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], names=["part", "bits"])
+
+    out = np.zeros((_PARTS, (1 << SKETCH_BITS) // _PARTS), bool)
+    for r in sums.mapInArrow(above, "part int, bits binary").collect():
+        out[r["part"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return out.ravel()
 
 
 def _signatures(docs: DataFrame, id: str, text: str, width: int, percent: int, crowded: np.ndarray) -> DataFrame:

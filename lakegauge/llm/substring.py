@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lakegauge.llm.common import Words, blocks, bloom, grams, in_bloom, list_array, plain, spread, stored, text_of
 
@@ -110,8 +110,7 @@ def _edges(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     keys = context.broadcast(bloom(texts.where(F.size("anchors") > 0).select("key", "anchors").mapInArrow(some, "key bigint"), "key"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 22
-        limit = number + (1 << 22)
+        split, number = TaskContext.get().partitionId(), 0
         for part in blocks(batches, "text"):
             wanted = part.filter(pa.array(in_bloom(keys.value, part.column(1).to_numpy().view(np.uint64))))
             if not wanted.num_rows:
@@ -131,17 +130,27 @@ def _edges(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
             # a text longer than a place can say takes several numbers
             numbers = number + np.concatenate([[0], np.cumsum(1 + (words.counts >> _PLACE))])
             number = int(numbers[-1])
-            if number > limit:
-                raise ValueError("too many texts in one partition; repartition the documents")
             lists = lambda flat, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers[:-1]), wanted.column(0), texts, pa.array(words.counts, pa.int64()),
+                [pa.array(np.full(len(texts), split, np.int32)), pa.array(numbers[:-1]), wanted.column(0), texts, pa.array(words.counts, pa.int64()),
                  lists(edges.view(np.int64), at), lists((starts - words.at[owner])[heads], run_at), lists(runs, run_at)],
-                names=["number", "digest", "text", "n_words", "edges", "from", "runs"])
+                names=["split", "number", "digest", "text", "n_words", "edges", "from", "runs"])
 
-    return stored(rows.select("digest", "key", "text").mapInArrow(
-        scan, "number bigint, digest binary, text string, n_words bigint, edges array<bigint>, `from` array<bigint>, "
-              "runs array<bigint>").where(F.size("edges") > 0), "edges")
+    return numbered(stored(rows.select("digest", "key", "text").mapInArrow(
+        scan, "split int, number bigint, digest binary, text string, n_words bigint, edges array<bigint>, `from` array<bigint>, "
+              "runs array<bigint>").where(F.size("edges") > 0), "edges"))
+
+
+def numbered(edges: DataFrame) -> DataFrame:
+    """The texts with numbers that run on from split to split, from those that begin at 0 in each.
+
+    So coordinates need as many bits as there are texts, whatever the number of splits: 2**39 texts fit.
+    """
+    sizes = edges.groupBy("split").agg(F.max(F.col("number") + F.shiftright("n_words", _PLACE) + 1).alias("n"))
+    # one row per split, in one task and then broadcast
+    before = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = stored(sizes.select("split", before.alias("first")), "splits")
+    return edges.join(F.broadcast(first), "split").withColumn("number", F.col("first") + F.col("number")).drop("split", "first")
 
 
 def _spans(edges: DataFrame) -> DataFrame:
@@ -153,8 +162,15 @@ def _spans(edges: DataFrame) -> DataFrame:
     base = F.shiftleft("number", _PLACE)
     rows = edges.select(base.alias("base"), F.inline(F.arrays_zip(F.col("edges").alias("edge"), starts.alias("start")))) \
         .select("edge", (F.col("base") + F.col("start")).alias("at"))
-    sources = rows.groupBy("edge").agg(F.count("*").alias("n"), F.min("at").alias("source")).where("n > 1").select("edge", "source")
-    found = rows.join(sources, "edge").where(F.col("at") != F.col("source")).select("at", "source")
+    sources = stored(rows.groupBy("edge").agg(F.count("*").alias("n"), F.min("at").alias("source")).where("n > 1"), "sources")
+    # an edge that a third of the texts hold is no task of its own: edges met often are few by arithmetic, at most four a
+    # task, so they are broadcast, and only the others are dealt by edge
+    total = sources.agg(F.sum("n")).first()[0] or 0
+    limit = max(1000, total // (4 * spread(edges.sparkSession)))
+    many, few = (sources.where(c).select("edge", "source") for c in (F.col("n") > limit, F.col("n") <= limit))
+    seldom = rows.join(F.broadcast(many.select("edge")), "edge", "left_anti")
+    found = rows.join(F.broadcast(many), "edge").unionByName(seldom.join(few, "edge")) \
+        .where(F.col("at") != F.col("source")).select("at", "source")
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -62,6 +62,14 @@ def test_marks_of_a_long_text_come_together(spark):
     assert got == [(7, 0, 7), (7, 1, 7), (7, 1, 8), (7, 1, 9), (10, 0, 10), (10, 1, 10)]
 
 
+def test_numbers_run_on_over_any_number_of_splits(spark):
+    """Splits far beyond 2**17: coordinates stay positive, distinct and in the order of the splits."""
+    size = 1 << substring._PLACE
+    rows = [(3, 0, 10), (3, 1, 2 * size), (3, 4, 7), (300000, 0, 5), (300000, 1, 5), (2**31 - 1, 0, size)]
+    got = substring.numbered(spark.createDataFrame(rows, "split int, number bigint, n_words bigint")).collect()
+    assert sorted((r.number, r.n_words) for r in got) == [(0, 10), (1, 2 * size), (4, 7), (5, 5), (6, 5), (7, size)]
+
+
 def test_secrets(docs):
     assert all(not r.spans for r in secrets.scan(docs, ["doc_id"]).collect())
     clean = secrets.redacted(docs)
