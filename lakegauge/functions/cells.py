@@ -22,10 +22,11 @@ _FLOAT_WORD = r"[+-]?(?i:infinity|inf|nan)"
 _MAYBE_NUMBER = rf"^[{_WS}.,%+\-]*+(?:\d[{_WS}\d.,%+\-_eE]*+$|(?i:i[.,%]*n[.,%]*f|n[.,%]*a[.,%]*n))"
 _MAYBE_DATE = rf"^[{_WS}]*+\d[\dTZ:/.+{_WS}-]*+(?:[A-Za-z]{{3,9}}\.?,?[ -][\dTZ:.+{_WS}-]*+)?$"
 _TIME = r"(?:[T ](\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,9}))?)? ?(Z|[+-]\d{2}:?\d{2})?)?$"
-_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})" + _TIME
-_YEAR_LAST = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + _TIME
-_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
-_NAMED = r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})" + _TIME
+# One pattern for all shapes, so that a text is matched once: year first (groups 1 to 9), year last (10 to 18), eight digits
+# (19 to 21), month by name (22 to 29). A group that took no part is replaced by nothing.
+_ANY_DATE = (r"^(?:(\d{4})([-/])(\d{1,2})\2(\d{1,2})" + _TIME + r"|(\d{1,2})([-/.])(\d{1,2})\11(\d{4})" + _TIME
+             + r"|(\d{4})(\d{2})(\d{2})$" + r"|(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})" + _TIME + ")")
+_ANY_PARTS = "$1$13$19$24|$3$10$20$23|$4$12$21$22|$5$14$25|$6$15$26|$7$16$27|$8$17$28|$9$18$29|$11"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -151,11 +152,11 @@ def _ptbr_value(text: Column) -> Column:
 
 def parse_ptbr_number(text: Column) -> Column:
     """'1.234,56' -> 1234.56, '12,5%' -> 0.125; dots are always thousands marks."""
-    return F.when(text.rlike(_MAYBE_NUMBER), _ptbr_value(text))
+    return F.when(_begins(text, "in") & text.rlike(_MAYBE_NUMBER), _ptbr_value(text))
 
 
 def is_ptbr_number(text: Column) -> Column:
-    return F.when(text.rlike(_MAYBE_NUMBER), is_float_text(_ptbr_plain(text))).otherwise(False)
+    return F.when(_begins(text, "in") & text.rlike(_MAYBE_NUMBER), is_float_text(_ptbr_plain(text))).otherwise(False)
 
 
 def parse_datetime(c: Column, data_type: T.DataType = T.StringType(), day_first: bool = False) -> Column:
@@ -171,16 +172,19 @@ def parse_datetime(c: Column, data_type: T.DataType = T.StringType(), day_first:
         return c.cast("timestamp_ntz")
     if not isinstance(data_type, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
-    text = strip(c)
-    # year|month|day|hour|minute|second|fraction|zone
-    parts = F.when(text.rlike(_YEAR_FIRST), F.regexp_replace(text, _YEAR_FIRST, "$1|$3|$4|$5|$6|$7|$8|$9")) \
-        .when(text.rlike(_YEAR_LAST), F.regexp_replace(text, _YEAR_LAST, "$4|$1|$3|$5|$6|$7|$8|$9|?")) \
-        .when(text.rlike(_DIGITS), F.regexp_replace(text, _DIGITS, "$1|$2|$3|||||")) \
-        .when(text.rlike(_NAMED), F.regexp_replace(text, _NAMED, "$3|$2|$1|$4|$5|$6|$7|$8"))
-    parsed = F.transform(F.array(F.split(F.when(c.rlike(_MAYBE_DATE), parts), r"\|")), lambda p: _assembled(p, day_first))
+    # year|month|day|hour|minute|second|fraction|zone|sign between the parts where the year comes last
+    parts = F.split(F.when(_begins(c, "") & c.rlike(_MAYBE_DATE), F.regexp_replace(strip(c), _ANY_DATE, _ANY_PARTS)), r"\|")
+    parsed = F.transform(F.array(parts), lambda p: F.when(F.size(p) == 9, _assembled(p, day_first)))
     return F.get(parsed, F.lit(0))
 
 
+def _begins(c: Column, letters: str) -> Column:
+    """Whether the first character is no letter but one of those given: spares nearly all prose a pattern, which looks at
+    every place of a text even when it can only match at its start."""
+    first = F.ascii(c)
+    return (first < 65) | (first > 127) | first.isin([ord(x) for x in letters.lower() + letters.upper()])
+
+
 def _assembled(p: Column, day_first: bool) -> Column:
     def number(i: int) -> Column:
         return F.coalesce(F.get(p, F.lit(i)).try_cast("int"), F.lit(0))
@@ -189,7 +193,7 @@ def _assembled(p: Column, day_first: bool) -> Column:
     named = (F.position(F.lower(F.substring(month, 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3
     first = F.when(month.rlike("^[0-9]"), month.try_cast("int")).when(named == F.floor(named), named.cast("int")).otherwise(0)
     second = number(2)
-    swapped = (F.size(p) > 8) & ((second <= 12) if day_first else (first > 12))
+    swapped = (F.get(p, F.lit(8)) != "") & ((second <= 12) if day_first else (first > 12))
     seconds = F.concat(number(5).cast("string"), F.lit("."), F.substring(F.rpad(F.get(p, F.lit(6)), 6, "0"), 1, 6)).try_cast("decimal(16,6)")
     made = F.try_make_timestamp_ntz(number(0), F.when(swapped, second).otherwise(first), F.when(swapped, first).otherwise(second),
                                     number(3), number(4), seconds)
