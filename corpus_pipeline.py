@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakegauge.llm import jaccard, language, packing, secrets, substring
+from lakegauge.llm.common import bloom, in_bloom, stored
 from lakegauge.session import work_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,15 +27,28 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 0.8 or more on five-word shingles connect: that with the least id.
 
-    Rows with one id are told apart by their texts; of equal rows one stays. Null ids come last.
+    Rows with one id are told apart by their texts; of equal rows one stays. Null ids come last. Texts that neither link
+    nor repeat are kept where they are read: only those that a filter over the keys of the others lets pass are shuffled.
     """
     # hex digits that sort as the ids do, then the text
     number = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
     key = F.concat_ws(":", F.coalesce(number, F.lit("~")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    keyed = docs.select(*COLUMNS).withColumn("key", key)
+    keyed = docs.select(*COLUMNS).withColumn("key", key).withColumn("hash", F.xxhash64("key"))
     found = jaccard.linked(keyed.select("key", "text"), id="key", width=5, percent=80)
-    kept = found.where(F.col("key") == F.col("component_id")).select("key").distinct()
-    return keyed.join(kept, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in COLUMNS]).select(*COLUMNS)
+    groups = found.groupBy("key").agg(F.count("*").alias("n"), F.min("component_id").alias("first"))
+    doubtful = stored(groups.where((F.col("n") > 1) | (F.col("key") != F.col("first")))
+                      .select("key", (F.col("key") == F.col("first")).alias("stays"), F.xxhash64("key").alias("hash")), "doubtful")
+    bits = spark.sparkContext.broadcast(bloom(doubtful, "hash"))
+
+    def passing(wanted: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(in_bloom(bits.value, b.column(len(b.schema) - 1).to_numpy().view("uint64")) == wanted))
+        return keyed.mapInArrow(run, keyed.schema)
+
+    once = passing(True).groupBy("key").agg(*[F.first(c).alias(c) for c in COLUMNS])
+    kept = once.join(doubtful.select("key", "stays"), "key", "left").where(F.coalesce("stays", F.lit(True)))
+    return passing(False).select(*COLUMNS).unionByName(kept.select(*COLUMNS))
 
 
 def counted(docs: DataFrame) -> DataFrame:
