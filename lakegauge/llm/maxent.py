@@ -250,7 +250,9 @@ def scored(docs: DataFrame, training: Column, keep: list[str], text: str = "text
     asked = rows.where("kind = 0").select("block", F.posexplode("codes").alias("code", "hash"))
     known = asked.join(counts.select("hash", "n"), "hash").select("block", F.lit(0).alias("kind"), F.col("code").cast("bigint").alias("code"), "n")
     both = known.unionByName(rows.where("kind = 1"), allowMissingColumns=True)
-    both = both.select("block", "kind", "code", "n", "n_tokens", "gain", "codes", "times", *keep)
+    # one number to sort by: Spark then sorts by radix, as a block's rows are many and compare equal
+    both = both.select("block", "kind", "code", "n", "n_tokens", "gain", "codes", "times", *keep,
+                       (F.shiftleft("block", 1) + F.col("kind")).alias("__order"))
     least = np.log10(total.n + 0.5 * (total.v + 1))
     made = T.StructType(fields + T._parse_datatype_string(
         "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields)
@@ -282,4 +284,4 @@ def scored(docs: DataFrame, training: Column, keep: list[str], text: str = "text
                      pa.array(np.full(len(size), total.n, np.int64)), pa.array(plain - n_tokens * least), pa.array(plain + part.column(5).to_numpy())],
                     names=[f.name for f in made.fields])
 
-    return both.repartition(spread(docs.sparkSession), "block").sortWithinPartitions("block", "kind").mapInArrow(answer, made)
+    return both.repartition(spread(docs.sparkSession), "block").sortWithinPartitions("__order").mapInArrow(answer, made)
