@@ -25,7 +25,7 @@ END = 2
 UNIT = 8  # lengths are planned in classes this wide: the linear program has LENGTH / UNIT rows whatever the data
 _GAP = 1e-3
 _ROUNDS = 600
-_BLOCK = 6 << 20
+_BLOCK = 3 << 20
 
 
 def pieces(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None, length: int = LENGTH,
