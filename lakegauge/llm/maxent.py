@@ -54,9 +54,9 @@ class _Block:
         self.codes = np.full(int(self.at[-1]), end, np.int64)
         self.codes[np.repeat(self.at[:-1], counts) + segments(counts)] = words.codes
         last = words.vocabulary.cast(pa.binary())
-        tail = pc.binary_slice(last, -3, None) if len(last) else last
-        self.shapes = np.append((text_hashes(tail.cast(pa.large_binary()).cast(pa.binary())) % np.uint64(CELLS - OWN)).astype(np.int64)
-                                if len(last) else np.zeros(0, np.int64), 0) + OWN
+        tail = (pc.binary_slice(last, -3, None) if len(last) else last).cast(pa.binary()).dictionary_encode()
+        shapes = (text_hashes(tail.dictionary) % np.uint64(CELLS - OWN)).astype(np.int64)
+        self.shapes = np.append(shapes[tail.indices.to_numpy(zero_copy_only=False)], 0) + OWN
 
 
 def _cells(block: _Block, frequent: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def _cells(block: _Block, frequent: np.ndarray, cells: np.ndarray) -> np.ndarray
 
 
 def _features(x: np.ndarray, place: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Rows of the class table for tokens lo to hi: always, last, one back, two back, last two.
+    """Rows of the class table for tokens lo to hi, feature by feature: always, last, one back, two back, last two.
 
     `place` is each token's place in its text.
     """
@@ -78,36 +78,56 @@ def _features(x: np.ndarray, place: np.ndarray, lo: int, hi: int) -> np.ndarray:
     room = ROWS - 1 - 3 * (CELLS + 1)
     pair = (mix((before[0] * (CELLS + 1) + before[1]).astype(np.uint64)) % np.uint64(room)).astype(np.int64)
     return np.stack([np.zeros(hi - lo, np.int64), 1 + before[0], 2 + CELLS + before[1], 3 + 2 * CELLS + before[2],
-                     1 + 3 * (CELLS + 1) + pair], axis=1)
+                     1 + 3 * (CELLS + 1) + pair])
 
 
 _FOLD = np.concatenate([[0], 1 + (mix(np.arange(1, ROWS, dtype=np.uint64)) % np.uint64(MEMBER_ROWS - 1)).astype(np.int64)])
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _odds(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of the table's rows less the greatest of each sum, their exponentials, and the sums of those.
 
+    Maxima are taken by halves and sums by a product, as numpy takes short rows one by one otherwise.
+    """
+    z = table.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += table.take(r, axis=0)
+    top = z
+    while top.shape[1] > 1:
+        half = top.shape[1] // 2
+        top = np.maximum(top[:, :half], top[:, half:])
+    z -= top
+    e = np.exp(z)
+    return z, e, e @ np.ones(e.shape[1], e.dtype)
+
+
+def _member_rows(features: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _FOLD[features] * CLASSES + x // MEMBERS
 
-def _predict(features: np.ndarray, x: np.ndarray, classes: np.ndarray, members: np.ndarray):
-    """Log-probabilities of all classes and of all members of the true class, and the rows used of the member table."""
-    rows = _FOLD[features] * CLASSES + (x // MEMBERS)[:, None]
-    z, w = classes[features[:, 0]], members[rows[:, 0]]
-    for j in range(1, features.shape[1]):
-        z = z + classes[features[:, j]]
-        w = w + members[rows[:, j]]
-    return _log_softmax(z), _log_softmax(w), rows
+
+def _log_chance(features: np.ndarray, x: np.ndarray, classes: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """The natural logarithm of each cell's probability."""
+    each = np.arange(len(x))
+    z, _, total = _odds(classes, features)
+    w, _, whole = _odds(members, _member_rows(features, x))
+    return z[each, x // MEMBERS] - np.log(total) + (w[each, x % MEMBERS] - np.log(whole))
 
 
 def _step(table: np.ndarray, used: np.ndarray, index: np.ndarray, gradient: np.ndarray, rate: float) -> None:
-    """Moves the rows named by index (token x feature) by the mean gradient of the tokens that use them."""
-    for j in range(index.shape[1]):
-        order = np.argsort(index[:, j], kind="stable")
-        rows = index[order, j]
+    """Moves the rows named by index (feature by feature) by the mean gradient of the tokens that use them.
+
+    Two neighbouring numbers are added as one complex number: numpy sums each column of a segment on its own.
+    """
+    pairs = gradient.view(np.complex64)
+    for ids in index.astype(np.uint16):  # tables are shorter than 2**16 rows, and 16-bit numbers are sorted by radix
+        order = np.argsort(ids, kind="stable")
+        rows = ids[order]
         heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         count = np.diff(np.append(heads, len(rows)))
-        table[rows[heads]] -= (rate * np.add.reduceat(gradient[order], heads, axis=0) / (count[:, None] + 4.0)).astype(np.float32)
-        used[rows[heads]] += count
+        rows = rows[heads]
+        scale = (rate / (count + 4.0)).astype(np.float32)
+        table[rows] -= np.add.reduceat(pairs.take(order, axis=0), heads, axis=0).view(np.float32) * scale[:, None]
+        used[rows] += count
 
 
 def learn(blocks_of_cells: Iterator[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, members: np.ndarray, rate: float):
@@ -118,13 +138,12 @@ def learn(blocks_of_cells: Iterator[tuple[np.ndarray, np.ndarray]], classes: np.
         place = segments(np.diff(at))
         for lo in range(0, len(x), BATCH):
             f, y = _features(x, place, lo, lo + BATCH), x[lo:lo + BATCH]
-            a, b, rows = _predict(f, y, classes, members)
-            a, b = np.exp(a), np.exp(b)
-            each = np.arange(len(y))
-            a[each, y // MEMBERS] -= 1
-            b[each, y % MEMBERS] -= 1
-            _step(classes, used[0], f, a, rate)
-            _step(members, used[1], rows, b, rate)
+            rows, each = _member_rows(f, y), np.arange(len(y))
+            for table, index, true, count in ((classes, f, y // MEMBERS, used[0]), (members, rows, y % MEMBERS, used[1])):
+                _, e, total = _odds(table, index)
+                e /= total[:, None]
+                e[each, true] -= 1
+                _step(table, count, index, e, rate)
     return classes, members, used
 
 
@@ -202,6 +221,39 @@ def _added(rows: DataFrame) -> np.ndarray | None:
     return np.concatenate([parts[i] for i in range(_PARTS)]) if parts else None
 
 
+def _pack(a: np.ndarray) -> bytes:
+    """Integers by planes of bytes, as small ones then leave long runs of zeros to the codecs of files and shuffles."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def _rising(a: np.ndarray) -> bytes:
+    """Ascending integers, packed as differences."""
+    return _pack(np.diff(a, prepend=0).astype("<i8"))
+
+
+def _answers(known: DataFrame) -> DataFrame:
+    """Rows (block, code, n) as few rows (block, codes, times): what one task knows of a block goes together."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, code, n = (b.column(i).to_numpy() for i in range(3))
+            order = np.lexsort((code, block))
+            block, code, n = block[order], code[order], n[order]
+            heads = np.flatnonzero(np.diff(block, prepend=block[:1] - 1))
+            ends = [*heads[1:].tolist(), len(block)]
+            spans = list(zip(heads.tolist(), ends))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[heads]), pa.array([_rising(code[lo:hi]) for lo, hi in spans], pa.binary()),
+                 pa.array([_pack(n[lo:hi].astype("<i8")) for lo, hi in spans], pa.binary())], names=["block", "codes", "times"])
+
+    return known.select("block", F.col("code").cast("bigint"), "n").sortWithinPartitions("block") \
+        .mapInArrow(gather, "block bigint, codes binary, times binary")
+
+
 def scored(docs: DataFrame, training: Column, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns with n_tokens, n_known, train_tokens, base_score and score for every document.
 
@@ -216,7 +268,8 @@ def scored(docs: DataFrame, training: Column, keep: list[str], text: str = "text
     model = train(source.where("learn"), counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField(c, source.schema[c].dataType) for c in keep]
-    extra = "block bigint, kind int, n_tokens bigint, gain double, codes array<bigint>, times array<bigint>"
+    # a block's row holds the hashes of its words, by code; a document's row the codes of its words and how often it has them
+    extra = "block bigint, kind int, n_tokens bigint, gain double, hashes array<bigint>, codes binary, times binary"
     schema = T.StructType(fields + T._parse_datatype_string(extra).fields)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,32 +280,29 @@ def scored(docs: DataFrame, training: Column, keep: list[str], text: str = "text
             x = _cells(b, model.frequent, model.cells)[b.codes]
             place, value = segments(np.diff(b.at)), np.zeros(len(x))
             for lo in range(0, len(x), BATCH):
-                y = x[lo:lo + BATCH]
-                p, q, _ = _predict(_features(x, place, lo, lo + BATCH), y, model.classes, model.members)
-                each = np.arange(len(y))
-                value[lo:lo + BATCH] = p[each, y // MEMBERS] + q[each, y % MEMBERS]
+                value[lo:lo + BATCH] = _log_chance(_features(x, place, lo, lo + BATCH), x[lo:lo + BATCH], model.classes, model.members)
             gain = sums(value / np.log(10) - log_share[x], b.at)
             owner = np.repeat(np.arange(part.num_rows), np.diff(b.at))
             pair, times = np.unique(owner * len(b.hashes) + b.codes, return_counts=True)
-            cut = np.searchsorted(pair // len(b.hashes), np.arange(1, part.num_rows))
+            at = np.searchsorted(pair // len(b.hashes), np.arange(part.num_rows + 1)).tolist()
+            code = pair % len(b.hashes)
+            spans = list(zip(at[:-1], at[1:]))
             none = [pa.nulls(1, f.type) for f in part.schema][:len(keep)]
-            names = [*keep, "block", "kind", "n_tokens", "gain", "codes", "times"]
-            # the block's words, by code, and then its documents
+            names = [*keep, "block", "kind", "n_tokens", "gain", "hashes", "codes", "times"]
             yield pa.RecordBatch.from_arrays([*none, pa.array([block]), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()),
-                                              list_array([b.hashes]), pa.nulls(1, pa.list_(pa.int64()))], names=names)
+                                              list_array([b.hashes]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names=names)
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:len(keep)], pa.array(np.full(part.num_rows, block)), pa.array(np.ones(part.num_rows, np.int32)),
-                 pa.array(np.diff(b.at)), pa.array(gain), list_array(np.split(pair % len(b.hashes), cut)), list_array(np.split(times, cut))],
-                names=names)
+                 pa.array(np.diff(b.at)), pa.array(gain), pa.nulls(part.num_rows, pa.list_(pa.int64())),
+                 pa.array([_rising(code[lo:hi]) for lo, hi in spans], pa.binary()),
+                 pa.array([_pack(times[lo:hi].astype("<i8")) for lo, hi in spans], pa.binary())], names=names)
             block += 1
 
     rows = stored(source.select(*keep, "text").mapInArrow(read, schema), "blocks")
-    asked = rows.where("kind = 0").select("block", F.posexplode("codes").alias("code", "hash"))
-    known = asked.join(counts.select("hash", "n"), "hash").select("block", F.lit(0).alias("kind"), F.col("code").cast("bigint").alias("code"), "n")
-    both = known.unionByName(rows.where("kind = 1"), allowMissingColumns=True)
-    # one number to sort by: Spark then sorts by radix, as a block's rows are many and compare equal
-    both = both.select("block", "kind", "code", "n", "n_tokens", "gain", "codes", "times", *keep,
-                       (F.shiftleft("block", 1) + F.col("kind")).alias("__order"))
+    asked = rows.where("kind = 0").select("block", F.posexplode("hashes").alias("code", "hash"))
+    known = _answers(asked.join(counts.select("hash", "n"), "hash").select("block", "code", "n")).withColumn("kind", F.lit(0))
+    both = known.unionByName(rows.where("kind = 1").drop("hashes"), allowMissingColumns=True)
+    both = both.select("block", "kind", "codes", "times", "n_tokens", "gain", *keep, (F.shiftleft("block", 1) + F.col("kind")).alias("__order"))
     least = np.log10(total.n + 0.5 * (total.v + 1))
     made = T.StructType(fields + T._parse_datatype_string(
         "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields)
@@ -266,21 +316,21 @@ def scored(docs: DataFrame, training: Column, keep: list[str], text: str = "text
                 if block[lo] != here:
                     here, found = block[lo], np.zeros(0, np.int64)
                 part = b.slice(lo, hi - lo)
+                codes = [np.cumsum(_unpack(c, "<i8")) for c in part.column(2).to_pylist()]
+                times = [_unpack(t, "<i8") for t in part.column(3).to_pylist()]
+                most = 1 + max(int(c[-1]) for c in codes)
+                if most > len(found):
+                    found = np.concatenate([found, np.zeros(max(most, 2 * len(found)) - len(found), np.int64)])
                 if kind[lo] == 0:
-                    code = part.column(2).to_numpy()
-                    if code.max() >= len(found):
-                        found = np.concatenate([found, np.zeros(max(int(code.max()) + 1, 2 * len(found)) - len(found), np.int64)])
-                    found[code] = part.column(3).to_numpy()
+                    found[np.concatenate(codes)] = np.concatenate(times)
                     continue
-                codes, times = (part.column(i).flatten().to_numpy() for i in (6, 7))
-                size = pc.list_value_length(part.column(6)).to_numpy().astype(np.int64)
+                size = [len(c) for c in codes]
                 at = np.concatenate([[0], np.cumsum(size)])
-                table = np.concatenate([found, np.zeros(max(0, int(codes.max()) + 1 - len(found)), np.int64)])
-                c = table[codes]
+                c, times = found[np.concatenate(codes)], np.concatenate(times)
                 plain = sums(times * np.log10(c + 0.5), at)
                 n_tokens = part.column(4).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(8 + i) for i in range(len(keep))], pa.array(n_tokens), pa.array(sums(np.where(c > 0, times, 0), at)),
+                    [*[part.column(6 + i) for i in range(len(keep))], pa.array(n_tokens), pa.array(sums(np.where(c > 0, times, 0), at)),
                      pa.array(np.full(len(size), total.n, np.int64)), pa.array(plain - n_tokens * least), pa.array(plain + part.column(5).to_numpy())],
                     names=[f.name for f in made.fields])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,31 @@ def test_maxent(docs):
     assert maxent.scored(empty(docs), F.lit(True), ["doc_id"]).count() == 0
 
 
+def test_maxent_answers_go_together(spark):
+    """What a task knows of a block's words is a few packed rows; a row for each word, with empty lists beside it, took
+    longer to send than all the rest."""
+    known = spark.range(0, 30000, 1, 3).select(F.shiftleft(F.col("id") % 2, 33).alias("block"), (F.col("id") * 7919 % 30000).cast("int").alias("code"),
+                                               (F.col("id") * (1 << 30)).alias("n"))
+    got = maxent._answers(known).collect()
+    assert len(got) == 6 and {r.block for r in got} == {0, 1 << 33}
+    pairs = {(r.block, c, n) for r in got for c, n in zip(np.cumsum(maxent._unpack(r.codes, "<i8")).tolist(), maxent._unpack(r.times, "<i8").tolist())}
+    assert pairs == {tuple(r) for r in known.collect()}
+
+
+def test_maxent_steps_are_mean_gradients():
+    rng = np.random.default_rng(1)
+    index, gradient = rng.integers(0, 40, (3, 500)), rng.random((500, 8), np.float32)
+    table, used = rng.random((50, 8), np.float32), np.zeros(50)
+    want, count = table.astype(np.float64), np.zeros(50)
+    for ids in index:
+        n = np.bincount(ids, minlength=50)
+        for row in np.flatnonzero(n):
+            want[row] -= 0.6 * gradient[ids == row].sum(axis=0, dtype=np.float64) / (n[row] + 4)
+        count += n
+    maxent._step(table, used, index, gradient, 0.6)
+    assert np.allclose(table, want, atol=1e-5) and (used == count).all()
+
+
 def test_lines(docs):
     got = {(r.doc_id, r.n_words, r.base_failed, r.kept) for r in lines.judged(docs).collect()}
     assert (5, 20000, False, True) in got and (2, 0, True, False) in got and (1, 13, True, False) in got
