@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakegauge.llm import jaccard, language, packing, secrets, substring
-from lakegauge.llm.common import bloom, in_bloom, stored
+from lakegauge.llm.common import bloom, in_bloom, settled
 from lakegauge.session import work_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,10 +34,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     number = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
     key = F.concat_ws(":", F.coalesce(number, F.lit("~")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     keyed = docs.select(*COLUMNS).withColumn("key", key).withColumn("hash", F.xxhash64("key"))
-    found = jaccard.linked(keyed.select("key", "text"), id="key", width=5, percent=80)
-    groups = found.groupBy("key").agg(F.count("*").alias("n"), F.min("component_id").alias("first"))
-    doubtful = stored(groups.where((F.col("n") > 1) | (F.col("key") != F.col("first")))
-                      .select("key", (F.col("key") == F.col("first")).alias("stays"), F.xxhash64("key").alias("hash")), "doubtful")
+
+    def judged() -> DataFrame:
+        found = jaccard.linked(keyed.select("key", "text"), id="key", width=5, percent=80)
+        groups = found.groupBy("key").agg(F.count("*").alias("n"), F.min("component_id").alias("first"))
+        return groups.where((F.col("n") > 1) | (F.col("key") != F.col("first"))) \
+            .select("key", (F.col("key") == F.col("first")).alias("stays"), F.xxhash64("key").alias("hash"))
+
+    doubtful = settled(spark, "doubtful", judged)
     bits = spark.sparkContext.broadcast(bloom(doubtful, "hash"))
 
     def passing(wanted: bool):

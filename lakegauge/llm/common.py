@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextvars import ContextVar
 from functools import lru_cache
 
 import numpy as np
@@ -12,19 +13,42 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lakegauge.session import work_path
+from lakegauge.session import discard, work_path
 
 BLOCK_BYTES = 4 << 20
+_paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)  # of what is stored inside `settled`
 WHITE = "\x09\x0a\x0b\x0c\x0d\x20"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: lineage ends here, lost executors cost nothing."""
     path = work_path(df.sparkSession, name)
+    if (held := _paths.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Stores the rows that `make` plans, then deletes whatever was stored while it planned them: only these rows read it.
+
+    So a step's working files do not stand beside those of the next ones.
+    """
+    inner: list[str] = []
+    outer = _paths.set(inner)
+    try:
+        made = make()
+    except BaseException:
+        discard(spark, inner)
+        raise
+    finally:
+        _paths.reset(outer)
+    try:
+        return stored(made, name)
+    finally:
+        discard(spark, inner)
+
+
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that extra columns cannot clash with working ones."""
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])

@@ -25,6 +25,7 @@ from lakegauge.llm.lines import let
 
 SKETCH_BITS = 22
 _PARTS = 64
+_BLOCK = 1 << 20  # of text at once: its shingles take twenty times as much
 _OPEN_PAIRS = 8  # at first, groups are opened whole that hold no more pairs than this for each member and query
 _SPACING = 20
 _STEPS = 16  # places kept of a set's missing tokens
@@ -61,11 +62,10 @@ def frequent_buckets(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int32)
-        for part in blocks(batches, "text", 16 << 20):
+        for part in blocks(batches, "text", _BLOCK):
             sets = list(shingle_sets(text_of(part, "text"), width))
             if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
-                                     minlength=len(total)).astype(np.int32)
+                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.int32(1))
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(
             [p.tobytes() for p in np.split(np.minimum(total, 255).astype(np.uint8), _PARTS)], pa.binary())], names=["part", "counts"])
 
@@ -115,7 +115,7 @@ def _signatures(docs: DataFrame, id: str, text: str, width: int, percent: int, c
                     pa.array([len(s) for s in sets], pa.int64()), list_array(tokens)]
         return run
 
-    return map_text(docs, ["id"], "text", fields, make)
+    return map_text(docs, ["id"], "text", fields, make, _BLOCK)
 
 
 def _digests(sets: list[np.ndarray]) -> list[bytes]:
@@ -258,7 +258,8 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
     """
     docs = plain(docs, id, text).toDF("id", "text")
     crowded = frequent_buckets(docs, "text", width)
-    signed = _signatures(docs, "id", "text", width, percent, crowded)
+    # stored, as the texts are not read again for the result
+    signed = stored(_signatures(docs, "id", "text", width, percent, crowded), "signed")
     sets = stored(signed.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("id"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
         .withColumn("sid", F.monotonically_increasing_id()), "sets")
@@ -324,7 +325,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "key"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "text"):
+        for part in blocks(batches, "text", _BLOCK):
             sets = list(shingle_sets(text_of(part, "text"), width))
             digests = _digests(sets)
             kept = np.flatnonzero(in_bloom(bits.value, _keys(digests, part.column(0)))).tolist()

@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lakegauge.llm.common import Words, blocks, bloom, grams, in_bloom, list_array, plain, spread, stored, text_of
+from lakegauge.llm.common import Words, blocks, bloom, grams, in_bloom, list_array, plain, settled, spread, stored, text_of
 
 WINDOW = 35
 _K = 12
 _PLACE = 24  # a coordinate is a text's number, then this many bits for the place of a word in it
+_BLOCK = 1 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -69,7 +70,7 @@ def _scanned(rows: DataFrame, window: int) -> DataFrame:
     """One row per distinct text: digest, key of the document that stands for it, copies, n_words, sha of its words,
     and the k-mers that stand for its windows."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "text"):
+        for part in blocks(batches, "text", _BLOCK):
             texts = text_of(part, "text")
             words = Words(texts)
             _, least, place, starts = _anchors(words, window)
@@ -111,7 +112,7 @@ def _edges(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, number = TaskContext.get().partitionId(), 0
-        for part in blocks(batches, "text"):
+        for part in blocks(batches, "text", _BLOCK):
             wanted = part.filter(pa.array(in_bloom(keys.value, part.column(1).to_numpy().view(np.uint64))))
             if not wanted.num_rows:
                 continue
@@ -185,8 +186,8 @@ def _spans(edges: DataFrame) -> DataFrame:
                 names=["at", "length", "source"])
 
     # a path cut by the end of a batch is two spans, which is as good
-    return stored(found.repartition(spread(edges.sparkSession), F.shiftright("at", _PLACE)).sortWithinPartitions("at")
-                  .mapInArrow(compact, "at bigint, length bigint, source bigint"), "spans")
+    return found.repartition(spread(edges.sparkSession), F.shiftright("at", _PLACE)).sortWithinPartitions("at") \
+        .mapInArrow(compact, "at bigint, length bigint, source bigint")
 
 
 def _beside_texts(edges: DataFrame, asked: DataFrame, whole: bool = False) -> DataFrame:
@@ -299,10 +300,13 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
     """
     rows = _keyed(plain(docs, id, text), id, text)
     texts = _scanned(rows, window)
-    edges = _edges(rows, texts, window)
-    spans = _spans(edges)
-    cut = stored(_kept(edges, _verified(edges, spans, window), window), "kept").dropDuplicates(["digest"]) \
-        .withColumnRenamed("digest", "d")
+
+    def kept() -> DataFrame:
+        edges = _edges(rows, texts, window)
+        spans = settled(docs.sparkSession, "spans", lambda: _spans(edges))
+        return _kept(edges, _verified(edges, spans, window), window)
+
+    cut = settled(docs.sparkSession, "kept", kept).dropDuplicates(["digest"]).withColumnRenamed("digest", "d")
     out = texts.join(cut, texts.digest == cut.d, "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     nothing = F.unhex(F.sha2(F.lit(b""), 256))

@@ -1,9 +1,14 @@
 """The pipeline from end to end, and language scores against a plain out-of-place distance."""
 
 import collections
+import os
+
+import pytest
 
 import corpus_pipeline
 from lakegauge.llm import language
+from lakegauge.llm.common import settled, stored
+from lakegauge.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 PAD = chr(1)
@@ -63,3 +68,31 @@ def test_the_pipeline_runs_from_end_to_end(spark):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 4096
+
+
+def test_stages_leave_only_what_their_results_read(spark):
+    def found(make):
+        before = set(os.listdir(shared_dir(spark)))
+        rows = make()
+        return rows, sorted(n.split("-")[0] for n in set(os.listdir(shared_dir(spark))) - before)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    kept, names = found(lambda: corpus_pipeline.one_of_each_group(spark, docs, SF))
+    assert names == ["doubtful"] and 0 < kept.count() <= docs.count()
+    left, names = found(lambda: corpus_pipeline.without_repeats(spark, docs, SF))
+    assert names == ["kept", "texts"] and 0 < left.count() <= docs.count()
+
+
+def test_what_is_settled_outlives_what_it_was_made_of(spark):
+    before = set(os.listdir(shared_dir(spark)))
+    first = stored(spark.range(5), "first")
+
+    def make():
+        second = stored(first.selectExpr("id + 1 as id"), "second")
+        return stored(settled(spark, "third", lambda: stored(second, "fourth").selectExpr("id * 2 as id")), "fifth")
+
+    got = settled(spark, "last", make)
+    assert sorted(r.id for r in got.collect()) == [2, 4, 6, 8, 10] and first.count() == 5
+    with pytest.raises(ZeroDivisionError):
+        settled(spark, "none", lambda: stored(first, "lost").limit(1 // 0))
+    assert sorted(n.split("-")[0] for n in set(os.listdir(shared_dir(spark))) - before) == ["first", "last"]
