@@ -12,8 +12,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-NONE = np.int64(1) << 40
+NONE = np.int32(2**31 - 1)
 _LONG = 256
+_ROUNDS = 4  # after so many, the gaps that merges leave are closed
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -24,9 +25,9 @@ class Pairs:
         keys = (np.asarray(left, np.int64) << 24 | np.asarray(right, np.int64)).astype(np.uint64)
         self.bits = max(10, int(len(keys) * 8).bit_length())
         size = 1 << self.bits
-        self.keys, self.rank = np.full(size, np.iinfo(np.uint64).max, np.uint64), np.full(size, NONE, np.int64)
-        self.merged = np.zeros(size, np.int64)
-        rank, merged = np.asarray(rank, np.int64), np.asarray(merged, np.int64)
+        self.keys, self.rank = np.full(size, np.iinfo(np.uint64).max, np.uint64), np.full(size, NONE)
+        self.merged = np.zeros(size, np.int32)
+        rank, merged = np.asarray(rank, np.int32), np.asarray(merged, np.int32)
         slot, todo, self.reach = self._slot(keys), np.arange(len(keys)), 0
         while len(todo):
             self.reach += 1
@@ -42,7 +43,7 @@ class Pairs:
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks (NONE where there is no pair) and places in `merged`."""
-        keys = (left << 24 | right).astype(np.uint64)
+        keys = left.astype(np.uint64) << np.uint64(24) | right.astype(np.uint64)
         slot = self._slot(keys)
         rank = np.where(self.keys[slot] == keys, self.rank[slot], NONE)
         todo = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] != np.iinfo(np.uint64).max))
@@ -73,57 +74,68 @@ def merge(symbols: np.ndarray, at: np.ndarray, pairs: Pairs, skip: Skip | None =
     for w in long.tolist():
         out = np.array(agenda(symbols[at[w]:at[w + 1]].tolist(), pairs, w, skip), np.int64)
         done.append((np.full(len(out), w, np.int64), out))
-    owner = np.repeat(np.arange(len(count)), count)
-    start = np.arange(len(symbols)) - np.repeat(at[:-1], count)
-    x = symbols.astype(np.int64)
+    owner = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    start = (np.arange(len(symbols)) - np.repeat(at[:-1], count)).astype(np.int32)
+    x = symbols.astype(np.int32)
     if len(long):
         kept = count[owner] <= _LONG
         owner, start, x = owner[kept], start[kept], x[kept]
 
-    def ranked(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged id of the pairs that begin at positions i."""
-        inner = np.flatnonzero((i < len(x) - 1))
-        inner = inner[owner[i[inner] + 1] == owner[i[inner]]]
-        p = i[inner]
-        rank, slot = pairs.find(x[p], x[p + 1])
+    def ranked(i: np.ndarray) -> None:
+        """Sets rank and merged id of the pairs that begin at positions i."""
+        rank[i] = NONE
+        p = i[after[i] >= 0]
+        left, right = x[p], x[after[p]]
+        found, slot = pairs.find(left, right)
         if skip is not None:
-            some = np.flatnonzero(rank < NONE)
-            q = p[some]
-            rank[some[skip(owner[q], start[q], x[q], x[q + 1])]] = NONE
-        all_ranks, all_merged = np.full(len(i), NONE, np.int64), np.zeros(len(i), np.int64)
-        all_ranks[inner], all_merged[inner] = rank, pairs.merged[slot]
-        return all_ranks, all_merged
-
-    rank, into = ranked(np.arange(len(x)))
-    while len(x):
+            some = np.flatnonzero(found < NONE)
+            found[some[skip(owner[p[some]], start[p[some]], left[some], right[some])]] = NONE
+        rank[p], into[p] = found, pairs.merged[slot]
+
+    def laid_out() -> tuple[np.ndarray, ...]:
+        """Where words begin and how long they are; for each position the next and the one before in its word, or -1."""
         heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        sizes = np.diff(np.concatenate([heads, [len(x)]]))
+        after, before = np.arange(1, len(x) + 1, dtype=np.int32), np.arange(-1, len(x) - 1, dtype=np.int32)
+        before[heads] = after[heads[1:] - 1] = after[-1:] = -1
+        return heads, np.diff(np.concatenate([heads, [len(x)]])), after, before
+
+    rank, into = np.full(len(x), NONE), np.zeros(len(x), np.int32)
+    if len(x):
+        heads, sizes, after, before = laid_out()
+        ranked(np.arange(len(x)))
+    rounds = 0
+    while len(x):
         best = np.minimum.reduceat(rank, heads)
-        over = best >= NONE
-        if over.any():
-            ended = np.repeat(over, sizes)
+        going = best < NONE
+        rounds += 1
+        # merged symbols stay where they are, marked, and words that have ended too, until it pays to close the gaps
+        if rounds % _ROUNDS == 0 or 4 * np.count_nonzero(going) < 3 * len(going):
+            there, on = x >= 0, np.repeat(going, sizes)
+            ended = there & ~on
             done.append((owner[ended], x[ended]))
-            x, owner, start, rank, into = (v[~ended] for v in (x, owner, start, rank, into))
-            heads_kept, sizes, best = heads, sizes[~over], best[~over]
+            on = np.flatnonzero(on & there)
+            x, owner, start, rank, into = (v[on] for v in (x, owner, start, rank, into))
             if not len(x):
                 break
-        here = np.flatnonzero(rank == np.repeat(best, sizes))
-        here = here[np.concatenate([[True], owner[here[1:]] != owner[here[:-1]]])]
-        x[here] = into[here]
-        stay = np.ones(len(x), bool)
-        stay[here + 1] = False
-        moved = np.cumsum(stay) - 1
-        x, owner, start, rank, into = (v[stay] for v in (x, owner, start, rank, into))
-        here = moved[here]
-        before = here[here > 0] - 1
-        before = before[owner[before] == owner[before + 1]]
-        fresh = np.concatenate([here, before])
-        rank[fresh], into[fresh] = ranked(fresh)
+            heads, sizes, after, before = laid_out()
+            best = best[going]
+            going = np.ones(len(best), bool)
+        here = np.flatnonzero(rank == np.repeat(np.where(going, best, np.int32(-1)), sizes))
+        if len(here) > 1:
+            here = here[np.concatenate([[True], owner[here[1:]] != owner[here[:-1]]])]
+        gone = after[here]
+        x[here], x[gone], rank[gone] = into[here], -1, NONE
+        beyond = after[gone]
+        after[here] = beyond
+        some = beyond >= 0
+        before[beyond[some]] = here[some]
+        previous = before[here]
+        ranked(np.concatenate([here, previous[previous >= 0]]))
     if not done:
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     word, symbol = np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
     order = np.argsort(word, kind="stable")
-    return symbol[order], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(count)))])
+    return symbol[order].astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(count)))])
 
 
 def agenda(symbols: list[int], pairs: Pairs, word: int = 0, skip: Skip | None = None) -> list[int]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, types as T
 
 from lakegauge.llm import bpe
-from lakegauge.llm.common import id_hashes, list_array, map_text, mix, segments, sums, text_hashes
+from lakegauge.llm.common import id_hashes, list_array, map_text, mix, segments, text_hashes
 
 DROPOUT, SEED = 0.1, 1
 _SPACE = "▁"
@@ -34,6 +35,25 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left.astype(np.uint64) << np.uint64(20)) ^ right.astype(np.uint64)
 
 
+def _skips(place: np.ndarray, pair: np.ndarray, limit: np.uint64) -> np.ndarray:
+    """Whether a candidate is skipped; `place` is the occurrence's hash and the character where the candidate begins."""
+    return mix(mix(place) ^ pair) <= limit
+
+
+def _hits(own: np.ndarray, word: np.ndarray, met_at: np.ndarray, start: np.ndarray, pair: np.ndarray, limit: np.uint64):
+    """For occurrences, what each skips of the candidates that its word met: flags, places of the candidates, how many."""
+    some = np.diff(met_at)[word]
+    which = np.repeat(met_at[:-1][word], some) + segments(some)
+    return _skips(np.repeat(own, some) + start[which], pair[which], limit), which, some
+
+
+def _chunks(work: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about _SYMBOLS of work."""
+    step = np.cumsum(work) // _SYMBOLS
+    edges = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1], [True]])) if len(work) else np.zeros(1, np.int64)
+    return zip(edges[:-1].tolist(), edges[1:].tolist())
+
+
 class Pieces:
     """Vocabulary and merges of a model file. A text is split into units: a run of spaces and what follows it.
 
@@ -66,10 +86,11 @@ class Pieces:
         self.said = np.frombuffer(b"".join(data), np.uint8)
         self.said_at = np.concatenate([[0], np.cumsum([len(d) for d in data])])
 
-    def symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def symbols(self, units: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """First symbols of the units: one per character, or its bytes where the vocabulary lacks it."""
-        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        at = np.concatenate([[0], np.cumsum([len(u) for u in units], dtype=np.int64)])
+        units = pa.array(units, pa.string())
+        points = np.frombuffer("".join(units.to_pylist()).encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(pc.utf8_length(units).to_numpy(zero_copy_only=False), dtype=np.int64)])
         out = self.letter[points]
         strange = np.flatnonzero(out < 0)
         if not len(strange):
@@ -104,54 +125,72 @@ class Pieces:
         at = np.concatenate([[0], np.cumsum(counts)])
         coded = flat.dictionary_encode()
         codes, units = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-        names = units.to_pylist()
-        symbols, starts = self.symbols([" " + n for n in names])
+        symbols, starts = self.symbols(pc.binary_join_element_wise("", units, " "))
         if dropout <= 0:
             ids, ids_at = bpe.merge(symbols, starts, self.pairs)
             out, out_at = bpe.gather(ids, ids_at, codes)
             return out, out_at[at]
         limit = np.uint64(min(1 << 64, int(dropout * (1 << 64))) - 1)
+        unit_keys = text_hashes(units)
+        streams = mix(np.asarray(key).astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+        doc, place = np.repeat(np.arange(len(counts)), counts), segments(counts).astype(np.uint64)
+        own = mix(unit_keys[codes] ^ mix(streams[doc] + place))
+        ids, ids_at, met_at, start, pair = self._met(symbols, starts, lambda word, start, pair: np.zeros(len(word), bool))
+        # an occurrence that skips none of the candidates its unit meets when none is skipped ends as the unit does
+        anew, group = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for lo, hi in _chunks(np.maximum(np.diff(met_at), np.diff(starts))[codes]):
+            hit, which, some = _hits(own[lo:hi], codes[lo:hi], met_at, start, pair, limit)
+            hit = np.flatnonzero(hit)
+            owner = np.searchsorted(np.cumsum(some), hit, side="right")
+            heads = np.flatnonzero(np.diff(owner, prepend=-1))
+            anew.append(lo + owner[heads])
+            # what an occurrence skips, as one number
+            group.append(np.add.reduceat(mix(pair[which[hit]] + start[which[hit]]), heads) if len(heads) else group[0])
+        index, made, made_at, total = codes.copy(), [ids], [ids_at], len(units)
+        anew = np.concatenate(anew)
+        group = mix(np.concatenate(group) + unit_keys[codes[anew]])
+        order = np.argsort(group)
+        anew, group = anew[order], group[order]
+        for lo, hi in _chunks(np.diff(starts)[codes[anew]]):
+            part, same = anew[lo:hi], group[lo:hi]
+            # of those that skip the same of them, one is merged; the others end as it does if they agree with it on all that it met
+            first = np.concatenate([[True], (same[1:] != same[:-1]) | (codes[part[1:]] != codes[part[:-1]])])
+            for last in (False, True):
+                if last:
+                    first = np.ones(len(part), bool)
+                lead = part[first]
+                fresh, fresh_at, met_at, start, pair = self._met(
+                    *bpe.gather(symbols, starts, codes[lead]), lambda word, start, pair, lead=lead: _skips(own[lead[word]] + start, pair, limit))
+                made.append(fresh)
+                made_at.append(made_at[-1][-1] + fresh_at[1:])
+                leader = np.cumsum(first) - 1
+                index[part] = total + leader
+                total += len(lead)
+                if last:
+                    break
+                theirs, which, some = _hits(own[part], leader, met_at, start, pair, limit)
+                leads = _skips(np.repeat(own[lead], np.diff(met_at)) + start, pair, limit)
+                other = np.flatnonzero(theirs != leads[which])
+                part = part[np.unique(np.searchsorted(np.cumsum(some), other, side="right"))]
+                if not len(part):
+                    break
+        out, out_at = bpe.gather(np.concatenate(made), np.concatenate(made_at), index)
+        return out, out_at[at]
+
+    def _met(self, symbols: np.ndarray, starts: np.ndarray, rule) -> tuple[np.ndarray, ...]:
+        """What `bpe.merge` returns, and the candidates that each word met: where its own begin, their starts and pairs."""
         met: list[tuple[np.ndarray, ...]] = []
 
         def meet(word, start, left, right):
-            met.append((word, start, _pair(left, right)))
-            return np.zeros(len(word), bool)
+            met.append((word, start.astype(np.uint64), _pair(left, right)))
+            return rule(*met[-1])
 
         ids, ids_at = bpe.merge(symbols, starts, self.pairs, meet)
-        # the candidates that each unit meets when none is skipped; an occurrence that skips none of them ends as the unit does
-        owner, start, pair = (np.concatenate(v) for v in zip(*met)) if met else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        if not met:
+            return ids, ids_at, np.zeros(len(starts), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        owner, start, pair = (np.concatenate(v) for v in zip(*met))
         order = np.argsort(owner, kind="stable")
-        start, pair = start[order].astype(np.uint64), pair[order]
-        meets_at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(names)))])
-        streams = mix(np.asarray(key).astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
-        unit_keys, parts = text_hashes(units), []
-        work = np.cumsum(np.maximum(np.diff(meets_at), np.diff(starts))[codes]) // _SYMBOLS
-        edges = np.flatnonzero(np.concatenate([[True], work[1:] != work[:-1], [True]])) if len(codes) else np.zeros(1, np.int64)
-        doc, place = np.repeat(np.arange(len(counts)), counts), segments(counts).astype(np.uint64)
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            part = codes[lo:hi]
-            own = mix(unit_keys[part] ^ mix(streams[doc[lo:hi]] + place[lo:hi]))
-
-            def skip(word, start, left, right, own=own):
-                return mix(mix(own[word] + start.astype(np.uint64)) ^ _pair(left, right)) <= limit
-
-            some = np.diff(meets_at)[part]
-            which = np.repeat(meets_at[:-1][part], some) + segments(some)
-            hit = mix(mix(np.repeat(own, some) + start[which]) ^ pair[which]) <= limit
-            anew = np.flatnonzero(sums(hit.astype(np.int64), np.concatenate([[0], np.cumsum(some)])))
-            if not len(anew):
-                parts.append(bpe.gather(ids, ids_at, part))
-                continue
-            fresh, fresh_at = bpe.merge(*bpe.gather(symbols, starts, part[anew]), self.pairs,
-                                        lambda word, *rest, anew=anew, skip=skip: skip(anew[word], *rest))
-            index = part.copy()
-            index[anew] = len(names) + np.arange(len(anew))
-            parts.append(bpe.gather(np.concatenate([ids, fresh]), np.concatenate([ids_at, ids_at[-1] + fresh_at[1:]]), index))
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-        out = np.concatenate([p for p, _ in parts])
-        out_at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
-        return out, out_at[at]
+        return ids, ids_at, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(starts) - 1))]), start[order], pair[order]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """UTF-8 of each id sequence, without the space that encoding puts before it."""

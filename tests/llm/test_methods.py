@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lakegauge.llm import bpe, jaccard, language, packing, secrets, simhash, substring
+from lakegauge.llm import bpe, jaccard, language, packing, pieces, secrets, simhash, substring
 from lakegauge.llm.pieces import Pieces
 from lakegauge.llm.queries import QUERIES, SQL
 from tools.check_queries import table
@@ -238,6 +238,20 @@ def test_pieces_against_the_library(texts):
     assert len(seen) == 3 and model.encode(pa.array(lines), variant, 1, 1.0)[0].tobytes() in seen
 
 
+def test_occurrences_that_skip_the_same_are_merged_once(monkeypatch):
+    """Of 24000 occurrences of a word thousands skip a merge; before, each of these was merged by itself."""
+    model, merged, real = Pieces(public_tokenizers.path("piece_bpe_32k.model")), [], bpe.merge
+    lines = [" ".join(["house"] * 300), "  the   deep international ", ""] * 80
+    key = np.arange(len(lines))
+    monkeypatch.setattr(bpe, "merge", lambda symbols, at, *rest: merged.append(len(at) - 1) or real(symbols, at, *rest))
+    ids, at = model.encode(pa.array(lines), key, 1, 0.1)
+    assert sum(merged) < 3000
+    assert [d.decode() for d in model.decode(ids, at)] == lines
+    monkeypatch.setattr(pieces, "_SYMBOLS", 1)  # each occurrence by itself
+    few, few_at = model.encode(pa.array(lines[:9]), key[:9], 1, 0.1)
+    assert few.tolist() == ids[:at[9]].tolist() and few_at.tolist() == at[:10].tolist()
+
+
 def test_pieces_vary_by_occurrence_and_document():
     model = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     lines = [" ".join(["international"] * 300)] * 40 + ["", " a", "x" * 400]
