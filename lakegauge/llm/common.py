@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import lru_cache
 
@@ -49,6 +50,19 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
         discard(spark, inner)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside hand `rows` rows at most to Python at a time: a batch of texts stands in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that extra columns cannot clash with working ones."""
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])

@@ -17,7 +17,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from lakegauge.llm.common import list_array, map_text, plain, spread, stored
+from lakegauge.llm.common import list_array, map_text, plain, small_batches, spread, stored
 from lakegauge.llm.wordtokens import word_tokens
 
 LENGTH = 4096
@@ -25,7 +25,8 @@ END = 2
 UNIT = 8  # lengths are planned in classes this wide: the linear program has LENGTH / UNIT rows whatever the data
 _GAP = 1e-3
 _ROUNDS = 600
-_BLOCK = 3 << 20
+_BATCH = 500  # rows
+_BLOCK = 1 << 20  # of text at once: ids, places and words of a block take thirty times as much
 
 
 def pieces(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None, length: int = LENGTH,
@@ -211,7 +212,8 @@ def packed(rows: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame
     names = rows.columns
     salts = spread(rows.sparkSession)
     size = F.ceil(F.col("length") / unit).cast("bigint")
-    rows = stored(rows.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
+    with small_batches(rows.sparkSession, _BATCH):
+        rows = stored(rows.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
     rows = rows.withColumn("__size", size).withColumn("__salt", F.pmod(F.xxhash64("__uid"), F.lit(salts)))
     counts = rows.groupBy("__size", "__salt").agg(F.count("*").alias("__n"))
     histogram = {r["__size"]: r["n"] for r in counts.groupBy("__size").agg(F.sum("__n").alias("n")).collect()}

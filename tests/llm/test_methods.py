@@ -279,6 +279,18 @@ def test_pieces_vary_by_occurrence_and_document():
     assert len(spans) > 4
 
 
+def test_packing_encodes_in_small_batches(spark, monkeypatch):
+    """Batches of 10000 texts, and blocks of 3 MB, took an executor over its memory."""
+    name, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.stored
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "stored", lambda df, to: seen.append(df.mapInArrow(
+        lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n bigint").agg(F.max("n")).first()[0]) or real(df, to))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text")).coalesce(1)
+    rows = packing.packed(packing.pieces(docs, ["doc_id"]))
+    assert seen == [500] and packing._BLOCK <= 1 << 20 and spark.conf.get(name) == before
+    assert rows.count() == 3000 and rows.agg(F.sum("length")).first()[0] == 9000
+
+
 def test_packing_keeps_every_id(spark, texts):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {k: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for k, t in texts.items()}
