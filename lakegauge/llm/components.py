@@ -21,8 +21,9 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = stored(edges.where("u <> v").distinct(), "links")
     rounds = 0
     while not edges.isEmpty():
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("root"))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        # stored, as following the labels reads it four times
+        up = stored(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("root")), "least")
         for _ in range(2):
             step = up.select(F.col("u").alias("via"), F.col("root").alias("further"))
             up = up.join(step, up.root == step.via, "left").select("u", F.coalesce("further", "root").alias("root"))

@@ -180,6 +180,7 @@ def _shared_tokens(sets: DataFrame, percent: int, crowded: np.ndarray) -> DataFr
 
     first = rows = stored(sets.select("sid", "n", "tokens").mapInArrow(keep, "sid bigint, n bigint, tokens array<bigint>, signature array<int>")
                           .where(F.size("tokens") >= _least_hits(percent)), "tokens")
+    bits.destroy()
     # what is left is counted anew, exactly, until hardly a set goes: a token whose other sets are out is not shared
     before, now = None, rows.count()
     while before is None or now < 0.9 * before:
@@ -287,33 +288,36 @@ def _components(docs: DataFrame, sets: DataFrame, width: int, percent: int, crow
     found = stored(found.select("sid", "n", "group").join(shared.select("sid", F.col("bound").alias("bound_n")), "sid"), "candidates")
     leaders, few = 1, _OPEN_PAIRS
     while True:
+        # stored once a round, as the counts, the leaders and the pairs are all made of them: their plans stay small
         comp = labels.select(F.col("node").alias("sid"), "comp")
-        asked, there = found.join(comp, "sid"), members.join(comp.withColumnRenamed("comp", "other"), "sid")
+        asked = stored(found.join(comp, "sid"), "asked")
+        there = stored(members.join(comp.withColumnRenamed("comp", "other"), "sid"), "there")
         # how many pairs of different components the open groups hold, without making them
         each = asked.groupBy("group", "comp").agg(F.count("*").alias("x")).join(
             there.groupBy("group", F.col("other").alias("comp")).agg(F.count("*").alias("y")), ["group", "comp"], "full") \
             .groupBy("group").agg(F.sum("x").alias("x"), F.sum("y").alias("y"),
                                   F.sum(F.coalesce(F.col("x") * F.col("y"), F.lit(0))).alias("same"))
         each = stored(each.where("x is not null and y is not null").withColumn("pairs", F.col("x") * F.col("y") - F.col("same"))
-                      .where("pairs > 0"), "pairs")
-        if each.isEmpty():
+                      .where("pairs > 0").select("group", (F.col("pairs") > few * (F.col("x") + F.col("y"))).alias("large")), "pairs")
+        open, left = each.agg(F.count("*"), F.count_if("large")).first()
+        if not open:
             return labels
-        whole = each.where(F.col("pairs") <= few * (F.col("x") + F.col("y"))).select("group")
-        large = each.where(F.col("pairs") > few * (F.col("x") + F.col("y"))).select("group")
-        first = there.join(large, "group", "left_semi").groupBy("group", F.pmod(F.xxhash64("sid"), F.lit(leaders)).alias("s")).agg(
-            F.max_by(F.struct("sid", "m", "bound_m", "other"), F.struct("near", F.col("sid"))).alias("l")).select("group", "l.*")
+        whole, large = each.where("not large").select("group"), each.where("large").select("group")
         # both of a linked pair ask for each other's group, so in groups opened whole the lesser one's question will do
-        held = there.select("group", F.col("sid").alias("b"), "m", "bound_m", "other", F.lit(False).alias("leads")).join(whole, "group", "left_semi") \
-            .unionByName(first.select("group", F.col("sid").alias("b"), "m", "bound_m", "other", F.lit(True).alias("leads")))
+        held = there.select("group", F.col("sid").alias("b"), "m", "bound_m", "other", F.lit(False).alias("leads")).join(whole, "group", "left_semi")
+        if left:
+            first = stored(there.join(large, "group", "left_semi").groupBy("group", F.pmod(F.xxhash64("sid"), F.lit(leaders)).alias("s")).agg(
+                F.max_by(F.struct("sid", "m", "bound_m", "other"), F.struct("near", F.col("sid"))).alias("l")).select("group", "l.*"), "leaders")
+            held = held.unionByName(first.select("group", F.col("sid").alias("b"), "m", "bound_m", "other", F.lit(True).alias("leads")))
         pairs = asked.join(held, "group").where((F.col("comp") != F.col("other")) & (F.col("sid") != F.col("b")) & _fits(percent)
                                                 & (F.col("leads") | (F.col("sid") < F.col("b")))) \
             .select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
-        links = stored(_verified(pairs, full, percent), "links")
+        labels = merged(labels, stored(_verified(pairs, full, percent), "links"))
+        if not left:
+            return labels
         # a leader has now been held against all who asked, and a group opened whole is done
-        first = stored(first.select("group", "sid"), "leaders")
-        members = stored(members.join(large, "group", "left_semi").join(first, ["group", "sid"], "left_anti"), "members")
-        found = stored(found.join(large, "group", "left_semi"), "candidates")
-        labels = merged(labels, links)
+        found = asked.join(large, "group", "left_semi").drop("comp")
+        members = there.join(large, "group", "left_semi").join(first.select("group", "sid"), ["group", "sid"], "left_anti").drop("other")
         leaders, few = 2 * leaders, 4 * few
 
 
@@ -333,4 +337,6 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                                               list_array([sets[i] for i in kept])], names=["digest", "hashes"])
 
     rows = docs.mapInArrow(read, "digest binary, hashes array<bigint>").join(wanted.select("sid", "digest"), "digest")
-    return stored(rows.groupBy("sid").agg(F.first("hashes").alias("hashes")), "whole")
+    made = stored(rows.groupBy("sid").agg(F.first("hashes").alias("hashes")), "whole")
+    bits.destroy()
+    return made

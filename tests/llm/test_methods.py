@@ -238,6 +238,24 @@ def test_pieces_against_the_library(texts):
     assert len(seen) == 3 and model.encode(pa.array(lines), variant, 1, 1.0)[0].tobytes() in seen
 
 
+def test_rounds_of_the_join_have_small_plans(spark, monkeypatch, capsys):
+    """A round's links were planned with 26 exchanges or more, leaders and labels made anew in them; the driver ran out of memory."""
+    seen, real = [], jaccard.stored
+
+    def stored(df, name):
+        if name == "links":
+            df.explain()
+            seen.append(capsys.readouterr().out.count("Exchange"))
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:i % 50] + [f"x{i}"] + words[i % 50 + 1:])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert jaccard.linked(docs, width=1, percent=85).select("component_id").distinct().count() == 1
+    assert seen and max(seen) < 20
+
+
 def test_occurrences_that_skip_the_same_are_merged_once(monkeypatch):
     """Of 24000 occurrences of a word thousands skip a merge; before, each of these was merged by itself."""
     model, merged, real = Pieces(public_tokenizers.path("piece_bpe_32k.model")), [], bpe.merge
