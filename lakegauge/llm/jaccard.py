@@ -318,7 +318,7 @@ def _components(docs: DataFrame, sets: DataFrame, width: int, percent: int, crow
         # a leader has now been held against all who asked, and a group opened whole is done
         found = asked.join(large, "group", "left_semi").drop("comp")
         members = there.join(large, "group", "left_semi").join(first.select("group", "sid"), ["group", "sid"], "left_anti").drop("other")
-        leaders, few = 2 * leaders, 4 * few
+        leaders, few = 2 * leaders, few * few // 2  # a round moves all whole sets, so there are few rounds
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -337,6 +337,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                                               list_array([sets[i] for i in kept])], names=["digest", "hashes"])
 
     rows = docs.mapInArrow(read, "digest binary, hashes array<bigint>").join(wanted.select("sid", "digest"), "digest")
-    made = stored(rows.groupBy("sid").agg(F.first("hashes").alias("hashes")), "whole")
+    # grouped as they were joined, so that the sets are shuffled once
+    made = stored(rows.groupBy("digest").agg(F.first("sid").alias("sid"), F.first("hashes").alias("hashes")).drop("digest"), "whole")
     bits.destroy()
     return made
