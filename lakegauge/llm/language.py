@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from lakegauge.llm.common import blocks, map_text, plain, text_of
 
 PROFILE = 400
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18  # of text at once: letters, owners and pairs of grams take a hundred times as much
 _PAD = 1  # stands for everything that is no letter; below all letters
 _FAR = 1 << 22
 

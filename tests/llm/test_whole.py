@@ -2,12 +2,15 @@
 
 import collections
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lakegauge.llm import language
-from lakegauge.llm.common import settled, stored
+from lakegauge.llm.common import blocks, settled, stored, text_of
 from lakegauge.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +99,40 @@ def test_what_is_settled_outlives_what_it_was_made_of(spark):
     with pytest.raises(ZeroDivisionError):
         settled(spark, "none", lambda: stored(first, "lost").limit(1 // 0))
     assert sorted(n.split("-")[0] for n in set(os.listdir(shared_dir(spark))) - before) == ["first", "last"]
+
+
+def test_stages_hand_small_batches_to_python(spark, monkeypatch):
+    """Batches of 10000 texts, 20 MB on both sides of each task, took an executor over its memory."""
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    sizes = long.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n bigint")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(corpus_pipeline.BATCH, str(64 << 20))
+            stage(spark, docs.where("false"), SF)
+            seen = sizes.agg(F.max("n"), F.sum("n")).first()
+            assert seen[0] < 1.1 * (1 << 20) and seen[1] > 6_000_000, (name, seen)
+        spark.conf.set(corpus_pipeline.BATCH, str(64 << 20))
+        monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:1])
+        assert corpus_pipeline.run(spark, SF).count() == docs.count()
+        assert spark.conf.get(corpus_pipeline.BATCH) == str(64 << 20)
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
+
+
+def test_language_holds_little_at_once(spark, monkeypatch):
+    """Blocks of 1 MB of text took 110 MB of arrays at once, in each worker."""
+    made = {}
+    monkeypatch.setattr(language, "map_text", lambda docs, keep, text, fields, make, limit: made.update(fn=make(), limit=limit))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    language.identify(docs, language.profiles(docs), [])
+    texts = [r.text or "" for r in docs.collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts * (1 + (3 << 20) // sum(map(len, texts))))], names=["text"])
+    tracemalloc.start()
+    try:
+        n = sum(len(made["fn"](text_of(part, "text"), part)[0]) for part in blocks([batch], "text", made["limit"]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == batch.num_rows and peak < 60 << 20, peak / 1e6
