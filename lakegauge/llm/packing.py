@@ -17,7 +17,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from lakegauge.llm.common import list_array, map_text, plain, small_batches, spread, stored
+from lakegauge.llm.common import map_text, plain, segments, small_batches, spread, stored
 from lakegauge.llm.wordtokens import word_tokens
 
 LENGTH = 4096
@@ -43,15 +43,16 @@ def pieces(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
 
         def run(texts: pa.Array, _: pa.RecordBatch) -> list:
             ids, at = tokens.encode(texts)
-            ids = ids.astype("<u4")
-            starts, lengths, crcs = [], [], []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                own = np.append(ids[a:b], np.uint32(end)).astype("<u4")
-                start = np.arange(0, len(own), length)
-                starts.append(start)
-                lengths.append(np.minimum(length, len(own) - start))
-                crcs.append(np.array([zlib.crc32(own[s:s + length].tobytes()) for s in start.tolist()], np.int64))
-            return [list_array(v) for v in (starts, lengths, crcs)]
+            ids = np.insert(ids.astype("<u4"), at[1:], end)
+            size = np.diff(at) + 1
+            at = at + np.arange(len(at))
+            count = -(-size // length)
+            starts = segments(count) * length
+            lengths = np.minimum(length, np.repeat(size, count) - starts)
+            first = np.repeat(at[:-1], count) + starts
+            crcs = np.array([zlib.crc32(ids[a:b]) for a, b in zip(first.tolist(), (first + lengths).tolist())], np.int64)
+            rows = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+            return [pa.ListArray.from_arrays(rows, pa.array(v)) for v in (starts, lengths, crcs)]
         return run
 
     cut = map_text(docs, keep, text, fields, make, _BLOCK)

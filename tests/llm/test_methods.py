@@ -20,6 +20,7 @@ import corpus_pipeline
 from lakegauge.llm import bpe, jaccard, language, packing, pieces, secrets, simhash, substring
 from lakegauge.llm.pieces import Pieces
 from lakegauge.llm.queries import QUERIES, SQL
+from lakegauge.llm.wordtokens import WordTokens
 from tools.check_queries import table
 
 SF = "/root/testdata/sf0.001"
@@ -309,6 +310,28 @@ def test_packing_encodes_in_small_batches(spark, monkeypatch):
     assert rows.count() == 3000 and rows.agg(F.sum("length")).first()[0] == 9000
 
 
+def test_words_are_taken_apart_at_once(texts, monkeypatch):
+    """A call for each distinct word of a block took op7_packing over its CPU seconds."""
+    path, seen, real = public_tokenizers.path("word_bpe_49k.json"), [], WordTokens._parts
+    monkeypatch.setattr(WordTokens, "_parts", lambda self, word: seen.append(word) or real(self, word))
+    tokens, pick = WordTokens(path), random.Random(3)
+
+    def check(block):
+        ids, at = tokens.encode(pa.array(block, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tokens.library.encode(t, add_special_tokens=False).ids for t in block]
+
+    check([*texts.values()])
+    words = {w for t in texts.values() for w in WORD.findall(t)}
+    assert len(words) > 10000 and len(seen) < 0.02 * len(words)
+    signs = ["a", "B", "À", "ÿ", "Þ", "ß", "É", "×", "÷", "7", "12", ".", "$&", "-", "'s", "'Re", "<", "|>", "<|", "<|endoftext|>", " ", "\n", "\x7f",
+             "\x00", "Σ", "İ", "é", "e\u0301", "日", "\u00a0", "²"]
+    check(["", *("".join(pick.choices(signs, k=pick.randint(1, 12))) for _ in range(500))])
+    check([])
+    seen.clear()
+    check(["Él x7,y Ünter- Straße(12)... ÀÞ"])
+    assert not seen
+
+
 def test_packing_keeps_every_id(spark, texts):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {k: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for k, t in texts.items()}
